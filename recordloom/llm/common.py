@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -50,6 +51,11 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def share(spark: SparkSession, model: object) -> Broadcast[bytes]:
+    """A model for all executors, pickled with its class; ``pickle.loads(shared.value)`` gives it back."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(model))
+
+
 def held_out(doc_id: Column, folds: int, fold: int) -> Column:
     """Whether crc32 of the id as text leaves ``fold`` modulo ``folds``; a null id counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(folds)) == fold

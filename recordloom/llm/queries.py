@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordloom.llm.common import read_table
+from recordloom.llm.common import held_out, read_table
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +25,37 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2048)
 
 
+def op6_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from recordloom.llm.quality_rules import POLICIES, ledger, passes
+
+    out = ledger(read_table(spark, sf_dir, "documents"))
+    base, all_rules = POLICIES[1], POLICIES[2]
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~passes(base)).alias("base_failed"), passes(all_rules).alias("kept"), "failures")
+
+
+def _op6_sql() -> str:
+    from recordloom.llm.quality_rules import POLICIES, ledger_sql, policy_mask
+
+    verdicts = f"(failures & {policy_mask(POLICIES[1])}) <> 0 AS base_failed, (failures & {policy_mask(POLICIES[2])}) = 0 AS kept"
+    return ledger_sql(f"doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, {verdicts}, failures")
+
+
+def op7_neighbour_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from recordloom.llm.quality_classifier import classify, fit
+
+    docs = read_table(spark, sf_dir, "documents")
+    model = fit(docs, read_table(spark, sf_dir, "labels"))
+    return classify(docs, model).select("doc_id", held_out(F.col("doc_id"), 3, 1).alias("held_out"), "score", "predicted")
+
+
+def op8_recurrent_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from recordloom.llm.toxicity import classify, fit
+
+    docs = read_table(spark, sf_dir, "documents")
+    net = fit(docs, read_table(spark, sf_dir, "labels"))
+    return classify(docs, net).select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "score", "predicted")
+
+
 def op9_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     from recordloom.llm.sharding import shard
 
@@ -33,8 +64,8 @@ def op9_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_mix_sources, op5_best_fit_packing, op9_sampled_splitters)}
+    return {f.__name__: f for f in (op2_mix_sources, op5_best_fit_packing, op6_rule_ledger, op7_neighbour_vote, op8_recurrent_toxicity, op9_sampled_splitters)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_rule_ledger": _op6_sql()}
