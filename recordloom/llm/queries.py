@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 from recordloom.llm.common import held_out, read_table
 
 
+def op1_log_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from recordloom.llm.lm_scoring import score
+
+    return score(read_table(spark, sf_dir, "documents"), 5, 1)
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from recordloom.llm.mixing import mix
 
@@ -17,6 +23,18 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op4_metric_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from recordloom.llm.embedding_dedup import near_duplicates
+
+    return near_duplicates(read_table(spark, sf_dir, "embeddings"), 0.93)
+
+
+def _op4_sql() -> str:
+    from recordloom.llm.embedding_dedup import COMPONENTS_SQL
+
+    return COMPONENTS_SQL
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -64,8 +82,8 @@ def op9_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_mix_sources, op5_best_fit_packing, op6_rule_ledger, op7_neighbour_vote, op8_recurrent_toxicity, op9_sampled_splitters)}
+    return {f.__name__: f for f in (op1_log_bilinear, op2_mix_sources, op4_metric_range_join, op5_best_fit_packing, op6_rule_ledger, op7_neighbour_vote, op8_recurrent_toxicity, op9_sampled_splitters)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_rule_ledger": _op6_sql()}
+    return {"op4_metric_range_join": _op4_sql(), "op6_rule_ledger": _op6_sql()}
