@@ -81,9 +81,21 @@ def op9_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("law", F.lit("bytes")).withColumn("grown_shard", F.lit(None).cast("int"))
 
 
+def op10_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from recordloom.llm.ngram_join import near_duplicates
+
+    return near_duplicates(read_table(spark, sf_dir, "documents"), 5, 75, 100)
+
+
+def _op10_sql() -> str:
+    from recordloom.llm.ngram_join import JACCARD_SQL
+
+    return JACCARD_SQL
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_log_bilinear, op2_mix_sources, op4_metric_range_join, op5_best_fit_packing, op6_rule_ledger, op7_neighbour_vote, op8_recurrent_toxicity, op9_sampled_splitters)}
+    return {f.__name__: f for f in (op1_log_bilinear, op2_mix_sources, op4_metric_range_join, op5_best_fit_packing, op6_rule_ledger, op7_neighbour_vote, op8_recurrent_toxicity, op9_sampled_splitters, op10_prefix_join)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_metric_range_join": _op4_sql(), "op6_rule_ledger": _op6_sql()}
+    return {"op4_metric_range_join": _op4_sql(), "op6_rule_ledger": _op6_sql(), "op10_prefix_join": _op10_sql()}
