@@ -23,6 +23,13 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op3_suffix_family(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from recordloom.llm.suffix_dedup import remove_repeats
+
+    out = remove_repeats(read_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_metric_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from recordloom.llm.embedding_dedup import near_duplicates
 
@@ -94,7 +101,7 @@ def _op10_sql() -> str:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_log_bilinear, op2_mix_sources, op4_metric_range_join, op5_best_fit_packing, op6_rule_ledger, op7_neighbour_vote, op8_recurrent_toxicity, op9_sampled_splitters, op10_prefix_join)}
+    return {f.__name__: f for f in (op1_log_bilinear, op2_mix_sources, op3_suffix_family, op4_metric_range_join, op5_best_fit_packing, op6_rule_ledger, op7_neighbour_vote, op8_recurrent_toxicity, op9_sampled_splitters, op10_prefix_join)}
 
 
 def oracle_sql() -> dict[str, str]:
