@@ -9,6 +9,7 @@ cell gets a hot key.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -18,6 +19,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from recordloom.llm.common import share
+
 #: Occurrences a cell should see.
 CELL = 2_000_000
 #: One document in SAMPLE is looked at for hot keys; a key is hot if at least HOT_SHARE of the sampled
@@ -165,3 +168,20 @@ def spot_of(column: str) -> Column:
 
 def may_hold(bits: np.ndarray, spots: np.ndarray) -> np.ndarray:
     return (bits[spots >> 3] >> (7 - (spots & 7)) & 1).astype(bool)
+
+
+def without(docs: DataFrame, gone: DataFrame, column: str) -> DataFrame:
+    """The rows of ``docs`` whose id is not in ``gone`` (one column of that name, ids distinct).
+
+    The fixed-size filter lets most rows pass where they are; only those that
+    it cannot clear are shuffled to an exact anti join.
+    """
+    bits = share(docs.sparkSession, id_filter(gone, column))
+
+    @F.pandas_udf("boolean")
+    def listed(spot: pd.Series) -> pd.Series:
+        return pd.Series(may_hold(pickle.loads(bits.value), spot.to_numpy()))
+
+    columns = docs.columns
+    marked = docs.withColumn("_some", listed(F.coalesce(spot_of(column), F.lit(0))))
+    return marked.filter("NOT _some").select(*columns).union(marked.filter("_some").select(*columns).join(gone, column, "left_anti").select(*columns))

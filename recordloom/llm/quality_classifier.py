@@ -6,6 +6,7 @@ import pickle
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -127,3 +128,17 @@ def classify(docs: DataFrame, model: NeighbourVote, threshold: float = 0.5) -> D
 
     rows = docs.select("doc_id", text_bytes(F.col("text")).alias("data")).mapInArrow(run, "doc_id long, score double")
     return rows.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def accepted(docs: DataFrame, model: NeighbourVote, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` whose whole text scores ``threshold`` or more, with all their columns."""
+    shared = share(docs.sparkSession, model)
+
+    @F.pandas_udf("double")
+    def score_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        vote = pickle.loads(shared.value)
+        for texts in batches:
+            parts = [texts.iloc[at : at + 512] for at in range(0, len(texts), 512)]
+            yield pd.Series(np.concatenate([vote.score(np.stack([terms(t) for t in part])) for part in parts]) if parts else np.zeros(0))
+
+    return docs.filter(score_of(text_bytes(F.col("text"))) >= threshold)

@@ -10,7 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recordloom.llm.census import CELL, cell_blobs, census_cell, hot_keys, id_filter, is_hot, may_hold, mix64, open_answer, spot_of, text_blocks
@@ -384,6 +384,16 @@ def cut_spans(text: bytes, spans: bytes | None) -> tuple[bytes, int, int]:
     return left, len(text) - len(left), len(pairs)
 
 
+def as_text(column: str) -> Column:
+    """Bytes as text; bytes that are no UTF-8 are left out."""
+
+    @F.pandas_udf("string")
+    def decoded(data: pd.Series) -> pd.Series:
+        return data.map(lambda b: b.decode("utf-8", "ignore"), na_action="ignore")
+
+    return decoded(F.col(column))
+
+
 def remove_repeats(docs: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Removes from each text all bytes covered by 50-byte strings that also start in a document with a smaller id.
 
