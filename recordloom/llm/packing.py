@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import sys
 import zlib
 from array import array
 from bisect import bisect_left, insort
@@ -11,20 +13,21 @@ from pathlib import Path
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recordloom.llm.common import ranked, text_bytes, written
+from recordloom.llm.common import ranked, written
 
-#: Words whose ids a worker keeps for good; it forgets others after each batch. This bounds memory, not results.
-REMEMBERED = 400_000
-#: Texts encoded together.
-BATCH = 400
+#: Words whose ids a worker keeps for good; it forgets others after each block. This bounds memory, not results.
+REMEMBERED = 900_000
+#: Bytes of text encoded together; a longer text is a block of its own.
+BLOCK = 6 << 20
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 class WordTokenizer:
-    """Ids of whole texts by a lower-casing tokenizer that drops white space, as little-endian unsigned 32-bit bytes.
+    """Ids of whole texts by a lower-casing tokenizer that drops white space.
 
     Such a tokenizer never joins characters across white space, so the ids of a
     text are those of its words one after another, and each distinct word is
@@ -37,35 +40,103 @@ class WordTokenizer:
     def __init__(self, definition: str):
         from tokenizers import Tokenizer
 
+        # One thread a worker: Spark already runs a worker on each core.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_str(definition)
-        self.known: dict[bytes, bytes] = {}
+        self.known = pa.array([], pa.large_string())
+        self.starts, self.counts, self.pool = np.zeros(0, "int32"), np.zeros(0, "int32"), np.zeros(0, "uint32")
 
-    def encode(self, words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+    def _append(self, words: pa.Array, counts: np.ndarray, ids: np.ndarray) -> None:
+        self.known = pa.concat_arrays([self.known, words])
+        self.starts = np.concatenate([self.starts, (len(self.pool) + np.cumsum(counts) - counts).astype("int32")])
+        self.counts, self.pool = np.concatenate([self.counts, counts.astype("int32")]), np.concatenate([self.pool, ids])
+
+    def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        counts, ids = array("q"), array("I")
         for at in range(0, len(words), 10_000):
-            part = words[at : at + 10_000]
-            found = self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
-            yield from ((w, array("I", e.ids).tobytes()) for w, e in zip(part, found))
-
-    def ids(self, texts: list[bytes]) -> Iterator[bytes]:
-        """The ids of each text, in order."""
-        known = self.known
-        for at in range(0, len(texts), BATCH):
-            lists = [(t if b"<|" in t else t.lower()).split() for t in texts[at : at + BATCH]]
-            new: set[bytes] = set()
-            for words in lists:
-                new.update(words)
-            new.difference_update(known)
-            ended = {w for w in new if len(w) > 1 and w[-1] in b".," and 97 <= w[-2] <= 122}
-            need = {w[:-1] for w in ended} | {w[-1:] for w in ended} | (new - ended)
-            need.difference_update(known)
-            known.update(self.encode(list(need)))
-            for w in ended:
-                known[w] = known[w[:-1]] + known[w[-1:]]
-            for words in lists:
-                yield b"".join([known[w] for w in words])
-            if len(known) > REMEMBERED:
-                for w in need | ended:
-                    del known[w]
+            for e in self.tokenizer.encode_batch(words[at : at + 10_000], add_special_tokens=False):
+                found = e.ids
+                counts.append(len(found))
+                ids.extend(found)
+        return np.frombuffer(counts, "int64"), np.frombuffer(ids, "uint32")
+
+    def _learn(self, words: list[str]) -> np.ndarray:
+        """Adds words that are not known; their places."""
+        ended = [i for i, w in enumerate(words) if len(w) > 1 and w[-1] in ".," and "a" <= w[-2] <= "z"]
+        marked = set(ended)
+        stems = [words[i][:-1] for i in ended]
+        there = pc.fill_null(pc.index_in(pa.array([*stems, ".", ","], pa.large_string()), value_set=self.known), -1).to_numpy()
+        # Plain new words and the stems and marks that nothing held yet, each once.
+        place: dict[str, int] = {}
+        fresh: list[str] = []
+        for w in [*(w for i, w in enumerate(words) if i not in marked), *(s for s, k in zip([*stems, ".", ","], there) if k < 0)]:
+            if w not in place:
+                place[w] = len(self.known) + len(fresh)
+                fresh.append(w)
+        self._append(pa.array(fresh, pa.large_string()), *self._encode(fresh))
+        out = np.empty(len(words), "int64")
+        if ended:
+            stem = np.array([k if k >= 0 else place[s] for s, k in zip(stems, there.tolist())])
+            dot, comma = (k if k >= 0 else place[m] for m, k in zip(".,", there[-2:].tolist()))
+            mark = np.array([dot if words[i][-1] == "." else comma for i in ended])
+            at = len(self.known) + np.arange(len(ended))
+            both = np.stack([stem, mark], axis=1).ravel()
+            self._append(pa.array([words[i] for i in ended], pa.large_string()), self.counts[stem] + self.counts[mark], self.gather(both))
+            out[ended] = at
+        plain = [i for i in range(len(words)) if i not in marked]
+        out[plain] = [place[words[i]] for i in plain]
+        return out
+
+    def gather(self, places: np.ndarray) -> np.ndarray:
+        """The ids of known words, one after another."""
+        counts = self.counts[places]
+        ends = np.cumsum(counts, dtype="int64")
+        at = np.repeat((self.starts[places] - (ends - counts)).astype("int32"), counts)
+        at += np.arange(len(at), dtype="int32")
+        return self.pool[at]
+
+    def block(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of a block of texts, and where each text ends among them."""
+        keep = pc.match_substring(texts, "<|")
+        texts = pc.if_else(keep, texts, pc.ascii_lower(texts))
+        lists = pc.ascii_split_whitespace(texts.cast(pa.large_string()))
+        coded = lists.flatten().dictionary_encode()
+        words = coded.dictionary.cast(pa.large_string())
+        before = len(self.known), len(self.pool)
+        found = pc.fill_null(pc.index_in(words, value_set=self.known), -1).to_numpy().astype("int64")
+        new = np.flatnonzero(found < 0)
+        if len(new):
+            found[new] = self._learn(words.take(pa.array(new)).to_pylist())
+        places = found[coded.indices.to_numpy()]
+        ids = self.gather(places)
+        upto = np.concatenate([[0], np.cumsum(self.counts[places], dtype="int64")])
+        offsets = lists.offsets.to_numpy()
+        ends = upto[offsets[1:] - offsets[0]]
+        if before[0] > REMEMBERED:
+            self.known = self.known.slice(0, before[0])
+            self.starts, self.counts, self.pool = self.starts[: before[0]].copy(), self.counts[: before[0]].copy(), self.pool[: before[1]].copy()
+        return ids, ends
+
+
+def _tokenizer(definition: str) -> WordTokenizer:
+    """The worker process's tokenizer: it stays with its words from task to task."""
+    cache = sys.__dict__.setdefault("_recordloom_tokenizers", {})
+    key = zlib.crc32(definition.encode())
+    if key not in cache:
+        cache[key] = WordTokenizer(definition)
+    return cache[key]
+
+
+def blocks(lengths: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of at most ``most`` bytes, or of one row."""
+    start, size = 0, 0
+    for i, n in enumerate(lengths.tolist()):
+        if i > start and size + n > most:
+            yield start, i
+            start, size = i, 0
+        size += n
+    if start < len(lengths):
+        yield start, len(lengths)
 
 
 def tokenized_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int = 0) -> DataFrame:
@@ -73,23 +144,28 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id
     definition = Path(tokenizer_path).read_text(encoding="utf-8")
     # Sent once to each executor, 2 MB whatever the input; executors need no file of their own.
     shared = docs.sparkSession.sparkContext.broadcast(definition)
-    end = int(end_id).to_bytes(4, "little")
+    end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = WordTokenizer(shared.value)
+        tokenizer = _tokenizer(shared.value)
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            rows: list[tuple] = []
-            for doc_id, found in zip(ids, tokenizer.ids(texts)):
-                found += end
-                n = len(found) // 4
-                for piece, start in enumerate(range(0, n, capacity)):
-                    part = found[4 * start : 4 * (start + capacity)]
-                    rows.append((doc_id, piece, start, len(part) // 4, zlib.crc32(part)))
-            if rows:
+            lengths = pc.binary_length(batch.column(1)).to_numpy()
+            for low, high in blocks(lengths, BLOCK):
+                ids, ends = tokenizer.block(batch.column(1).slice(low, high - low))
+                data = ids.astype("<u4", copy=False)
+                rows: list[tuple] = []
+                begin = 0
+                for doc_id, stop in zip(batch.column(0).slice(low, high - low).to_pylist(), ends.tolist()):
+                    n = stop - begin + 1
+                    for piece, start in enumerate(range(0, n, capacity)):
+                        size = min(capacity, n - start)
+                        part = data[begin + start : min(begin + start + size, stop)]
+                        crc = zlib.crc32(part)
+                        rows.append((doc_id, piece, start, size, zlib.crc32(end, crc) if start + size == n else crc))
+                    begin = stop
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select("doc_id", text_bytes(F.col("text")).alias("data")).mapInArrow(run, PIECES)
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("data")).mapInArrow(run, PIECES)
 
 
 def plan_bins(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, int, int, int, int]], int]:
