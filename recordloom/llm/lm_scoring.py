@@ -49,7 +49,8 @@ def blocks(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
 
 def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """Distinct words (A-Z lower-cased), the place of each word of all texts among them, and words a text."""
-    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.cast(pa.large_string())))
+    # Lower-cased first: that copies a slice whole, which the cast of a slice does not do right.
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts).cast(pa.large_string()))
     coded = lists.flatten().dictionary_encode()
     words, places = coded.dictionary, coded.indices.to_numpy().astype("int64")
     offsets = lists.offsets.to_numpy()
