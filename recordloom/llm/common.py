@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark import Broadcast, cloudpickle
@@ -54,8 +55,10 @@ def dropped(spark: SparkSession, *tables: DataFrame) -> None:
         for file in table.inputFiles()[:1]:
             folder = jvm.org.apache.hadoop.fs.Path(file).getParent()
             folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
-    gc.collect()
-    jvm.System.gc()
+    for _ in range(2):  # the second round takes what the first has let go
+        gc.collect()
+        jvm.System.gc()
+        time.sleep(0.5)
 
 
 def partitions(spark: SparkSession) -> int:

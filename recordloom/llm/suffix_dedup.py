@@ -142,33 +142,62 @@ ENTRY = np.dtype([("key", "<u8"), ("doc", "<i8"), ("mark", "<u4"), ("pos", "<u4"
 SPAN = np.dtype([("doc", "<i8"), ("mark", "<u4"), ("start", "<u4"), ("end", "<u4")])
 
 
-def _scan(docs: DataFrame, cells: int, hot: np.ndarray) -> DataFrame:
-    """(cell, block, blob): anchor keys for the census cells, and under cell -1 the block's own texts."""
-    shared = share(docs.sparkSession, hot)
+def _speakers(ids: list[int | None], texts: list[bytes]) -> list[int]:
+    """Rows that speak for a block: of equal texts the one with the smallest id. Null ids take no part."""
+    speaker: dict[bytes, int] = {}
+    for i in sorted((i for i in range(len(ids)) if ids[i] is not None), key=lambda i: ids[i]):
+        speaker.setdefault(texts[i], i)
+    return sorted(speaker.values())
+
+
+def _per_block(docs: DataFrame, emit, schema: str) -> DataFrame:
+    """Rows that ``emit`` makes of each block of documents (its number, ids, texts).
+
+    Blocks follow the files, so each scan of the same input sees the same ones.
+    """
+    names = [f.split()[0] for f in schema.split(", ")]
+    types = {"long": pa.int64(), "binary": pa.binary()}
+    kinds = [types[f.split()[1]] for f in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        hot = pickle.loads(shared.value)
         block = TaskContext.get().partitionId() << 32
         for batch in batches:
             for part in text_blocks(batch, 1):
-                ids, texts = part.column(0).to_pylist(), part.column(1).to_pylist()
-                # The first of equal texts by id speaks for the block; null ids take no part.
-                speaker: dict[bytes, int] = {}
-                for i in sorted((i for i in range(len(ids)) if ids[i] is not None), key=lambda i: ids[i]):
-                    speaker.setdefault(texts[i], i)
-                some = sorted(speaker.values())
-                mine = [texts[i] for i in some]
-                mark = np.array([int.from_bytes(hashlib.blake2b(t, digest_size=4).digest(), "little") for t in mine], dtype="uint64")
-                copies = [(ids[i], zlib.crc32(texts[i]), len(texts[i])) for i in range(len(ids)) if ids[i] is not None and len(texts[i]) >= MATCH and ids[i] > ids[speaker[texts[i]]]]
-                owner, key = anchor_keys(pa.array(mine, pa.large_binary()))
-                cold = ~is_hot(hot, key)
-                rows = [(-1, block, pickle.dumps(([ids[i] for i in some], mine, copies))), *[(c, block, blob) for c, blob in cell_blobs(owner[cold], key[cold], mark, cells)]]
+                rows = list(emit(block, part.column(0).to_pylist(), part.column(1).to_pylist()))
                 block += 1
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary()))], names=["cell", "block", "blob"])
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
+
+    return docs.mapInArrow(run, schema)
 
-    return docs.mapInArrow(run, "cell long, block long, blob binary")
+
+def _cell_rows(docs: DataFrame, cells: int, hot: np.ndarray) -> DataFrame:
+    """(cell, block, blob): the anchor keys of each block's speakers, for the census."""
+    shared = share(docs.sparkSession, hot)
+
+    def emit(block: int, ids: list[int | None], texts: list[bytes]) -> Iterator[tuple[int, int, bytes]]:
+        mine = [texts[i] for i in _speakers(ids, texts)]
+        mark = np.array([int.from_bytes(hashlib.blake2b(t, digest_size=4).digest(), "little") for t in mine], dtype="uint64")
+        owner, key = anchor_keys(pa.array(mine, pa.large_binary()))
+        cold = ~is_hot(pickle.loads(shared.value), key)
+        for c, blob in cell_blobs(owner[cold], key[cold], mark, cells):
+            yield c, block, blob
+
+    return _per_block(docs, emit, "cell long, block long, blob binary")
+
+
+def _home_rows(docs: DataFrame) -> DataFrame:
+    """(block, blob): ids and texts of each block's speakers, and its copies of them."""
+
+    def emit(block: int, ids: list[int | None], texts: list[bytes]) -> Iterator[tuple[int, int, bytes]]:
+        some = _speakers(ids, texts)
+        first = {texts[i]: ids[i] for i in some}
+        copies = [(i, zlib.crc32(t), len(t)) for i, t in zip(ids, texts) if i is not None and len(t) >= MATCH and i > first[t]]
+        yield block, pickle.dumps(([ids[i] for i in some], [texts[i] for i in some], copies))
+
+    return _per_block(docs, emit, "block long, blob binary")
 
 
 def _by(place: np.ndarray, rows: np.ndarray) -> Iterator[tuple[int, bytes]]:
@@ -193,9 +222,8 @@ def _bucket(doc: np.ndarray, buckets: int) -> np.ndarray:
 def _ask(cells: int, index_cells: int, buckets: int, hot_shared):
     """A block with its answers: what may repeat goes to the index cells; what the block settles itself goes out as spans."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(pdf: pd.DataFrame, home: pd.DataFrame) -> pd.DataFrame:
         hot = pickle.loads(hot_shared.value)
-        home = pdf[pdf["cell"] < 0]
         ids, texts, copies = pickle.loads(home["blob"].iloc[0])
         kinds, places, blobs = [], [], []
 
@@ -215,9 +243,8 @@ def _ask(cells: int, index_cells: int, buckets: int, hot_shared):
         heat = is_hot(hot, key)
         asked = [np.zeros(0, "uint64")]
         for cell, blob in zip(pdf["cell"], pdf["blob"]):
-            if cell >= 0:
-                low, who, _ = open_answer(blob)
-                asked.append(mix64(mix64(np.uint64(cell) << np.uint64(32) | low.astype("uint64")) + who.astype("uint64")))
+            low, who, _ = open_answer(blob)
+            asked.append(mix64(mix64(np.uint64(cell) << np.uint64(32) | low.astype("uint64")) + who.astype("uint64")))
         asked_for = np.unique(np.concatenate(asked))
         mine = mix64(mix64(((key >> np.uint64(32)) % np.uint64(cells)) << np.uint64(32) | (key & np.uint64(0xFFFFFFFF))) + owner.astype("uint64"))
         take = ~heat & is_hot(asked_for, mine)
@@ -356,11 +383,11 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     index_cells = max(4, int(expected * 0.3 / INDEX_CELL) + 1)
     buckets = max(4, int(total / (16 << 20)) + 1)
     hot = hot_keys(rows, anchor_keys)
-    scanned = _scan(rows, cells, hot)
-    answered = scanned.groupBy("cell", F.when(F.col("cell") < 0, F.col("block")).alias("_own")).applyInPandas(census_cell, "block long, cell long, blob binary")
-    asked = answered.groupBy("block").applyInPandas(_ask(cells, index_cells, buckets, share(spark, hot)), "kind int, place long, blob binary")
+    answered = _cell_rows(rows, cells, hot).groupBy("cell").applyInPandas(census_cell, "block long, cell long, blob binary")
+    # Both scans run in stages of their own, where a block has the same number.
+    asked = answered.groupBy("block").cogroup(_home_rows(rows).groupBy("block")).applyInPandas(_ask(cells, index_cells, buckets, share(spark, hot)), "kind int, place long, blob binary")
     asked = written(asked, "suffix-asked")
-    del scanned, answered
+    del answered
     dropped(spark)
     found = asked.filter("kind = 0").groupBy("place").applyInPandas(_index_cell(buckets), "place long, blob binary")
     spans = asked.filter("kind = 1").select("place", "blob").union(found)
