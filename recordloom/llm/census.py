@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from recordloom.llm.common import share
 
 #: Occurrences a cell should see.
-CELL = 2_000_000
+CELL = 3_000_000
 #: One document in SAMPLE is looked at for hot keys; a key is hot if at least HOT_SHARE of the sampled
 #: documents, and HOT_LEAST of them, have it. So there are at most (keys a document) / HOT_SHARE hot keys.
 SAMPLE, HOT_SHARE, HOT_LEAST = 32, 1 / 2000, 12
@@ -85,22 +85,28 @@ def is_hot(hot: np.ndarray, key: np.ndarray) -> np.ndarray:
 
 
 def cell_blobs(owner: np.ndarray, key: np.ndarray, mark: np.ndarray, cells: int) -> Iterator[tuple[int, bytes]]:
-    """For each cell the block's keys there: remainders, marks of the texts they are in, and owners."""
+    """For each cell the block's keys there: remainders by owner, and each owner once with its number of keys and its mark."""
     cell = ((key >> np.uint64(32)) % np.uint64(cells)).astype("int64")
     order = np.argsort(cell * (int(owner.max(initial=0)) + 1) + owner, kind="stable")
-    low, who = key[order].astype("uint32"), owner[order].astype("uint16")
-    marks = mark[owner[order]].astype("uint32")
+    low, who = key[order].astype("uint32"), owner[order]
     ends = np.cumsum(np.bincount(cell, minlength=cells))
     start = 0
     for c in np.flatnonzero(np.diff(np.r_[0, ends])).tolist():
         end = int(ends[c])
-        yield c, np.uint32(end - start).tobytes() + low[start:end].tobytes() + marks[start:end].tobytes() + who[start:end].tobytes()
+        mine = who[start:end]
+        first = np.flatnonzero(np.r_[True, mine[1:] != mine[:-1]])
+        times = np.diff(np.r_[first, len(mine)])
+        head = np.array([end - start, len(first)], dtype="uint32").tobytes()
+        yield c, head + low[start:end].tobytes() + mark[mine[first]].astype("uint32").tobytes() + times.astype("uint32").tobytes() + mine[first].astype("uint16").tobytes()
         start = end
 
 
 def _open(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    n = int(np.frombuffer(blob, "uint32", 1)[0])
-    return np.frombuffer(blob, "uint32", n, 4), np.frombuffer(blob, "uint32", n, 4 + 4 * n), np.frombuffer(blob, "uint16", n, 4 + 8 * n)
+    """Remainders, marks and owners, one of each a key."""
+    n, m = np.frombuffer(blob, "uint32", 2).tolist()
+    at = 8 + 4 * n
+    times = np.frombuffer(blob, "uint32", m, at + 4 * m)
+    return np.frombuffer(blob, "uint32", n, 8), np.repeat(np.frombuffer(blob, "uint32", m, at), times), np.repeat(np.frombuffer(blob, "uint16", m, at + 8 * m), times)
 
 
 def level_of(texts: np.ndarray) -> np.ndarray:
@@ -122,6 +128,7 @@ def census_cell(pdf: pd.DataFrame) -> pd.DataFrame:
     pairs.sort()
     pairs = pairs[np.r_[True, pairs[1:] != pairs[:-1]]]
     lows = (pairs >> np.uint64(32)).astype("uint32")
+    del pairs
     first = np.flatnonzero(np.r_[True, lows[1:] != lows[:-1]])
     texts = np.diff(np.r_[first, len(lows)])
     shared, levels = lows[first][texts > 1], level_of(texts[texts > 1])

@@ -172,7 +172,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 75, den: int = 1
        and size are one group.
     4. Group pairs share a prefix key and pass the size filter and the position
        filter. First each group is paired with the one leader that it shares
-       most keys with, and members with their group; what these links join
+       most keys with (of those with the smallest share of shingles that no other text has), and members with their group; what these links join
        needs no more pairs. All pairs left between different components are
        then expanded to members and verified on their texts, so no link
        between components is lost.
@@ -203,10 +203,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 75, den: int = 1
                 keys = np.frombuffer(prefix, "<u8")
                 m = len(keys)
                 before = n - int(least_common(np.int64(n), num, den)) + 1 - m
-                yield pa.RecordBatch.from_arrays([pa.array(keys.astype("int64")), pa.array(np.full(m, gid)), pa.array(np.full(m, n)), pa.array(np.arange(before, before + m, dtype="int64"))], names=["key", "gid", "n", "pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys.astype("int64")), pa.array(np.full(m, gid)), pa.array(np.full(m, n)), pa.array(np.arange(before, before + m, dtype="int64")), pa.array(np.full(m, before * 1000 // n))], names=["key", "gid", "n", "pos", "lone"])
 
     firsts = members.filter("cls = gid").select("gid", "n", "prefix")
-    entries = firsts.mapInArrow(spread, "key long, gid long, n long, pos long")
+    entries = firsts.mapInArrow(spread, "key long, gid long, n long, pos long, lone long")
     kept = entries.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1").select("key")
     entries = written(entries.join(kept, "key"), "jaccard-keys")
 
@@ -228,9 +228,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 75, den: int = 1
 
     links = needed.filter("cls <> gid").select(F.col("gid").alias("u"), F.col("cls").alias("v"))
     scale = F.floor(F.log("n") / float(np.log(den / num))).cast("int")
-    for turn, pick in enumerate((F.min, F.max)):
+    # Copies of one text differ from each other more than from it, and it has the fewest shingles of its own.
+    for turn, last in enumerate((F.col("gid"), F.xxhash64("gid"))):
         sized = entries.withColumn("scale", scale)
-        leaders = sized.groupBy("key", "scale").agg(pick("gid").alias("lead"))
+        leaders = sized.groupBy("key", "scale").agg(F.min_by("gid", F.struct("lone", last.alias("last"))).alias("lead"))
         votes = sized.join(leaders, ["key", "scale"]).filter("lead <> gid").groupBy("gid", "lead").count()
         best = votes.groupBy("gid").agg(F.max_by("lead", F.struct("count", "lead")).alias("lead"))
         star = best.select(F.col("lead").alias("u"), F.col("gid").alias("v"))
