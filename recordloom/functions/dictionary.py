@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from recordloom.config import ATTRIBUTE_ALIASES, COLOR_FAMILIES
-from recordloom.functions.text import PUNCTUATION, norm_text
+from recordloom.functions.text import PUNCTUATION, let, norm_text
 
 IDEOGRAPH = "[一-鿿㐀-䶿]"
 #: Dictionaries are configuration; a larger one than this must be joined without a broadcast.
@@ -48,13 +48,17 @@ def canonical(c: Column, section: Mapping[str, Iterable[str]], strict: bool = Fa
     Without a hit: null if ``strict``, else the normalised text.
     """
     rows = alias_rows(section)
-    n = F.nullif(norm_text(c), F.lit(""))
-    whole = F.create_map(*[F.lit(x) for a, k, _ in rows for x in (a, k)]) if rows else None
-    out = F.lit(None).cast("string") if strict else n
-    for a, k, _ in sorted((r for r in rows if len(r[0]) >= 2), key=lambda r: (len(r[0]), -r[2])):
-        out = F.when(n.contains(a), F.lit(k)).otherwise(out)
-    exact = F.try_element_at(whole, n) if rows else F.lit(None)
-    return F.when(n.isNull(), F.lit(None)).otherwise(F.coalesce(exact, out))
+
+    def value(n: Column) -> Column:
+        out = F.lit(None).cast("string") if strict else n
+        for a, k, _ in sorted((r for r in rows if len(r[0]) >= 2), key=lambda r: (len(r[0]), -r[2])):
+            out = F.when(n.contains(a), F.lit(k)).otherwise(out)
+        if not rows:
+            return out
+        whole = F.create_map(*[F.lit(x) for a, k, _ in rows for x in (a, k)])
+        return F.when(n.isNotNull(), F.coalesce(F.try_element_at(whole, n), out))
+
+    return let(F.nullif(norm_text(c), F.lit("")), value)
 
 
 def attribute_code(c: Column, aliases: Mapping[str, str] = ATTRIBUTE_ALIASES) -> Column:
@@ -70,17 +74,17 @@ def attribute_code(c: Column, aliases: Mapping[str, str] = ATTRIBUTE_ALIASES) ->
 
 def color_family(c: Column, families: Mapping[str, Iterable[str]] = COLOR_FAMILIES) -> Column:
     """The family of a color: by whole name, else the first family with a member inside the text, else the text itself (NRM6)."""
-    n = F.nullif(norm_text(c), F.lit(""))
-    out = n
     names = [(f, [m for m in map(plain, members) if m]) for f, members in families.items()]
-    for f, members in reversed(names):
-        hit = F.lit(False)
-        for m in members:
-            hit = hit | n.contains(m)
-        out = F.when(hit, F.lit(f)).otherwise(out)
-    for f, members in reversed(names):
-        out = F.when(n.isin(members), F.lit(f)).otherwise(out)
-    return out
+
+    def family(n: Column) -> Column:
+        out = n
+        for f, members in reversed(names):
+            out = F.when(n.rlike("|".join(map(re.escape, members))), F.lit(f)).otherwise(out)
+        for f, members in reversed(names):
+            out = F.when(n.isin(members), F.lit(f)).otherwise(out)
+        return out
+
+    return let(F.nullif(norm_text(c), F.lit("")), family)
 
 
 def alias_pattern(alias: str, short: int | None = None) -> str:
@@ -106,10 +110,11 @@ def all_hits(c: Column, section: Mapping[str, Iterable[str]]) -> Column:
     for i, (k, aliases) in enumerate((k, a) for k, a in section.items() if not k.startswith("_")):
         entries += [(-len(a), i * 1000 + j, k, a) for j, a in enumerate(map(plain, (k, *aliases))) if a]
     entries.sort()
-    hits = F.array(*[F.when(n.rlike(alias_pattern(a)), F.struct(F.lit(k).alias("canonical"), F.lit(a).alias("alias"))) for _, _, k, a in entries])
-    hits = F.filter(hits, lambda h: h.isNotNull())
+    if not entries:
+        return F.array().cast("array<struct<canonical:string,alias:string>>")
+    hits = let(n, lambda t: F.array_compact(F.array(*[F.when(t.rlike(alias_pattern(a)), F.struct(F.lit(k).alias("canonical"), F.lit(a).alias("alias"))) for _, _, k, a in entries])))
     # The first hit of each canonical value.
-    return F.filter(hits, lambda h, i: F.array_position(F.transform(hits, lambda x: x["canonical"]), h["canonical"]) == i + 1)
+    return let(hits, lambda h: F.filter(h, lambda x, i: F.array_position(F.transform(h, lambda y: y["canonical"]), x["canonical"]) == i + 1))
 
 
 def tag_longest(docs: DataFrame, key: str, text: str, aliases: DataFrame) -> DataFrame:
@@ -128,14 +133,15 @@ def tag_longest(docs: DataFrame, key: str, text: str, aliases: DataFrame) -> Dat
 
 def tag_set(c: Column, section: Mapping[str, Iterable[str]], short: int | None = 4) -> Column:
     """The sorted set of canonical values with an alias in the text (NRM20); ``short`` None: any substring counts (NRM21)."""
-    n = norm_text(c)
-    out = []
+    patterns = []
     for k, aliases in section.items():
         names = [a for a in map(plain, (k, *aliases) if short is not None else aliases) if a]
         if names:
             pattern = "|".join(alias_pattern(a, short) if short is not None else re.escape(a) for a in names)
-            out.append(F.when(n.rlike(pattern), F.lit(k)))
-    return F.array_sort(F.array_compact(F.array(*out))) if out else F.array().cast("array<string>")
+            patterns.append((k, pattern))
+    if not patterns:
+        return F.array().cast("array<string>")
+    return let(norm_text(c), lambda n: F.array_sort(F.array_compact(F.array(*[F.when(n.rlike(p), F.lit(k)) for k, p in patterns]))))
 
 
 def canonical_term(c: Column, prefixes: Iterable[str], synonyms: Mapping[str, Iterable[str]]) -> Column:

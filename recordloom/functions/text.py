@@ -34,6 +34,11 @@ def norm_text(c: Column, exact: bool = False) -> Column:
     return F.coalesce(F.trim(F.regexp_replace(s, r"(?U)[\s　]+", " ")), F.lit(""))
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body names it; else the plan would hold a copy each time."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def some(values: Column) -> Column:
     """An array without its empty strings."""
     return F.filter(values, lambda x: x != "")
@@ -56,7 +61,8 @@ def overlap_coefficient(a: Column, b: Column) -> Column:
 
 def text_overlap(a: Column, b: Column) -> Column:
     """The larger of character-set and token-set overlap (NRM10); word sets alone would miss text without blanks."""
-    return F.greatest(overlap_coefficient(char_set(a), char_set(b)), overlap_coefficient(token_set(a), token_set(b)))
+    parts = lambda n: F.struct(char_set(n, True).alias("c"), token_set(n, True).alias("t"))
+    return let(F.struct(let(norm_text(a), parts).alias("a"), let(norm_text(b), parts).alias("b")), lambda p: F.greatest(overlap_coefficient(p["a"]["c"], p["b"]["c"]), overlap_coefficient(p["a"]["t"], p["b"]["t"])))
 
 
 def model_tokens(c: Column) -> Column:

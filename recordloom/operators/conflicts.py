@@ -9,18 +9,16 @@ from pyspark.sql import functions as F
 
 from recordloom.config import EXCLUSIVE_GOALS, RULES, Rule
 from recordloom.functions.dictionary import color_family
-from recordloom.functions.text import model_tokens, norm_text
+from recordloom.functions.text import let, model_tokens, norm_text
 from recordloom.schema import CONFLICT
 
 
 def _apart(a: Column, b: Column) -> Column:
-    na, nb = norm_text(a), norm_text(b)
-    return (na != nb) & ~na.contains(nb) & ~nb.contains(na)
+    return let(F.struct(norm_text(a).alias("a"), norm_text(b).alias("b")), lambda p: (p["a"] != p["b"]) & ~p["a"].contains(p["b"]) & ~p["b"].contains(p["a"]))
 
 
 def _models(a: Column, b: Column) -> Column:
-    ta, tb = model_tokens(a), model_tokens(b)
-    return (F.size(ta) > 0) & (F.size(tb) > 0) & (ta != tb)
+    return let(F.struct(model_tokens(a).alias("a"), model_tokens(b).alias("b")), lambda p: (F.size(p["a"]) > 0) & (F.size(p["b"]) > 0) & (p["a"] != p["b"]))
 
 
 #: What counts as a conflict of two known values (CF1).
@@ -57,8 +55,8 @@ def conflicts(lost: Column, found: Column, uncertain_category: Column | None = N
 
 def penalty(costs: Column) -> Column:
     """The largest cost and half of the others (CF3); 0 without any."""
-    total = F.aggregate(costs, F.lit(0.0), lambda s, x: s + x)
-    return F.when(F.size(costs) > 0, F.round(F.array_max(costs) + (total - F.array_max(costs)) / 2, 4)).otherwise(F.lit(0.0))
+    sums = lambda c: F.round((F.array_max(c) + F.aggregate(c, F.lit(0.0), lambda s, x: s + x)) / 2, 4)
+    return F.coalesce(let(costs, sums), F.lit(0.0))
 
 
 def costs(found: Column) -> Column:

@@ -87,9 +87,8 @@ def score_pairs(pairs: DataFrame, questions: DataFrame, weights: DataFrame, leas
     rows = rows.join(product.groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("keyword_sim")), ["a", "b"], "left")
     cos = lambda f: F.when(F.col("x")[f].isNotNull() & F.col("y")[f].isNotNull(), cosine(F.col("x")[f], F.col("y")[f]))
     features = FT.exam_features("x", "y", cos("stem_vector"), cos("answer_vector"), F.col("keyword_sim"))
-    broken = CF.exam_conflicts(F.col("x"), F.col("y"))
-    out = rows.select("a", "b", broken.alias("conflicts"), *SC.score(EXAM, features, broken).columns())
-    return out.filter(F.col("final_score") >= least)
+    out = SC.with_score(rows, EXAM, features, CF.exam_conflicts(F.col("x"), F.col("y")), keep=True)
+    return out.filter(F.col("final_score") >= least).drop("x", "y", "keyword_sim")
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from recordloom.config import PROFILES, RELIABILITY, TAU, ZONE_SCORES
 from recordloom.functions.dictionary import color_family
 from recordloom.functions.geo import haversine, zone
-from recordloom.functions.text import char_set, model_tokens, norm_text, overlap_coefficient, text_overlap, token_set
+from recordloom.functions.text import char_set, let, model_tokens, norm_text, overlap_coefficient, text_overlap, token_set
 
 IDENTITY_CODES = ("serial_number", "imei", "passport_number")
 
@@ -42,20 +42,26 @@ def category(lost: Column, found: Column, lost_candidates: Column | None = None,
 
 def attribute_similarity(code: Column, a: Column, b: Column) -> Column:
     """Similarity of two values of an attribute (FT2a)."""
-    na, nb = norm_text(a), norm_text(b)
-    ta, tb = model_tokens(a), model_tokens(b)
-    least = F.least(F.size(ta), F.size(tb))
-    prefix = (least == 0) | (F.slice(ta, F.lit(1), F.greatest(least, F.lit(0))) == F.slice(tb, F.lit(1), F.greatest(least, F.lit(0))))
-    ratio = text_overlap(a, b)
-    general = F.when(na.contains(nb) | nb.contains(na), 85.0).when(ratio >= 0.75, F.round(60 + 40 * ratio, 2)).when(ratio >= 0.4, F.round(50 + 30 * ratio, 2)).otherwise(0.0)
-    return (
-        F.when((na == "") | (nb == ""), 0.0)
-        .when(na == nb, 100.0)
-        .when(code == "color", F.when(color_family(a) == color_family(b), 80.0).otherwise(0.0))
-        .when(code == "model", F.when(ta == tb, 100.0).when(prefix, 30.0).otherwise(0.0))
-        .when(code.isin(*IDENTITY_CODES), 0.0)
-        .otherwise(general)
-    )
+    known = F.struct(a.alias("a"), b.alias("b"), norm_text(a).alias("na"), norm_text(b).alias("nb"))
+
+    def models(p: Column) -> Column:
+        least = F.least(F.size(p["x"]), F.size(p["y"]))
+        prefix = F.when(least == 0, F.lit(True)).otherwise(F.slice(p["x"], F.lit(1), least) == F.slice(p["y"], F.lit(1), least))
+        return F.when(p["x"] == p["y"], 100.0).when(prefix, 30.0).otherwise(0.0)
+
+    def value(p: Column) -> Column:
+        words = let(text_overlap(p["a"], p["b"]), lambda r: F.when(r >= 0.75, F.round(60 + 40 * r, 2)).when(r >= 0.4, F.round(50 + 30 * r, 2)).otherwise(0.0))
+        return (
+            F.when((p["na"] == "") | (p["nb"] == ""), 0.0)
+            .when(p["na"] == p["nb"], 100.0)
+            .when(code == "color", F.when(color_family(p["a"]) == color_family(p["b"]), 80.0).otherwise(0.0))
+            .when(code == "model", let(F.struct(model_tokens(p["a"]).alias("x"), model_tokens(p["b"]).alias("y")), models))
+            .when(code.isin(*IDENTITY_CODES), 0.0)
+            .when(p["na"].contains(p["nb"]) | p["nb"].contains(p["na"]), 85.0)
+            .otherwise(words)
+        )
+
+    return let(known, value)
 
 
 def profile_weight(category_code: Column, code: Column, profiles: Mapping[str, Mapping[str, float]] = PROFILES) -> Column:
@@ -80,20 +86,27 @@ def attribute(lost: Column, found: Column, category_code: Column, mass: float =
     """
     codes = F.filter(F.array_sort(F.array_intersect(F.map_keys(lost), F.map_keys(found))), lambda c: c != "distinctive")
 
-    def child(code: Column) -> Column:
+    def known(code: Column) -> Column:
         a, b = F.element_at(lost, code), F.element_at(found, code)
-        va, vb = F.nullif(a["value"], F.lit("")), F.nullif(b["value"], F.lit(""))
-        known = va.isNotNull() & vb.isNotNull()
-        score = F.when(known, attribute_similarity(code, va, vb))
-        weight = F.when(known, profile_weight(category_code, code)).otherwise(0.0)
         trust = F.least(reliability_of(a["source"]), reliability_of(b["source"]))
-        return F.struct(code.alias("field"), score.alias("score"), F.when(known, trust).otherwise(1.0).alias("reliability"), va.alias("lost_value"), vb.alias("found_value"), weight.alias("weight"), F.coalesce(weight * trust * score, F.lit(0.0)).alias("contribution"))
+        return F.struct(code.alias("field"), F.nullif(a["value"], F.lit("")).alias("x"), F.nullif(b["value"], F.lit("")).alias("y"), trust.alias("trust"))
+
+    def compared(c: Column) -> Column:
+        both = c["x"].isNotNull() & c["y"].isNotNull()
+        return F.struct(c.alias("c"), F.when(both, attribute_similarity(c["field"], c["x"], c["y"])).alias("score"), F.when(both, profile_weight(category_code, c["field"])).otherwise(0.0).alias("weight"), F.when(both, c["trust"]).otherwise(1.0).alias("r"))
+
+    def child(p: Column) -> Column:
+        c = p["c"]
+        return F.struct(c["field"].alias("field"), p["score"].alias("score"), p["r"].alias("reliability"), c["x"].alias("lost_value"), c["y"].alias("found_value"), p["weight"].alias("weight"), F.coalesce(p["weight"] * p["r"] * p["score"], F.lit(0.0)).alias("contribution"))
+
+    children = F.transform(F.transform(F.transform(codes, known), compared), child)
+    return attribute_mean(children, mass, floor), children
+
 
-    children = F.transform(codes, child)
-    num = F.aggregate(children, F.lit(0.0), lambda s, c: s + c["contribution"])
-    den = F.aggregate(children, F.lit(0.0), lambda s, c: s + c["weight"] * c["reliability"])
-    trust = F.greatest(F.lit(floor), F.least(F.lit(1.0), den / mass))
-    return feature(F.when(den > 0, F.round(num / den, 4)), F.round(trust, 4), "AGGREGATE"), children
+def attribute_mean(children: Column, mass: float = 8.0, floor: float = 0.25) -> Column:
+    """The attribute dimension from its parts."""
+    sums = F.aggregate(children, F.struct(F.lit(0.0).alias("num"), F.lit(0.0).alias("den")), lambda s, c: F.struct((s["num"] + c["contribution"]).alias("num"), (s["den"] + c["weight"] * c["reliability"]).alias("den")))
+    return let(sums, lambda s: feature(F.when(s["den"] > 0, F.round(s["num"] / s["den"], 4)), F.round(F.greatest(F.lit(floor), F.least(F.lit(1.0), s["den"] / mass)), 4), "AGGREGATE"))
 
 
 def location(lost: Column, found: Column, tau_m: Column | float = TAU["location_tau_m"], nearest: bool = False) -> Column:
@@ -109,7 +122,7 @@ def location(lost: Column, found: Column, tau_m: Column | float = TAU["location_
 
 
 def hours_between(a: Column, b: Column) -> Column:
-    return F.abs(F.unix_micros(a) - F.unix_micros(b)) / 3.6e9
+    return F.abs(F.unix_micros(a.cast("timestamp")) - F.unix_micros(b.cast("timestamp"))) / 3.6e9
 
 
 def time(start: Column, end: Column, found: Column, tau_hours: Column | float = TAU["time_tau_hours"]) -> Column:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,17 +12,6 @@ from recordloom.operators import scoring as SC
 from recordloom.operators.extract import attribute_map
 
 
-@dataclass(frozen=True)
-class Pair:
-    """Columns of a pair of bundles, ready to select."""
-
-    score: SC.Score
-    features: dict[str, Column]
-    children: dict[str, Column]
-    conflicts: Column
-    category: Column
-
-
 def _tau(category: Column, i: int, name: str) -> Column:
     out = F.lit(TAU[name])
     for c, values in CATEGORY_TAU.items():
@@ -32,32 +19,39 @@ def _tau(category: Column, i: int, name: str) -> Column:
     return out
 
 
-def match_pair(lost: str = "lost", found: str = "found", spec: DomainSpec = LOST_FOUND, semantic: str | None = "semantic_cosine", keyword: str | None = "keyword_rank", image: str | None = None, parents: tuple[Column, Column] | None = None) -> Pair:
-    """All features, conflicts and the score of two struct columns of ``schema.RECORD`` fields (RK1).
+def scored_pairs(pairs: DataFrame, spec: DomainSpec = LOST_FOUND, semantic: str | None = "semantic_cosine", keyword: str | None = "keyword_rank", image: str | None = None, parents: tuple[Column, Column] | None = None) -> DataFrame:
+    """Adds all score columns, ``conflicts`` and ``evidence`` to rows with ``lost`` and ``found`` structs (RK1).
 
-    Structs may carry ``category_candidates`` and ``category_uncertain``.
+    The structs have ``schema.RECORD`` fields, ``category_candidates`` and
+    ``category_uncertain``. Attribute maps are made once a side: of repeated
+    codes the last one counts for scores, the first one for conflicts.
     """
-    a, b = F.col(lost), F.col(found)
-    category = F.coalesce(F.nullif(a["category"], F.lit("")), b["category"])
-    uncertain = F.coalesce(a["category_uncertain"], F.lit(False)) | F.coalesce(b["category_uncertain"], F.lit(False))
-    attribute, attribute_parts = FT.attribute(attribute_map(a["attributes"], True), attribute_map(b["attributes"], True), category)
-    distinctive, marks = FT.distinctive(a["distinctive"], b["distinctive"])
+    a, b = F.col("lost"), F.col("found")
+    rows = pairs.withColumns({
+        "_la": attribute_map(a["attributes"], True), "_fa": attribute_map(b["attributes"], True),
+        "_lc": attribute_map(a["attributes"], False), "_fc": attribute_map(b["attributes"], False),
+        "_cat": F.coalesce(F.nullif(a["category"], F.lit("")), b["category"]),
+        "_open": F.coalesce(a["category_uncertain"], F.lit(False)) | F.coalesce(b["category_uncertain"], F.lit(False)),
+    })
+    plain = lambda c: F.transform_values(c, lambda k, v: v["value"])
+    core = lambda side: {k: side[k] for k in ("category", "brand", "model")}
+    marks_feature, marks = FT.distinctive(a["distinctive"], b["distinctive"])
+    _, attribute_parts = FT.attribute(F.col("_la"), F.col("_fa"), F.col("_cat"))
+    rows = rows.withColumns({"_lc": CF.core_first(plain(F.col("_lc")), core(a)), "_fc": CF.core_first(plain(F.col("_fc")), core(b)), "_attr": attribute_parts, "_mark": marks, "_dist": marks_feature})
     none = F.lit(None).cast("double")
     features = {
-        "category": FT.category(a["category"], b["category"], a["category_candidates"], b["category_candidates"], uncertain, *(parents or (None, None))),
-        "attribute": attribute,
-        "location": FT.location(a["location"], b["location"], _tau(category, 0, "location_tau_m")),
-        "time": FT.time(a["start_at"], F.coalesce(a["end_at"], a["start_at"]), F.coalesce(b["start_at"], b["end_at"]), _tau(category, 1, "time_tau_hours")),
-        "distinctive": distinctive,
+        "category": FT.category(a["category"], b["category"], a["category_candidates"], b["category_candidates"], F.col("_open"), *(parents or (None, None))),
+        "attribute": FT.attribute_mean(F.col("_attr")),
+        "location": FT.location(a["location"], b["location"], _tau(F.col("_cat"), 0, "location_tau_m")),
+        "time": FT.time(a["start_at"], F.coalesce(a["end_at"], a["start_at"]), F.coalesce(b["start_at"], b["end_at"]), _tau(F.col("_cat"), 1, "time_tau_hours")),
+        "distinctive": F.col("_dist"),
         "semantic": FT.semantic(F.col(semantic) if semantic else none),
         "keyword": FT.keyword(F.col(keyword) if keyword else none),
         "image": FT.semantic(F.col(image) if image else none),
     }
-    plain = lambda side: F.transform_values(attribute_map(side["attributes"], False), lambda k, v: v["value"])
-    core = lambda side: {k: side[k] for k in ("category", "brand", "model")}
-    broken = CF.conflicts(CF.core_first(plain(a), core(a)), CF.core_first(plain(b), core(b)), uncertain)
-    children = {"attribute": attribute_parts, "distinctive": marks}
-    return Pair(SC.score(spec, features, broken, category, marks, attribute_parts), features, children, broken, category)
+    broken = CF.conflicts(F.col("_lc"), F.col("_fc"), F.col("_open"))
+    out = SC.with_score(rows, spec, features, broken, F.col("_cat"), {"attribute": F.col("_attr"), "distinctive": F.col("_mark")}, keep=True)
+    return out.drop("_la", "_fa", "_lc", "_fc", "_cat", "_open", "_attr", "_mark", "_dist")
 
 
 def strength(score: Column) -> Column:
@@ -94,13 +88,6 @@ def explanation(final: Column, level: Column, evidence: Column, conflicts: Colum
     return F.concat(F.format_string("%s (%.1f)", level, final), F.when(pros != "", F.concat(F.lit(": "), pros)).otherwise(""), F.when(cons != "", F.concat(F.lit(". Against: "), cons)).otherwise(""))
 
 
-def scored_pairs(pairs: DataFrame, spec: DomainSpec = LOST_FOUND, **names) -> DataFrame:
-    """Adds score columns, ``conflicts`` and ``evidence`` to rows with ``lost`` and ``found`` structs."""
-    p = match_pair(spec=spec, **names)
-    rows = pairs.withColumns({"conflicts": p.conflicts, "evidence": SC.evidence(p.features, SC.weights_for(spec, p.category), p.children, p.conflicts)})
-    return rows.select("*", *p.score.columns())
-
-
 def run_matching(candidates: DataFrame, records: DataFrame, spec: DomainSpec = LOST_FOUND, scored: int = FUNNEL["scored"], reranked: int = FUNNEL["reranked"]) -> DataFrame:
     """Candidates (query_id, id, rrf_score, channel scores) to ranked, explained matches (RK2).
 

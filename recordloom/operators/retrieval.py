@@ -36,7 +36,9 @@ def structured(queries: DataFrame, records: DataFrame, limit: int = FUNNEL["keyw
 def postings(records: DataFrame, text: str = "normalized_text") -> DataFrame:
     """The inverted index: (term, id, tf, length)."""
     words = F.filter(F.split(norm_text(F.col(text)), " "), lambda w: w != "")
-    return records.select("id", F.size(words).alias("length"), F.explode(words).alias("term")).groupBy("term", "id").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
+    # The length is taken before the words are dealt out, else each word's row would carry them all.
+    sized = records.select("id", words.alias("words")).select("id", "words", F.size("words").alias("length"))
+    return sized.select("id", "length", F.explode("words").alias("term")).groupBy("term", "id").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
 
 
 def full_text(queries: DataFrame, index: DataFrame, limit: int = FUNNEL["keyword"], text: str = "query_text") -> DataFrame:
@@ -77,8 +79,8 @@ def trigram(queries: DataFrame, records: DataFrame, least: float = 0.05, limit:
     An equi-join on trigrams finds the shared ones, so records without any
     are never paired.
     """
-    left = queries.select("query_id", trigrams(F.col(query)).alias("g")).select("query_id", F.size("g").alias("n1"), F.explode("g").alias("gram"))
-    right = records.select("id", trigrams(F.col(text)).alias("g")).select("id", F.size("g").alias("n2"), F.explode("g").alias("gram"))
+    sized = lambda df, key, c, n: df.select(key, trigrams(F.col(c)).alias("g")).select(key, "g", F.size("g").alias(n)).select(key, n, F.explode("g").alias("gram"))
+    left, right = sized(queries, "query_id", query, "n1"), sized(records, "id", text, "n2")
     shared = left.join(right, "gram").filter("id <> query_id").groupBy("query_id", "id").agg(F.count("*").alias("both"), F.first("n1").alias("n1"), F.first("n2").alias("n2"))
     scored = shared.select("query_id", "id", F.round(F.col("both") / (F.col("n1") + F.col("n2") - F.col("both")), 6).alias("score")).filter(F.col("score") > least)
     return top(scored, ["query_id"], [F.col("score").desc(), F.col("id")], limit)

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recordloom.config import LOST_FOUND, DomainSpec
@@ -12,23 +10,6 @@ from recordloom.operators.conflicts import costs, has_critical, penalty, rejecte
 from recordloom.operators.features import IDENTITY_CODES
 
 
-@dataclass(frozen=True)
-class Score:
-    """Columns of a scored pair."""
-
-    base: Column
-    bonus: Column
-    penalty: Column
-    final: Column
-    coverage: Column
-    level: Column
-    action: Column
-    confidence: Column
-
-    def columns(self) -> list[Column]:
-        return [self.base.alias("base_score"), self.bonus.alias("bonus"), self.penalty.alias("penalty"), self.final.alias("final_score"), self.coverage.alias("coverage"), self.level.alias("level"), self.action.alias("action"), self.confidence.alias("confidence")]
-
-
 def total(parts: list[Column]) -> Column:
     out = F.lit(0.0)
     for p in parts:
@@ -74,16 +55,19 @@ def coverage(spec: DomainSpec, features: dict[str, Column], weights: dict[str, C
     return F.when(whole > 0, used / whole).otherwise(0.0)
 
 
-def level(spec: DomainSpec, final: Column, covered: Column, identity: Column, critical: Column, reject: Column) -> tuple[Column, Column]:
-    """The band of a score, lowered by caps, and its action (SC6). Bands are tried from the top and hold both ends."""
+def band(spec: DomainSpec, final: Column, covered: Column, identity: Column, critical: Column) -> Column:
+    """The place of a score's band, lowered by caps (SC6). Bands are tried from the top and hold both ends."""
     place = {b[0]: i for i, b in enumerate(spec.bands)}
-    lowest = len(spec.bands) - 1
-    at = F.lit(lowest)
+    at = F.lit(len(spec.bands) - 1)
     for i, (_, low, high, _) in reversed(list(enumerate(spec.bands))):
         at = F.when((final >= low) & (final <= high), F.lit(i)).otherwise(at)
-    caps = [F.when(critical, F.lit(place[spec.critical_cap])), F.when(~identity, F.lit(place[spec.identity_cap]))]
-    caps += [F.when(covered < below, F.lit(place[cap])) for below, cap in spec.coverage_caps]
-    at = F.greatest(at, *[F.coalesce(c, F.lit(0)) for c in caps])
+    caps = [F.when(critical, place[spec.critical_cap]).otherwise(0), F.when(~identity, place[spec.identity_cap]).otherwise(0)]
+    caps += [F.when(covered < below, place[cap]).otherwise(0) for below, cap in spec.coverage_caps]
+    return F.greatest(at, *caps)
+
+
+def named(spec: DomainSpec, at: Column, reject: Column) -> tuple[Column, Column]:
+    """Level and action of a band."""
     names, actions = (F.array(*[F.lit(b[k]) for b in spec.bands]) for k in (0, 3))
     return F.when(reject, F.lit("REJECT")).otherwise(F.element_at(names, at + 1)), F.when(reject, F.lit("DO_NOT_RECOMMEND")).otherwise(F.element_at(actions, at + 1))
 
@@ -98,19 +82,33 @@ def confidence(features: dict[str, Column], critical: Column, spec: DomainSpec =
     return F.round(F.least(F.lit(0.99), F.when(critical, F.greatest(value, F.lit(0.9))).otherwise(value)), 4)
 
 
-def score(spec: DomainSpec, features: dict[str, Column], conflicts: Column, category: Column | None = None, distinctive: Column | None = None, attributes: Column | None = None) -> Score:
-    """The whole kernel for one pair (SC4, SC9)."""
-    weights = weights_for(spec, category)
-    base, extra = weighted_mean(features, weights), bonus(spec, distinctive, attributes)
-    cost, critical, reject = penalty(costs(conflicts)), has_critical(conflicts), rejected(conflicts)
-    final = F.when(reject, 0.0).otherwise(F.round(F.greatest(F.lit(0.0), F.least(F.lit(100.0), base - cost + extra)), 4))
-    covered = coverage(spec, features, weights)
+def with_score(df: DataFrame, spec: DomainSpec, features: dict[str, Column], conflicts: Column, category: Column | None = None, children: dict[str, Column] | None = None, keep: bool = False) -> DataFrame:
+    """Adds the kernel's columns (SC4, SC9): base_score, bonus, penalty, final_score, coverage, level, action, confidence.
+
+    Built in layers, so that each part is computed once however many later
+    ones use it. ``children`` are the parts of the distinctive and attribute
+    dimensions; ``keep`` also adds ``conflicts`` and ``evidence``.
+    """
+    parts = children or {}
+    names = [f"_f_{d}" for d in features] + [f"_p_{d}" for d in parts] + ["_conflicts", "_category"]
+    first = {f"_f_{d}": f for d, f in features.items()} | {f"_p_{d}": c for d, c in parts.items()}
+    out = df.withColumns(first | {"_conflicts": conflicts, "_category": F.lit(None).cast("string") if category is None else category})
+    found = {d: F.col(f"_f_{d}") for d in features}
+    part = {d: F.col(f"_p_{d}") for d in parts}
+    weights = weights_for(spec, F.col("_category") if category is not None else None)
+    broken = F.col("_conflicts")
     identity = F.lit(False)
     for d in spec.identity_dimensions:
         if d in features:
-            identity = identity | features[d]["score"].isNotNull()
-    name, action = level(spec, final, covered, identity, critical, reject)
-    return Score(base, extra, cost, final, covered, name, action, confidence(features, critical))
+            identity = identity | found[d]["score"].isNotNull()
+    out = out.withColumns({"base_score": weighted_mean(found, weights), "bonus": bonus(spec, part.get("distinctive"), part.get("attribute")), "penalty": penalty(costs(broken)), "coverage": coverage(spec, found, weights), "_critical": has_critical(broken), "_reject": rejected(broken), "_identity": identity})
+    final = F.when(F.col("_reject"), 0.0).otherwise(F.round(F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.col("base_score") - F.col("penalty") + F.col("bonus"))), 4))
+    out = out.withColumn("final_score", final).withColumn("_band", band(spec, F.col("final_score"), F.col("coverage"), F.col("_identity"), F.col("_critical")))
+    label, action = named(spec, F.col("_band"), F.col("_reject"))
+    out = out.withColumns({"level": label, "action": action, "confidence": confidence(found, F.col("_critical"))})
+    if keep:
+        out = out.withColumns({"conflicts": broken, "evidence": evidence(found, weights, part, broken)})
+    return out.drop(*names, "_critical", "_reject", "_identity", "_band")
 
 
 def evidence(features: dict[str, Column], weights: dict[str, Column], children: dict[str, Column], conflicts: Column) -> Column:

@@ -396,8 +396,8 @@ SELECT a, b, base AS base_score, penalty, final AS final_score, round(used / 0.5
 CASE WHEN final >= 95 THEN 'VERY_HIGH' WHEN final >= 85 THEN 'HIGH' WHEN final >= 70 THEN 'MEDIUM' WHEN final >= 50 THEN 'LOW' ELSE 'IGNORE' END AS level FROM y""")
 def match_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SC1-SC6: the scoring kernel on part pairs; a keyword score is missing where brands differ."""
-    s = scoring.score(pair_spec(), pair_features(), pair_conflicts())
-    return part_pairs(spark, sf_dir).select("a", "b", *s.columns()).select("a", "b", "base_score", "penalty", "final_score", F.round("coverage", 6).alias("coverage"), "level")
+    out = scoring.with_score(part_pairs(spark, sf_dir), pair_spec(), pair_features(), pair_conflicts())
+    return out.select("a", "b", "base_score", "penalty", "final_score", F.round("coverage", 6).alias("coverage"), "level")
 
 
 @query(f"""
