@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Characters that count as blanks in normalised text.
 PUNCTUATION = "·・.,，。、!！?？:：;；-_/\\()（）[]【】\"'“”‘’"
@@ -17,7 +18,7 @@ NARROW = "".join(chr(0x21 + i) for i in range(94)) + " "
 PUNCTUATION_CLASS = "[" + "".join("\\" + c if c in "[]\\-^&" else c for c in PUNCTUATION) + "]"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(texts: pd.Series) -> pd.Series:
     """Unicode NFKC, which Spark has no function for; one Arrow batch at a time."""
     return texts.map(lambda s: unicodedata.normalize("NFKC", s), na_action="ignore")

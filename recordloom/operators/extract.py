@@ -89,7 +89,7 @@ def description(raw: Column, core: list[Column], attributes: Column) -> Column:
     """Raw text, core fields and attribute values, each once by normalised form, in order (NRM17)."""
     parts = F.concat(F.array(raw, *core), F.transform(F.coalesce(attributes, F.array()), lambda a: a["value"]))
     parts = F.filter(parts, lambda p: p.isNotNull() & (norm_text(p) != ""))
-    forms = F.transform(parts, norm_text)
+    forms = F.transform(parts, lambda p: norm_text(p))
     return F.array_join(F.filter(parts, lambda p, i: F.array_position(forms, norm_text(p)) == i + 1), " ")
 
 

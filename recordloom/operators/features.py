@@ -28,7 +28,7 @@ def category(lost: Column, found: Column, lost_candidates: Column | None = None,
     """Same 100, same parent 70, parent and child 30, else 0 as a major conflict; open candidates decide only by overlap (FT1)."""
     a, b = F.nullif(lost, F.lit("")), F.nullif(found, F.lit(""))
     open_ = F.lit(False) if uncertain is None else F.coalesce(uncertain, F.lit(False))
-    own = lambda c, v: F.array(norm_text(v)) if c is None else F.transform(F.when(F.coalesce(F.size(c), F.lit(0)) > 0, c).otherwise(F.array(v)), norm_text)
+    own = lambda c, v: F.array(norm_text(v)) if c is None else F.transform(F.when(F.coalesce(F.size(c), F.lit(0)) > 0, c).otherwise(F.array(v)), lambda x: norm_text(x))
     meets = F.arrays_overlap(own(lost_candidates, a), own(found_candidates, b))
     none = F.lit(None).cast("string")
     pa, pb = none if lost_parent is None else lost_parent, none if found_parent is None else found_parent

@@ -112,7 +112,7 @@ def nearest(queries: DataFrame, base: DataFrame, k: int, query_key: str = "query
         own = found if blocks == 1 else found.filter(F.pmod(F.xxhash64(query_key), F.lit(blocks)) == part)
         block = own.collect()  # a block of the query set
         names = [r[0] for r in block]
-        matrix = np.array([r[1] for r in block], dtype="float64").reshape(len(block), -1)
+        matrix = np.array([r[1] for r in block], dtype="float64").reshape(len(block), -1 if block else 0)
 
         def run(batches: Iterator[pd.DataFrame], names=names, matrix=matrix) -> Iterator[pd.DataFrame]:
             length = np.sqrt((matrix * matrix).sum(axis=1))

@@ -118,13 +118,16 @@ def evidence(features: dict[str, Column], weights: dict[str, Column], children:
     def as_row(kind: str, field: Column, value: Column, trust: Column, weight: Column, share: Column) -> Column:
         return F.struct(F.lit(kind).alias("evidence_type"), field.alias("field_name"), value.alias("similarity_score"), trust.alias("reliability"), weight.alias("weight"), F.round(share, 4).alias("contribution"), F.lit(False).alias("is_conflict"), F.lit(None).cast("string").alias("severity"))
 
+    def rows_of(kind: str):
+        return lambda c: as_row(kind, c["field"], c["score"], c["reliability"], c["weight"], c["contribution"])
+
     parts = []
     for d, f in features.items():
         kind = d.upper()
         alone = F.when(f["score"].isNotNull(), F.array(as_row(kind, F.lit(d), f["score"], f["reliability"], weights[d], weights[d] * f["reliability"] * f["score"])))
         if d in children:
             known = F.filter(F.coalesce(children[d], F.array()), lambda c: c["score"].isNotNull())
-            inner = F.transform(known, lambda c, kind=kind: as_row(kind, c["field"], c["score"], c["reliability"], c["weight"], c["contribution"]))
+            inner = F.transform(known, rows_of(kind))
             alone = F.when(F.size(known) > 0, inner).otherwise(alone)
         parts.append(F.coalesce(alone.cast(row), F.array().cast(row)))
     against = F.transform(conflicts, lambda c: F.struct(F.lit("CONFLICT").alias("evidence_type"), c["field"].alias("field_name"), F.lit(0.0).alias("similarity_score"), F.lit(1.0).alias("reliability"), F.lit(0.0).alias("weight"), (-c["penalty"]).alias("contribution"), F.lit(True).alias("is_conflict"), c["severity"].alias("severity")))

@@ -1,10 +1,9 @@
-"""Schemas of the unified records, pair evidence and second-domain tables, and closed value lists."""
+"""Schemas (as DDL) of the unified records, pair evidence and second-domain tables, and closed value lists."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 RECORD_TYPES = ("LOST", "FOUND")
 STATUSES = ("ACTIVE", "MATCHED", "RETURNED", "CLOSED")
@@ -15,22 +14,22 @@ DECISIONS = ("CONFIRMED", "REJECTED", "DEFERRED")
 
 ATTRIBUTE = "struct<code:string,value:string,source:string,confidence:double,is_secret:boolean,ordinal:int>"
 LOCATION = "struct<id:bigint,name:string,ancestors:array<bigint>,lat:double,lon:double>"
-RECORD = T.StructType.fromDDL(
+RECORD = (
     "id string, record_type string, status string, category string, brand string, model string, raw_description string,"
     " normalized_text string, created_at timestamp, version int,"
     f" attributes array<{ATTRIBUTE}>, distinctive array<string>, location {LOCATION}, start_at timestamp, end_at timestamp"
 )
-EMBEDDING = T.StructType.fromDDL("item_id string, kind string, model string, version string, content_hash string, embedding array<float>, status string")
-CANDIDATE = T.StructType.fromDDL(
+EMBEDDING = "item_id string, kind string, model string, version string, content_hash string, embedding array<float>, status string"
+CANDIDATE = (
     "lost_id string, found_id string, final_score double, base_score double, penalty double, bonus double, confidence double,"
     " level string, action string, status string, created_at timestamp"
 )
-EVIDENCE = T.StructType.fromDDL(
+EVIDENCE = (
     "lost_id string, found_id string, evidence_type string, field_name string, similarity_score double, reliability double,"
     " weight double, contribution double, is_conflict boolean, severity string"
 )
 CONFLICT = "struct<field:string,severity:string,lost_value:string,found_value:string,penalty:double,reason:string,reject:boolean>"
-QUESTION = T.StructType.fromDDL(
+QUESTION = (
     "qid string, raw string, stem string, options map<string,string>, answer array<string>, answer_header array<string>,"
     " answer_text string, rationale string, kps array<string>, services array<string>, constraints array<string>,"
     " qtype string, select_n int, source_no string, title string, path string, stem_truncated boolean"
