@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recordloom.llm.common import share
+from recordloom.llm.common import share, trim
 
 #: Occurrences a cell should see.
 CELL = 3_000_000
@@ -140,6 +140,7 @@ def census_cell(pdf: pd.DataFrame) -> pd.DataFrame:
             if hit.any():
                 blocks.append(block)
                 blobs.append(np.uint32(hit.sum()).tobytes() + low[hit].tobytes() + who[hit].tobytes() + levels[at[hit]].tobytes())
+    trim()
     return pd.DataFrame({"block": np.array(blocks, dtype="int64"), "cell": np.full(len(blocks), cell, "int64"), "blob": blobs})
 
 

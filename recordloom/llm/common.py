@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import time
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -70,6 +73,30 @@ def share(spark: SparkSession, model: object) -> Broadcast[bytes]:
     return spark.sparkContext.broadcast(cloudpickle.dumps(model))
 
 
+def trim() -> None:
+    """Gives memory that a worker has freed back to the system, so that an idle worker is a small one."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def packed(*parts: np.ndarray) -> bytes:
+    """Columns as one compressed blob: their sizes in bytes, then their bytes."""
+    data = b"".join(p.tobytes() for p in parts)
+    return np.array([len(parts), *(p.nbytes for p in parts)], "<u4").tobytes() + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def unpacked(blob: bytes) -> list[bytes]:
+    """The bytes of each column of ``packed``."""
+    n = int(np.frombuffer(blob, "<u4", 1)[0])
+    sizes = np.frombuffer(blob, "<u4", n, 4).tolist()
+    data = pa.decompress(blob[4 + 4 * n :], decompressed_size=sum(sizes), codec="zstd", asbytes=True) if sum(sizes) else b""
+    ends = np.cumsum([0, *sizes]).tolist()
+    return [data[a:b] for a, b in zip(ends, ends[1:])]
+
+
 def held_out(doc_id: Column, folds: int, fold: int) -> Column:
     """Whether crc32 of the id as text leaves ``fold`` modulo ``folds``; a null id counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(folds)) == fold

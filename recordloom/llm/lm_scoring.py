@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recordloom.llm.common import held_out, share, written
+from recordloom.llm.common import held_out, share, trim, written
 
 #: Frequent words whose counts all executors hold, at most; the others meet their counts in a join.
 HEAD = 1 << 18
@@ -85,6 +85,8 @@ def count_words(docs: DataFrame) -> DataFrame:
                         yield from held.pop().to_batches(max_chunksize=50_000)
         if held:
             yield from merged(held).to_batches(max_chunksize=50_000)
+        held.clear()
+        trim()
 
     found = docs.mapInArrow(run, "word string, c_train long, c_all long")
     return found.groupBy("word").agg(F.sum("c_train").alias("c_train"), F.sum("c_all").alias("c_all"))
@@ -259,6 +261,7 @@ def _train(spark, docs: DataFrame, lexicon: Lexicon) -> np.ndarray:
                     mark = zlib.crc32(w[:64].tobytes(), mark)
                     pick = replica.rng.permutation(np.arange((turn * 5 + len(w)) % STRIDE, len(w), STRIDE))
                     replica.learn(w[pick], w1[pick], w2[pick])
+            trim()
             if replica.examples:
                 yield pa.RecordBatch.from_arrays([pa.array([mark], pa.int64()), pa.array([replica.examples], pa.int64()), pa.array([replica.m.flat().astype("float32").tobytes()], pa.binary())], names=["replica", "examples", "weights"])
 
@@ -355,6 +358,7 @@ def score(docs: DataFrame, folds: int = 5, fold: int = 1) -> DataFrame:
                     pairs, times = np.unique(owner[rare] * len(words) + places[rare], return_counts=True)
                     m = len(pairs)
                     yield pa.RecordBatch.from_arrays([pa.array(ids[pairs // len(words)]), pa.nulls(m, pa.int64()), words.take(pa.array(pairs % len(words))).cast(pa.string()), pa.array(times), *[pa.nulls(m, t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64())]], names=NAMES)
+            trim()
 
     scored = written(rows.select("doc_id", "data").mapInArrow(run, "row long, doc_id long, word string, times long, n_tokens long, n_known long, base_score double, score double"), "lm-rows")
     whole = scored.filter("word IS NULL").drop("word", "times")

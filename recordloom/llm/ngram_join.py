@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recordloom.llm.census import CELL, cell_blobs, census_cell, hot_keys, id_filter, is_hot, may_hold, mix64, open_answer, spot_of, text_blocks
-from recordloom.llm.common import components, share, written
+from recordloom.llm.common import components, share, trim, written
 from recordloom.llm.lm_scoring import split_words
 
 #: Partners that meet one leader's text in a task.
@@ -82,6 +82,7 @@ def _scan(docs: DataFrame, n: int, cells: int, hot: np.ndarray) -> DataFrame:
                 rows = [(-1, block, home), *[(c, block, blob) for c, blob in cell_blobs(owner[ask], key[ask], a.astype("uint32"), cells)]]
                 block += 1
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary()))], names=["cell", "block", "blob"])
+            trim()
 
     return docs.mapInArrow(run, "cell long, block long, blob binary")
 

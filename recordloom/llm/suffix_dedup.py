@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recordloom.llm.census import CELL, cell_blobs, census_cell, hot_keys, id_filter, is_hot, may_hold, mix64, open_answer, spot_of, text_blocks
-from recordloom.llm.common import dropped, share, text_bytes, written
+from recordloom.llm.common import dropped, packed, share, text_bytes, trim, unpacked, written
 
 #: Bytes of a match, bytes of an anchor inside it, and anchors among which a match chooses.
 MATCH, ANCHOR = 50, 24
@@ -169,6 +169,7 @@ def _per_block(docs: DataFrame, emit, schema: str) -> DataFrame:
                 block += 1
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
+            trim()
 
     return docs.mapInArrow(run, schema)
 
@@ -195,18 +196,34 @@ def _home_rows(docs: DataFrame) -> DataFrame:
         some = _speakers(ids, texts)
         first = {texts[i]: ids[i] for i in some}
         copies = [(i, zlib.crc32(t), len(t)) for i, t in zip(ids, texts) if i is not None and len(t) >= MATCH and i > first[t]]
-        yield block, pickle.dumps(([ids[i] for i in some], [texts[i] for i in some], copies))
+        data, starts = joined([texts[i] for i in some])
+        yield block, packed(data, starts.astype("<i8"), np.array([ids[i] for i in some], "<i8"), np.array(copies, "<i8").reshape(-1))
 
     return _per_block(docs, emit, "block long, blob binary")
 
 
+def _blob(rows: np.ndarray) -> bytes:
+    """Rows column by column, compressed."""
+    return packed(*[np.ascontiguousarray(rows[n]) for n in rows.dtype.names])
+
+
+def _rows(blobs, kind: np.dtype) -> np.ndarray:
+    """All rows of some blobs."""
+    parts = [unpacked(b) for b in blobs]
+    many = [len(p[0]) // kind[0].itemsize for p in parts]
+    out = np.empty(sum(many), kind)
+    for k, name in enumerate(kind.names):
+        out[name] = np.frombuffer(b"".join(p[k] for p in parts), kind[name])
+    return out
+
+
 def _by(place: np.ndarray, rows: np.ndarray) -> Iterator[tuple[int, bytes]]:
     """The rows of each place as one blob."""
     order = np.argsort(place, kind="stable")
     place, rows = place[order], rows[order]
     cuts = np.flatnonzero(np.r_[True, place[1:] != place[:-1]]) if len(place) else np.zeros(0, "int64")
     for a, b in zip(cuts, np.r_[cuts[1:], len(place)]):
-        yield int(place[a]), rows[a:b].tobytes()
+        yield int(place[a]), _blob(rows[a:b])
 
 
 def _spans(doc: np.ndarray, mark: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -224,7 +241,9 @@ def _ask(cells: int, index_cells: int, buckets: int, hot_shared):
 
     def run(pdf: pd.DataFrame, home: pd.DataFrame) -> pd.DataFrame:
         hot = pickle.loads(hot_shared.value)
-        ids, texts, copies = pickle.loads(home["blob"].iloc[0])
+        data, edges, ids, copies = unpacked(home["blob"].iloc[0])
+        edges, doc_of = np.frombuffer(edges, "<i8"), np.frombuffer(ids, "<i8")
+        texts = [data[a:b] for a, b in zip(edges[:-1].tolist(), edges[1:].tolist())]
         kinds, places, blobs = [], [], []
 
         def give(kind: int, place: np.ndarray, rows: np.ndarray) -> None:
@@ -234,11 +253,10 @@ def _ask(cells: int, index_cells: int, buckets: int, hot_shared):
                 blobs.append(blob)
 
         if copies:
-            doc, mark, size = (np.array(x) for x in zip(*copies))
+            doc, mark, size = np.frombuffer(copies, "<i8").reshape(-1, 3).T
             give(1, _bucket(doc, buckets), _spans(doc, mark, np.zeros(len(doc)), size))
         raw, starts = joined(texts)
         place, owner, key = anchors(raw, starts)
-        doc_of = np.array(ids, dtype="int64") if ids else np.zeros(0, "int64")
         crc = np.array([zlib.crc32(t) for t in texts], dtype="uint32")
         heat = is_hot(hot, key)
         asked = [np.zeros(0, "uint64")]
@@ -298,6 +316,7 @@ def _ask(cells: int, index_cells: int, buckets: int, hot_shared):
                 part[:, :MATCH] = seen[at[k : k + 100_000] + AROUND][:, :MATCH]
                 rows["data"][k : k + 100_000] = part.view(f"S{AROUND}").ravel()
             give(0, ((whole >> np.uint64(20)) % np.uint64(index_cells)).astype("int64"), rows)
+        trim()
         return pd.DataFrame({"kind": np.array(kinds, dtype="int32"), "place": np.array(places, dtype="int64"), "blob": blobs})
 
     return run
@@ -324,7 +343,7 @@ def _index_cell(buckets: int):
     """All shared anchors of an index cell, scanned batch by batch in id order."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = np.concatenate([np.frombuffer(b, ENTRY) for b in pdf["blob"]])
+        rows = _rows(pdf["blob"], ENTRY)
         order = np.lexsort((rows["pos"], rows["doc"], rows["data"], rows["high"], rows["low"], rows["key"]))
         rows = rows[order]
         fresh = np.r_[True, rows["key"][1:] != rows["key"][:-1]]
@@ -355,6 +374,8 @@ def _index_cell(buckets: int):
             at = end
         found = _merged(np.concatenate(over))
         out = [*_by(_bucket(found["doc"], buckets), found)]
+        del rows, rest, over, family
+        trim()
         return pd.DataFrame({"place": np.array([p for p, _ in out], dtype="int64"), "blob": [b for _, b in out]})
 
     return run
@@ -366,7 +387,7 @@ def _whole(rows: np.ndarray) -> np.ndarray:
 
 
 def _per_document(pdf: pd.DataFrame) -> pd.DataFrame:
-    spans = _merged(np.concatenate([np.frombuffer(b, SPAN) for b in pdf["blob"]]))
+    spans = _merged(_rows(pdf["blob"], SPAN))
     cuts = np.flatnonzero(np.r_[True, (spans["doc"][1:] != spans["doc"][:-1]) | (spans["mark"][1:] != spans["mark"][:-1])])
     ends = np.r_[cuts[1:], len(spans)]
     pairs = np.stack([spans["start"], spans["end"]], axis=1).astype("<u4")
