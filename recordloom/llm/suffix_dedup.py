@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import pickle
 import zlib
 from collections.abc import Iterator
@@ -179,8 +178,10 @@ def _cell_rows(docs: DataFrame, cells: int, hot: np.ndarray) -> DataFrame:
     shared = share(docs.sparkSession, hot)
 
     def emit(block: int, ids: list[int | None], texts: list[bytes]) -> Iterator[tuple[int, int, bytes]]:
-        mine = [texts[i] for i in _speakers(ids, texts)]
-        mark = np.array([int.from_bytes(hashlib.blake2b(t, digest_size=4).digest(), "little") for t in mine], dtype="uint64")
+        some = _speakers(ids, texts)
+        mine = [texts[i] for i in some]
+        # A key counts as shared when documents with different ids hold it, be their texts equal or not.
+        mark = mix64(np.array([ids[i] for i in some], dtype="int64").astype("uint64"))
         owner, key = anchor_keys(pa.array(mine, pa.large_binary()))
         cold = ~is_hot(pickle.loads(shared.value), key)
         for c, blob in cell_blobs(owner[cold], key[cold], mark, cells):
