@@ -85,7 +85,7 @@ def trim() -> None:
 def packed(*parts: np.ndarray) -> bytes:
     """Columns as one compressed blob: their sizes in bytes, then their bytes."""
     data = b"".join(p.tobytes() for p in parts)
-    return np.array([len(parts), *(p.nbytes for p in parts)], "<u4").tobytes() + pa.compress(data, codec="zstd", asbytes=True)
+    return np.array([len(parts), *(p.nbytes for p in parts)], "<u4").tobytes() + pa.Codec("zstd", compression_level=4).compress(data, asbytes=True)
 
 
 def unpacked(blob: bytes) -> list[bytes]:

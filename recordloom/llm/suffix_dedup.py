@@ -21,7 +21,7 @@ CHOICE = MATCH - ANCHOR + 1
 #: An anchor with all bytes of the matches that may hold it.
 AROUND = 2 * (CHOICE - 1) + ANCHOR
 #: Anchors an index cell should get, and suffixes a batch of its index.
-INDEX_CELL, SUFFIX_BATCH = 30_000, 1 << 17
+INDEX_CELL, SUFFIX_BATCH = 60_000, 1 << 17
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BYTE = mix64(np.arange(1, 257, dtype="uint64"))
 
@@ -66,15 +66,17 @@ def piece_hashes(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return chain(16, 8), chain(16, 16, 16, 2)
 
 
-def anchors(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(place, owner, key) of the anchors: in each ``MATCH`` bytes of a text, the pieces with the least hash.
+def anchors(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(place, owner, key, low, high) of the anchors: in each ``MATCH`` bytes of a text, the first piece with the least hash.
 
-    Which pieces are chosen depends on the bytes of the match alone, so equal
-    matches in two texts have an equal anchor at the same place inside.
+    Which piece is chosen depends on the bytes of the match alone, so equal
+    matches in two texts have an equal anchor at the same place inside. The
+    matches that choose an anchor start ``CHOICE - 1`` bytes before it, plus
+    ``low`` to ``high``.
     """
     n = len(raw)
     if n < MATCH:
-        return np.zeros(0, "int64"), np.zeros(0, "int64"), np.zeros(0, "uint64")
+        return (*[np.zeros(0, "int64")] * 2, np.zeros(0, "uint64"), *[np.zeros(0, "uint8")] * 2)
     key = mix64(piece_hashes(raw)[0])
     order = (key >> np.uint64(32)).astype("uint32") | np.uint32(1)
     least = _slide(order, CHOICE, np.minimum)
@@ -87,14 +89,24 @@ def anchors(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     best = _slide(least[::-1], CHOICE, np.maximum)[::-1]
     place = np.flatnonzero(order == best)
     owner = np.searchsorted(starts, place, side="right") - 1
-    inside = place + ANCHOR <= starts[owner + 1]
-    return place[inside], owner[inside], key[place[inside]]
+    low, high = np.zeros(len(place), "uint8"), np.zeros(len(place), "uint8")
+    before = np.lib.stride_tricks.sliding_window_view(np.concatenate([np.zeros(CHOICE - 1, "uint32"), least]), CHOICE)
+    for at in range(0, len(place), 50_000):
+        some = place[at : at + 50_000]
+        mine = before[some] == order[some][:, None]
+        low[at : at + 50_000], high[at : at + 50_000] = mine.argmax(axis=1), CHOICE - 1 - mine[:, ::-1].argmax(axis=1)
+    # Of equal hashes the first is chosen.
+    gap = np.diff(place)
+    tied = np.flatnonzero((order[place[1:]] == order[place[:-1]]) & (owner[1:] == owner[:-1]) & (gap < CHOICE)) + 1
+    low[tied] = np.maximum(low[tied], CHOICE - gap[tied - 1])
+    kept = low <= high
+    return place[kept], owner[kept], key[place[kept]], low[kept], high[kept]
 
 
 def anchor_keys(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(owner, key) of each text's distinct anchors."""
     raw, starts = joined(texts.to_pylist())
-    _, owner, key = anchors(raw, starts)
+    _, owner, key, _, _ = anchors(raw, starts)
     order = np.lexsort((key, owner))
     owner, key = owner[order], key[order]
     keep = np.r_[True, (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])] if len(key) else np.zeros(0, bool)
@@ -137,8 +149,19 @@ class SuffixFamily:
         return out
 
 
-ENTRY = np.dtype([("key", "<u8"), ("doc", "<i8"), ("mark", "<u4"), ("pos", "<u4"), ("low", "u1"), ("high", "u1"), ("data", f"S{AROUND}")])
+#: An anchor occurrence: the document, its mark, the place, the matches that chose it, and their bytes (zeros around them).
+ENTRY = np.dtype([("doc", "<i8"), ("mark", "<u4"), ("pos", "<u4"), ("low", "u1"), ("high", "u1"), ("data", f"S{AROUND}")])
 SPAN = np.dtype([("doc", "<i8"), ("mark", "<u4"), ("start", "<u4"), ("end", "<u4")])
+COLUMN = np.arange(AROUND)
+
+
+def _held(rows: np.ndarray) -> np.ndarray:
+    """Which bytes of each entry's data its matches cover."""
+    return (COLUMN >= rows["low"][:, None]) & (COLUMN < rows["high"][:, None].astype("int64") + MATCH)
+
+
+def _bytes(rows: np.ndarray) -> np.ndarray:
+    return np.frombuffer(np.ascontiguousarray(rows["data"]).tobytes(), "uint8").reshape(len(rows), AROUND)
 
 
 def _speakers(ids: list[int | None], texts: list[bytes]) -> list[int]:
@@ -204,20 +227,35 @@ def _home_rows(docs: DataFrame) -> DataFrame:
 
 
 def _blob(rows: np.ndarray) -> bytes:
-    """Rows column by column, compressed."""
-    return packed(*[np.ascontiguousarray(rows[n]) for n in rows.dtype.names])
+    """Rows column by column, compressed; of data only the bytes that matter."""
+    columns = [np.ascontiguousarray(rows[n]) for n in rows.dtype.names if n != "data"]
+    if "data" in rows.dtype.names:
+        columns.append(_bytes(rows)[_held(rows)])
+    return packed(*columns)
 
 
 def _rows(blobs, kind: np.dtype) -> np.ndarray:
     """All rows of some blobs."""
     parts = [unpacked(b) for b in blobs]
     many = [len(p[0]) // kind[0].itemsize for p in parts]
-    out = np.empty(sum(many), kind)
+    out = np.zeros(sum(many), kind)
     for k, name in enumerate(kind.names):
-        out[name] = np.frombuffer(b"".join(p[k] for p in parts), kind[name])
+        found = b"".join(p[k] for p in parts)
+        if name == "data":
+            data = np.zeros((len(out), AROUND), "uint8")
+            data[_held(out)] = np.frombuffer(found, "uint8")
+            out[name] = data.view(f"S{AROUND}").ravel()
+        else:
+            out[name] = np.frombuffer(found, kind[name])
     return out
 
 
+def _anchor_of(rows: np.ndarray) -> np.ndarray:
+    """A number for the anchor bytes of each entry."""
+    words = np.ascontiguousarray(_bytes(rows)[:, CHOICE - 1 : CHOICE - 1 + ANCHOR]).view("<u8")
+    return mix64(words[:, 0] + mix64(words[:, 1] + mix64(words[:, 2])))
+
+
 def _by(place: np.ndarray, rows: np.ndarray) -> Iterator[tuple[int, bytes]]:
     """The rows of each place as one blob."""
     order = np.argsort(place, kind="stable")
@@ -257,47 +295,43 @@ def _ask(cells: int, index_cells: int, buckets: int, hot_shared):
             doc, mark, size = np.frombuffer(copies, "<i8").reshape(-1, 3).T
             give(1, _bucket(doc, buckets), _spans(doc, mark, np.zeros(len(doc)), size))
         raw, starts = joined(texts)
-        place, owner, key = anchors(raw, starts)
+        place, owner, key, low, high = anchors(raw, starts)
         crc = np.array([zlib.crc32(t) for t in texts], dtype="uint32")
         heat = is_hot(hot, key)
         asked = [np.zeros(0, "uint64")]
         for cell, blob in zip(pdf["cell"], pdf["blob"]):
-            low, who, _ = open_answer(blob)
-            asked.append(mix64(mix64(np.uint64(cell) << np.uint64(32) | low.astype("uint64")) + who.astype("uint64")))
+            rest, who, _ = open_answer(blob)
+            asked.append(mix64(mix64(np.uint64(cell) << np.uint64(32) | rest.astype("uint64")) + who.astype("uint64")))
         asked_for = np.unique(np.concatenate(asked))
         mine = mix64(mix64(((key >> np.uint64(32)) % np.uint64(cells)) << np.uint64(32) | (key & np.uint64(0xFFFFFFFF))) + owner.astype("uint64"))
         take = ~heat & is_hot(asked_for, mine)
         padded = np.concatenate([np.zeros(AROUND, "uint8"), raw, np.zeros(AROUND, "uint8")])
         seen = np.lib.stride_tricks.sliding_window_view(padded, AROUND)
 
-        # Shared anchors: the bytes around one settle all matches that hold it.
+        # Shared anchors: the bytes around one settle the matches that chose it.
         at, who = place[take], owner[take]
         rows = np.zeros(len(at), ENTRY)
-        rows["key"], rows["doc"], rows["mark"], rows["pos"] = key[take], doc_of[who], crc[who], at - starts[who]
-        rows["low"] = np.maximum(0, CHOICE - 1 - (at - starts[who]))
-        rows["high"] = np.minimum(CHOICE - 1, starts[who + 1] - at + CHOICE - 1 - MATCH)
-        around = seen[at + AROUND - (CHOICE - 1)].copy() if len(at) else np.zeros((0, AROUND), "uint8")
-        column = np.arange(AROUND)
-        around[(column < rows["low"][:, None]) | (column >= rows["high"][:, None] + MATCH)] = 0
-        rows["data"] = around.view(f"S{AROUND}").ravel()
-        rows = rows[rows["low"] <= rows["high"]]
-        if len(rows):
-            order = np.lexsort((rows["doc"], rows["data"], rows["high"], rows["low"], rows["key"]))
-            rows = rows[order]
-            same = np.r_[False, (rows["key"][1:] == rows["key"][:-1]) & (rows["low"][1:] == rows["low"][:-1]) & (rows["high"][1:] == rows["high"][:-1]) & (rows["data"][1:] == rows["data"][:-1])]
-            first = np.maximum.accumulate(np.where(same, 0, np.arange(len(rows))))
+        rows["doc"], rows["mark"], rows["pos"], rows["low"], rows["high"] = doc_of[who], crc[who], at - starts[who], low[take], high[take]
+        if len(at):
+            around = seen[at + AROUND - (CHOICE - 1)] * _held(rows)
+            rows["data"] = around.view(f"S{AROUND}").ravel()
+            own = key[take]
+            order = np.lexsort((rows["doc"], rows["data"], rows["high"], rows["low"], own))
+            rows, own = rows[order], own[order]
+            first = np.maximum.accumulate(np.where(_same(rows, own), 0, np.arange(len(rows))))
             done = rows["doc"] > rows["doc"][first]
-            over = rows[done]
-            begin = over["pos"].astype("int64") - (CHOICE - 1)
-            give(1, _bucket(over["doc"], buckets), _spans(over["doc"], over["mark"], begin + over["low"], begin + over["high"] + MATCH))
-            rows = rows[~done]
-            give(0, ((rows["key"] >> np.uint64(20)) % np.uint64(index_cells)).astype("int64"), rows)
+            over = _merged(_whole(rows[done]))
+            give(1, _bucket(over["doc"], buckets), over)
+            rows, own = rows[~done], own[~done]
+            order = np.lexsort((rows["pos"], rows["doc"]))
+            give(0, ((own[order] >> np.uint64(20)) % np.uint64(index_cells)).astype("int64"), rows[order])
 
         # Hot anchors: too many texts hold them for one cell, so each match goes where its own bytes send it.
         if heat.any():
             need = np.zeros(len(raw) + 1, "int32")
-            np.add.at(need, np.maximum(place[heat] - (CHOICE - 1), starts[owner[heat]]), 1)
-            np.add.at(need, place[heat] + 1, -1)
+            begin = place[heat] - (CHOICE - 1)
+            np.add.at(need, begin + low[heat], 1)
+            np.add.at(need, begin + high[heat] + 1, -1)
             at = np.flatnonzero(np.cumsum(need[:-1]) > 0)
             who = np.searchsorted(starts, at, side="right") - 1
             fits = at + MATCH <= starts[who + 1]
@@ -311,18 +345,27 @@ def _ask(cells: int, index_cells: int, buckets: int, hot_shared):
             give(1, _bucket(over["doc"], buckets), over)
             at, who, whole = at[~done], who[~done], whole[~done]
             rows = np.zeros(len(at), ENTRY)
-            rows["key"], rows["doc"], rows["mark"], rows["pos"] = whole, doc_of[who], crc[who], at - starts[who] + CHOICE - 1
+            rows["doc"], rows["mark"], rows["pos"] = doc_of[who], crc[who], at - starts[who] + CHOICE - 1
             for k in range(0, len(at), 100_000):
                 part = np.zeros((len(at[k : k + 100_000]), AROUND), "uint8")
                 part[:, :MATCH] = seen[at[k : k + 100_000] + AROUND][:, :MATCH]
                 rows["data"][k : k + 100_000] = part.view(f"S{AROUND}").ravel()
-            give(0, ((whole >> np.uint64(20)) % np.uint64(index_cells)).astype("int64"), rows)
+            order = np.lexsort((rows["pos"], rows["doc"]))
+            give(0, ((whole[order] >> np.uint64(20)) % np.uint64(index_cells)).astype("int64"), rows[order])
         trim()
         return pd.DataFrame({"kind": np.array(kinds, dtype="int32"), "place": np.array(places, dtype="int64"), "blob": blobs})
 
     return run
 
 
+def _same(rows: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Whether an entry has the anchor, matches and bytes of the one before it."""
+    same = own[1:] == own[:-1]
+    for name in ("low", "high", "data"):
+        same &= rows[name][1:] == rows[name][:-1]
+    return np.r_[False, same] if len(rows) else same
+
+
 def _merged(spans: np.ndarray) -> np.ndarray:
     """Spans of each document joined where they touch."""
     if not len(spans):
@@ -344,17 +387,19 @@ def _index_cell(buckets: int):
     """All shared anchors of an index cell, scanned batch by batch in id order."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        if pdf["kind"].iloc[0] == 1:  # settled already
+            return pdf[["place", "blob"]]
         rows = _rows(pdf["blob"], ENTRY)
-        order = np.lexsort((rows["pos"], rows["doc"], rows["data"], rows["high"], rows["low"], rows["key"]))
-        rows = rows[order]
-        fresh = np.r_[True, rows["key"][1:] != rows["key"][:-1]]
-        same = ~fresh & np.r_[False, (rows["low"][1:] == rows["low"][:-1]) & (rows["high"][1:] == rows["high"][:-1]) & (rows["data"][1:] == rows["data"][:-1])]
+        own = _anchor_of(rows)
+        order = np.lexsort((rows["pos"], rows["doc"], rows["data"], rows["high"], rows["low"], own))
+        rows, own = rows[order], own[order]
+        same = _same(rows, own)
         first = np.maximum.accumulate(np.where(same, 0, np.arange(len(rows))))
         done = rows["doc"] > rows["doc"][first]
-        group = np.cumsum(fresh) - 1
+        group = np.cumsum(np.r_[True, own[1:] != own[:-1]]) - 1
         kinds = np.bincount(group, ~same)
         over = [_whole(rows[done])]
-        # The earliest text of each kind of surroundings, where a key has several kinds.
+        # The earliest text of each kind of surroundings, where an anchor has several kinds.
         rest = rows[~done & (kinds[group] > 1)]
         rest = rest[np.argsort(rest["doc"], kind="stable")]
         family = SuffixFamily()
@@ -364,7 +409,7 @@ def _index_cell(buckets: int):
             # A batch ends with a document.
             end += int(np.searchsorted(rest["doc"][end:], rest["doc"][end - 1], side="right"))
             part = rest[at:end]
-            data = np.frombuffer(part["data"].astype(f"S{AROUND}").tobytes(), "uint8").reshape(len(part), AROUND)
+            data = _bytes(part)
             many = part["high"].astype("int64") - part["low"] + 1
             row = np.repeat(np.arange(len(part)), many)
             shift = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many) + part["low"][row]
@@ -375,7 +420,7 @@ def _index_cell(buckets: int):
             at = end
         found = _merged(np.concatenate(over))
         out = [*_by(_bucket(found["doc"], buckets), found)]
-        del rows, rest, over, family
+        del rows, own, rest, over, family
         trim()
         return pd.DataFrame({"place": np.array([p for p, _ in out], dtype="int64"), "blob": [b for _, b in out]})
 
@@ -408,14 +453,11 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     answered = _cell_rows(rows, cells, hot).groupBy("cell").applyInPandas(census_cell, "block long, cell long, blob binary")
     # Both scans run in stages of their own, where a block has the same number.
     asked = answered.groupBy("block").cogroup(_home_rows(rows).groupBy("block")).applyInPandas(_ask(cells, index_cells, buckets, share(spark, hot)), "kind int, place long, blob binary")
-    asked = written(asked, "suffix-asked")
-    del answered
+    found = asked.groupBy("kind", "place").applyInPandas(_index_cell(buckets), "place long, blob binary")
+    out = written(found.groupBy("place").applyInPandas(_per_document, "id long, mark long, spans binary"), "suffix-spans")
+    # Texts move once more below; what has been shuffled so far is done with.
+    del answered, asked, found
     dropped(spark)
-    found = asked.filter("kind = 0").groupBy("place").applyInPandas(_index_cell(buckets), "place long, blob binary")
-    spans = asked.filter("kind = 1").select("place", "blob").union(found)
-    out = written(spans.groupBy("place").applyInPandas(_per_document, "id long, mark long, spans binary"), "suffix-spans")
-    del found, spans
-    dropped(spark, asked)
     return out
 
 
