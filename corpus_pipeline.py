@@ -18,6 +18,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A score belongs to a text, so rows that repeat an id are judged one by one.
     """
+    common.small_batches(spark)
     model = quality_classifier.fit(docs, common.read_table(spark, sf_dir, "labels"))
     return quality_classifier.accepted(docs.select(*COLUMNS), model)
 
@@ -27,6 +28,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Rows that repeat this id all stay; rows without an id stay.
     """
+    common.small_batches(spark)
     found = ngram_join.near_duplicates(docs)
     gone = found.filter("doc_id <> component_id").select("doc_id").distinct()
     return census.without(docs.select(*COLUMNS), gone, "doc_id")
@@ -38,6 +40,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     Bytes of a character that is cut in part go with it. A text that is cut
     whole stays as an empty one; the next stage takes no words of it.
     """
+    common.small_batches(spark)
     out = suffix_dedup.remove_repeats(docs, ["text", "lang", "source", "n_chars"])
     # Bytes that no longer form a character are taken out; untouched texts keep their column.
     cut = F.when(F.col("n_removed") > 0, suffix_dedup.as_text("kept")).otherwise(F.col("text"))
@@ -46,11 +49,13 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats or leaves out documents so that sources meet their target weights."""
+    common.small_batches(spark)
     return mixing.mixed_texts(docs.select(*COLUMNS))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs the mix into sequences of 2048 tokens; one row per piece."""
+    common.small_batches(spark)
     import public_tokenizers
 
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), 2048)

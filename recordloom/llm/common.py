@@ -18,6 +18,15 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Bytes of rows that go to a Python worker at a time.
+BATCH_BYTES = "8m"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Limits Arrow batches by bytes: ten thousand texts at a time would take up the memory beside the heap."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the input folder, through Spark's reader (any file system it knows)."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

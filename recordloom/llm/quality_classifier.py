@@ -6,12 +6,11 @@ import pickle
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recordloom.llm.common import held_out, share, text_bytes
+from recordloom.llm.common import held_out, share, text_bytes, trim
 from recordloom.llm.quality_rules import SYMBOLS, UPPER, repeat_words
 
 #: At most so many labelled rows are learnt from; which ones is decided by a hash of their ids.
@@ -133,12 +132,17 @@ def classify(docs: DataFrame, model: NeighbourVote, threshold: float = 0.5) -> D
 def accepted(docs: DataFrame, model: NeighbourVote, threshold: float = 0.5) -> DataFrame:
     """The rows of ``docs`` whose whole text scores ``threshold`` or more, with all their columns."""
     shared = share(docs.sparkSession, model)
+    text = docs.columns.index("text")
 
-    @F.pandas_udf("double")
-    def score_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vote = pickle.loads(shared.value)
-        for texts in batches:
-            parts = [texts.iloc[at : at + 512] for at in range(0, len(texts), 512)]
-            yield pd.Series(np.concatenate([vote.score(np.stack([terms(t) for t in part])) for part in parts]) if parts else np.zeros(0))
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                matrix = np.stack([terms(t.as_buffer().to_pybytes() if t.is_valid else b"") for t in part.column(text)])
+                kept = part.filter(pa.array(vote.score(matrix) >= threshold))
+                if kept.num_rows:
+                    yield kept
+            trim()
 
-    return docs.filter(score_of(text_bytes(F.col("text"))) >= threshold)
+    return docs.mapInArrow(run, docs.schema)

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordloom.llm.common import held_out, read_table
+from recordloom.llm.common import held_out, read_table, small_batches
 
 
 def op1_log_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,8 +101,17 @@ def _op10_sql() -> str:
     return JACCARD_SQL
 
 
+def _batched(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    @wraps(f)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return f(spark, sf_dir)
+
+    return run
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_log_bilinear, op2_mix_sources, op3_suffix_family, op4_metric_range_join, op5_best_fit_packing, op6_rule_ledger, op7_neighbour_vote, op8_recurrent_toxicity, op9_sampled_splitters, op10_prefix_join)}
+    return {f.__name__: _batched(f) for f in (op1_log_bilinear, op2_mix_sources, op3_suffix_family, op4_metric_range_join, op5_best_fit_packing, op6_rule_ledger, op7_neighbour_vote, op8_recurrent_toxicity, op9_sampled_splitters, op10_prefix_join)}
 
 
 def oracle_sql() -> dict[str, str]:
