@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from recordloom.config import SYNONYMS
 from recordloom.functions.dictionary import all_hits, attribute_code, canonical
-from recordloom.functions.text import brand_of_model, canonical_model, imeis, model_phrase, norm_text, serials, window_before
+from recordloom.functions.text import brand_of_model, canonical_model, imeis, let, model_phrase, norm_text, serials, window_before
 
 # Words that announce a mark or a case.
 MARK_WORDS = ("贴纸", "シール", "sticker", "图案", "圖案", "柄", "pattern", "刻字", "刻印", "engraving", "裂痕", "划痕", "傷", "crack", "scratch", "挂件", "吊饰", "ストラップ", "strap")
@@ -102,13 +102,15 @@ def manual_attributes(values: Column, role: Column) -> Column:
 
 def attribute_map(attributes: Column, last: bool) -> Column:
     """code -> struct(value, source); of repeated codes the last (scoring) or the first (conflicts) by ordinal."""
-    rows = F.filter(F.coalesce(attributes, F.array()), lambda a: a["value"].isNotNull() & (a["value"] != ""))
-    rows = F.array_sort(rows, lambda x, y: F.when(x["ordinal"] < y["ordinal"], F.lit(-1)).when(x["ordinal"] > y["ordinal"], F.lit(1)).otherwise(F.lit(0)))
-    codes = F.transform(rows, lambda a: attribute_code(a["code"]))
-    if last:
-        rows, codes = F.reverse(rows), F.reverse(codes)
-    kept = F.filter(F.arrays_zip(codes.alias("code"), rows.alias("row")), lambda z, i: F.array_position(codes, z["code"]) == i + 1)
-    return F.map_from_entries(F.transform(kept, lambda z: F.struct(z["code"], F.struct(z["row"]["value"].alias("value"), z["row"]["source"].alias("source")))))
+    known = F.filter(F.coalesce(attributes, F.array()), lambda a: a["value"].isNotNull() & (a["value"] != ""))
+    known = F.array_sort(known, lambda x, y: F.when(x["ordinal"] < y["ordinal"], F.lit(-1)).when(x["ordinal"] > y["ordinal"], F.lit(1)).otherwise(F.lit(0)))
+    coded = F.transform(F.reverse(known) if last else known, lambda a: F.struct(attribute_code(a["code"]).alias("code"), a["value"].alias("value"), a["source"].alias("source")))
+
+    def first_ones(rows: Column) -> Column:
+        kept = F.filter(rows, lambda z, i: F.array_position(F.transform(rows, lambda r: r["code"]), z["code"]) == i + 1)
+        return F.map_from_entries(F.transform(kept, lambda z: F.struct(z["code"].alias("key"), F.struct(z["value"].alias("value"), z["source"].alias("source")).alias("value"))))
+
+    return let(coded, first_ones)
 
 
 def visible(attributes: Column) -> Column:

@@ -97,10 +97,11 @@ def run_matching(candidates: DataFrame, records: DataFrame, spec: DomainSpec = L
     """
     best = candidates.withColumn("_r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("rrf_score").desc(), "id"))).filter(F.col("_r") <= scored).drop("_r")
     side = F.struct(*records.columns)
-    pairs = best.join(records.select(F.col("id").alias("query_id"), side.alias("lost")), "query_id").join(records.select("id", side.alias("found")), "id")
-    # Whichever side is the lost one stands on the lost side.
-    turned = F.col("lost")["record_type"] == "FOUND"
-    pairs = pairs.withColumns({"_a": F.when(turned, F.col("found")).otherwise(F.col("lost")), "_b": F.when(turned, F.col("lost")).otherwise(F.col("found"))}).drop("lost", "found").withColumnsRenamed({"_a": "lost", "_b": "found"})
+    # Whichever record is the lost one stands on the lost side.
+    kinds = records.select(F.col("id").alias("query_id"), F.col("record_type").alias("_kind"))
+    turned = F.col("_kind") == "FOUND"
+    best = best.join(kinds, "query_id").withColumns({"_l": F.when(turned, F.col("id")).otherwise(F.col("query_id")), "_f": F.when(turned, F.col("query_id")).otherwise(F.col("id"))}).drop("_kind")
+    pairs = best.join(records.select(F.col("id").alias("_l"), side.alias("lost")), "_l").join(records.select(F.col("id").alias("_f"), side.alias("found")), "_f").drop("_l", "_f")
     out = scored_pairs(pairs, spec)
     out = out.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("final_score").desc(), F.col("rrf_score").desc(), "id")))
     out = out.withColumn("verdict", F.when(F.col("rank") <= reranked, verdict(F.col("final_score"), F.col("conflicts"), F.col("evidence"))))
