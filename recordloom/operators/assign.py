@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from recordloom.config import EXAM
+from recordloom.operators import conflicts as CF
+from recordloom.operators import features as FT
+from recordloom.operators import scoring as SC
 from recordloom.operators.dedup import settled
 
 
@@ -20,6 +24,22 @@ def truth_rank(similar: DataFrame, left: str, right: str, truth: DataFrame, scor
     return truth.join(ranked.select(left, right, "rank"), [left, right], "left").select(left, "rank")
 
 
+def rerank(similar: DataFrame, left: DataFrame, right: DataFrame, k: int = 20) -> DataFrame:
+    """(l, r, similarity, final_score, rank): the ``k`` most similar of each left question scored as a question pair (AL2).
+
+    ``similar`` has (l, r, similarity); both sides have the fields of
+    ``schema.QUESTION``. The similarity stands for stem and answer alike, and
+    no keyword score crosses languages.
+    """
+    best = similar.withColumn("_n", F.row_number().over(Window.partitionBy("l").orderBy(F.col("similarity").desc(), "r"))).filter(F.col("_n") <= k).drop("_n")
+    fields = ("services", "kps", "constraints", "select_n")
+    rows = best.join(left.select(F.col("qid").alias("l"), F.struct(*fields).alias("x")), "l").join(right.select(F.col("qid").alias("r"), F.struct(*fields).alias("y")), "r")
+    features = FT.exam_features("x", "y", F.col("similarity"), F.col("similarity"), F.lit(None).cast("double"))
+    out = SC.with_score(rows, EXAM, features, CF.exam_conflicts(F.col("x"), F.col("y")))
+    order = Window.partitionBy("l").orderBy(F.col("final_score").desc(), F.col("similarity").desc(), "r")
+    return out.select("l", "r", "similarity", "final_score", F.row_number().over(order).alias("rank"))
+
+
 def greedy_assignment(edges: DataFrame, left: str, right: str, score: str, max_rounds: int = 200) -> DataFrame:
     """One-to-one pairs as taken one by one from the highest score down, ties to the larger ids (AL3).
 

@@ -57,6 +57,15 @@ def test_alignment(spark):
     assert len(spark.range(1).select(assign.alignment_text(F.lit("x" * 2000), F.lit("y"))).first()[0]) == 1200
 
 
+def test_rerank(spark):
+    rows = [("a", ["s3"], ["p"], ["cost"], 1), ("b", ["vpn"], ["q"], ["performance"], 1)]
+    q = spark.createDataFrame(rows, "qid string, services array<string>, kps array<string>, constraints array<string>, select_n int")
+    sim = spark.createDataFrame([("a", "a", 0.8), ("a", "b", 0.85)], "l string, r string, similarity double")
+    got = {(r.l, r.r): (r["rank"], r.final_score) for r in assign.rerank(sim, q, q).collect()}
+    assert got["a", "a"][0] == 1 and got["a", "b"][1] < got["a", "a"][1]
+    assert assign.rerank(sim, q, q, 1).collect()[0].r == "b"
+
+
 def pool(spark, d):
     return spark.createDataFrame([(q, k) for q, ks in d.items() for k in ks], "qid string, kb string")
 
