@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from recordloom.llm.common import share, trim
 
 #: Occurrences a cell should see.
-CELL = 3_000_000
+CELL = 1_500_000
 #: One document in SAMPLE is looked at for hot keys; a key is hot if at least HOT_SHARE of the sampled
 #: documents, and HOT_LEAST of them, have it. So there are at most (keys a document) / HOT_SHARE hot keys.
 SAMPLE, HOT_SHARE, HOT_LEAST = 32, 1 / 2000, 12
@@ -30,7 +30,7 @@ SAMPLE, HOT_SHARE, HOT_LEAST = 32, 1 / 2000, 12
 FILTER_BITS = 1 << 25
 
 
-def text_blocks(batch: pa.RecordBatch, column: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def text_blocks(batch: pa.RecordBatch, column: int, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about ``most`` bytes in a column, or one row."""
     lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy()
     start, size = 0, 0
@@ -123,8 +123,13 @@ def census_cell(pdf: pd.DataFrame) -> pd.DataFrame:
     cell = int(pdf["cell"].iloc[0])
     if cell < 0:
         return pd.DataFrame({"block": pdf["block"], "cell": pdf["cell"], "blob": pdf["blob"]})
-    parts = [_open(b) for b in pdf["blob"]]
-    pairs = np.concatenate([(low.astype("uint64") << np.uint64(32)) | mark for low, mark, _ in parts])
+    blobs_in = pdf["blob"].tolist()
+    many = [int(np.frombuffer(b, "uint32", 1)[0]) for b in blobs_in]
+    pairs, at = np.empty(sum(many), "uint64"), 0
+    for b, n in zip(blobs_in, many):  # one blob at a time: a cell is the largest thing a worker holds
+        low, mark, _ = _open(b)
+        pairs[at : at + n] = (low.astype("uint64") << np.uint64(32)) | mark
+        at += n
     pairs.sort()
     pairs = pairs[np.r_[True, pairs[1:] != pairs[:-1]]]
     lows = (pairs >> np.uint64(32)).astype("uint32")
@@ -132,9 +137,11 @@ def census_cell(pdf: pd.DataFrame) -> pd.DataFrame:
     first = np.flatnonzero(np.r_[True, lows[1:] != lows[:-1]])
     texts = np.diff(np.r_[first, len(lows)])
     shared, levels = lows[first][texts > 1], level_of(texts[texts > 1])
+    del lows, first, texts
     blocks, blobs = [], []
-    for block, (low, _, who) in zip(pdf["block"], parts):
+    for block, b in zip(pdf["block"], blobs_in):
         if len(shared):
+            low, _, who = _open(b)
             at = np.minimum(np.searchsorted(shared, low), len(shared) - 1)
             hit = shared[at] == low
             if hit.any():

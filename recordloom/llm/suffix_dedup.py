@@ -45,25 +45,27 @@ def joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(texts), "uint8"), np.cumsum([0, *map(len, texts)])
 
 
-def piece_hashes(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Polynomial hashes of the ``ANCHOR`` and of the ``MATCH`` bytes from each place; meaningless over an end."""
-    h = {1: BYTE[raw]}
-    for n in (2, 4, 8, 16):
-        a = h[n // 2]
-        out = a * _power(n // 2)
-        out[: len(a) - n // 2] += a[n // 2 :]
-        h[n] = out
-
-    def chain(*parts: int) -> np.ndarray:
-        out, have = h[parts[0]].copy(), parts[0]
-        for p in parts[1:]:
-            out *= _power(p)
-            if have < len(out):
-                out[: len(out) - have] += h[p][have:]
-            have += p
-        return out
+def piece_hashes(raw: np.ndarray, width: int) -> np.ndarray:
+    """Polynomial hash of the ``width`` bytes from each place; meaningless over an end.
 
-    return chain(16, 8), chain(16, 16, 16, 2)
+    Pieces double while the bits of ``width`` are read, so a few arrays as long
+    as the block are all that is held.
+    """
+    piece, size = BYTE[raw], 1
+    out, have = None, 0
+    while True:
+        if width & size:
+            if out is None:
+                out, have = piece.copy(), size
+            else:  # this piece, then what is there already
+                longer = piece * _power(have)
+                longer[: len(piece) - size] += out[size:]
+                out, have = longer, have + size
+        if 2 * size > width:
+            return out
+        longer = piece * _power(size)
+        longer[: len(piece) - size] += piece[size:]
+        piece, size = longer, 2 * size
 
 
 def anchors(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -77,7 +79,7 @@ def anchors(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, ...]:
     n = len(raw)
     if n < MATCH:
         return (*[np.zeros(0, "int64")] * 2, np.zeros(0, "uint64"), *[np.zeros(0, "uint8")] * 2)
-    key = mix64(piece_hashes(raw)[0])
+    key = mix64(piece_hashes(raw, ANCHOR))
     order = (key >> np.uint64(32)).astype("uint32") | np.uint32(1)
     least = _slide(order, CHOICE, np.minimum)
     # Only runs of MATCH bytes inside one text choose.
@@ -336,7 +338,7 @@ def _ask(cells: int, index_cells: int, buckets: int, hot_shared):
             who = np.searchsorted(starts, at, side="right") - 1
             fits = at + MATCH <= starts[who + 1]
             at, who = at[fits], who[fits]
-            whole = mix64(piece_hashes(raw)[1][at] + np.uint64(99))
+            whole = mix64(piece_hashes(raw, MATCH)[at] + np.uint64(99))
             order = np.lexsort((doc_of[who], whole))
             at, who, whole = at[order], who[order], whole[order]
             first = np.maximum.accumulate(np.where(np.r_[False, whole[1:] == whole[:-1]], 0, np.arange(len(at))))
