@@ -480,15 +480,15 @@ def greedy_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 def covering(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Part names as syllabus items under their noun, and the orders that hold them."""
     p = parquet(spark, sf_dir, "part")
-    items = p.select(F.concat_ws("/", "p_name", "p_type").alias("kb"), F.split("p_name", " ")[1].alias("domain")).distinct()
-    pool = parquet(spark, sf_dir, "lineitem").filter("l_returnflag = 'R' AND l_quantity >= 49").select(F.col("l_orderkey").alias("qid"), F.col("l_partkey").alias("p_partkey")).join(p.select("p_partkey", F.concat_ws("/", "p_name", "p_type").alias("kb")), "p_partkey").select("qid", "kb")
+    items = p.select(F.concat_ws("/", "p_name", "p_brand", "p_type", "p_size").alias("kb"), F.split("p_name", " ")[1].alias("domain")).distinct()
+    pool = parquet(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("qid"), F.col("l_partkey").alias("p_partkey")).join(p.select("p_partkey", F.concat_ws("/", "p_name", "p_brand", "p_type", "p_size").alias("kb")), "p_partkey").select("qid", "kb")
     return items, pool
 
 
 COVER_SQL = """
-i AS (SELECT DISTINCT p_name || '/' || p_type AS kb, split_part(p_name, ' ', 2) AS domain FROM part),
-q AS (SELECT DISTINCT l_orderkey AS qid, p_name || '/' || p_type AS kb FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_returnflag = 'R' AND l_quantity >= 49),
-n AS (SELECT kb, domain, (SELECT count(*) FROM q WHERE q.kb = i.kb) AS questions FROM i)"""
+i AS (SELECT DISTINCT p_name || '/' || p_brand || '/' || p_type || '/' || p_size AS kb, split_part(p_name, ' ', 2) AS domain FROM part),
+q AS (SELECT DISTINCT l_orderkey AS qid, p_name || '/' || p_brand || '/' || p_type || '/' || p_size AS kb FROM lineitem JOIN part ON l_partkey = p_partkey),
+n AS (SELECT i.kb, domain, count(q.kb) AS questions FROM i LEFT JOIN q ON q.kb = i.kb GROUP BY ALL)"""
 
 
 @query(f"WITH {COVER_SQL} SELECT kb, domain, questions, questions > 0 AS reachable FROM n")
