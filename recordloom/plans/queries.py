@@ -58,11 +58,11 @@ def overlap(a: str, b: str) -> str:
 # ---- sources and scalars -------------------------------------------------------------------
 
 
-@query("SELECT o_orderkey AS id, CAST(o_orderdate AS DATE) AS created FROM orders WHERE o_orderstatus = 'O' ORDER BY o_orderdate DESC, o_orderkey LIMIT 5000")
+@query("SELECT o_orderkey AS id, strftime(o_orderdate, '%Y-%m-%d') AS created FROM orders WHERE o_orderstatus = 'O' ORDER BY o_orderdate DESC, o_orderkey LIMIT 5000")
 def base_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC1: the newest open orders; the limit is the pool's."""
     o = parquet(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.lit("LOST").alias("record_type"), F.when(F.col("o_orderstatus") == "O", "ACTIVE").otherwise("CLOSED").alias("status"), F.col("o_orderdate").alias("created_at"))
-    return retrieval.base_pool(o, "LOST").select("id", F.col("created_at").cast("date").alias("created"))
+    return retrieval.base_pool(o, "LOST").select("id", F.date_format("created_at", "yyyy-MM-dd").alias("created"))
 
 
 @query("""
@@ -530,10 +530,10 @@ def upserted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.upsert(o.filter("status <> 'P'"), o.filter("status <> 'F'").withColumns({"price": F.col("price") * 2, "status": F.lit("NEW")}), ["id"], ["status"])
 
 
-@query("SELECT user_id, arg_max(event_type, ts) AS latest, max(ts)::DATE AS day, count(*) AS n FROM events GROUP BY user_id")
+@query("SELECT user_id, arg_max(event_type, ts) AS latest, strftime(max(ts), '%Y-%m-%d') AS day, count(*) AS n FROM events GROUP BY user_id")
 def latest_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SNK8: the latest of a subject's events."""
-    return parquet(spark, sf_dir, "events").groupBy("user_id").agg(F.max_by("event_type", "ts").alias("latest"), F.max("ts").cast("date").alias("day"), F.count("*").alias("n"))
+    return parquet(spark, sf_dir, "events").groupBy("user_id").agg(F.max_by("event_type", "ts").alias("latest"), F.date_format(F.max("ts"), "yyyy-MM-dd").alias("day"), F.count("*").alias("n"))
 
 
 DECISION_SQL = "d AS (SELECT doc_id, CASE WHEN toxic = 1 THEN 'REJECTED' WHEN quality = 1 THEN 'CONFIRMED' ELSE 'DEFERRED' END AS decision, CASE WHEN n_chars > 3000 THEN 'HIGH' WHEN n_chars > 1000 THEN 'MEDIUM' ELSE 'LOW' END AS level, least(100.0, n_chars / 40.0) AS final_score, source FROM labels JOIN documents USING (doc_id))"
