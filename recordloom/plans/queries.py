@@ -14,7 +14,7 @@ from recordloom.functions import vectors as V
 from recordloom.functions.geo import haversine
 from recordloom.operators import assign, conflicts, coverage, dedup, evaluate, retrieval, scoring, store
 from recordloom.operators import features as FT
-from recordloom.operators.matching import verify_secret
+from recordloom.operators.matching import tightened, verdict, verify_secret
 from recordloom.sources.tables import ancestors, parquet
 from recordloom.streaming.incremental import windowed_counts
 
@@ -141,6 +141,26 @@ def image_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("p_partkey", T.image_prompt(F.col("w")[0], F.lit(None).cast("string"), F.col("p_brand"), F.col("w")[1]).alias("prompt"))
 
 
+@query("""
+SELECT p_partkey, 'brand: ' || p_brand || chr(10) || 'color: ' || split_part(p_name, ' ', 1) || chr(10) || 'kind: ' || p_type || chr(10) || 'size: ' || p_size AS lines FROM part""")
+def attribute_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """NRM8: attributes as sorted lines, empty ones left out."""
+    values_ = {"size": F.col("p_size").cast("string"), "color": F.split("p_name", " ")[0], "brand": F.col("p_brand"), "kind": F.col("p_type"), "note": F.lit("")}
+    return parquet(spark, sf_dir, "part").select("p_partkey", T.canonical_lines(F.create_map(*[x for k, v in values_.items() for x in (F.lit(k), v)])).alias("lines"))
+
+
+@query("""
+WITH t AS (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'lost my iPhone ' || p_size || ' Pro Max, ' WHEN 1 THEN 'a galaxy s' || p_size || ' and ' ELSE 'the ' END || p_name AS x FROM part),
+m AS (SELECT p_partkey, nullif(trim(regexp_replace(lower(regexp_extract(x, '(?i)(iphone\\s*\\d{1,2}\\s*(?:pro\\s*max|pro|plus|mini)?|galaxy\\s*[a-z]?\\d{1,3}\\s*(?:ultra|plus|\\+)?)', 1)), '[^a-z0-9]+', ' ', 'g')), '') AS model FROM t)
+SELECT p_partkey, model, CASE WHEN model LIKE 'iphone%' THEN 'Apple' WHEN model LIKE 'galaxy%' THEN 'Samsung' END AS brand FROM m""")
+def model_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """NRM7, NRM14: model names in descriptions and the brands that they imply."""
+    k = F.pmod("p_partkey", F.lit(3))
+    lead = F.when(k == 0, F.concat(F.lit("lost my iPhone "), "p_size", F.lit(" Pro Max, "))).when(k == 1, F.concat(F.lit("a galaxy s"), "p_size", F.lit(" and "))).otherwise("the ")
+    rows = parquet(spark, sf_dir, "part").select("p_partkey", T.canonical_model(T.model_phrase(F.concat(lead, "p_name"))).alias("model"))
+    return rows.withColumn("brand", T.brand_of_model(F.col("model")))
+
+
 @query("SELECT h AS content_hash, min(doc_id) AS doc_id, count(*) AS copies FROM (SELECT doc_id, sha256(text) AS h FROM documents) GROUP BY h")
 def content_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """VEC2: documents by the hash of their content."""
@@ -413,6 +433,17 @@ def evidence_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy(F.col("e.evidence_type").alias("kind"), F.col("e.is_conflict").alias("is_conflict")).agg(F.count("*").alias("n"), F.min("e.contribution").alias("low"), F.max("e.contribution").alias("high"))
 
 
+@query(f"""
+WITH {PAIRS_SQL}, {SCORE_SQL}
+SELECT a, b, CASE WHEN cb > 0 OR ct > 0 THEN 'UNLIKELY_MATCH' WHEN final >= 85 THEN 'LIKELY_MATCH' WHEN final >= 70 THEN 'POSSIBLE_MATCH' WHEN final >= 50 THEN 'UNLIKELY_MATCH' ELSE 'NOT_MATCH' END AS decision,
+CASE WHEN cb > 0 OR ct > 0 OR final < 70 THEN 'DO_NOT_RECOMMEND' ELSE 'HUMAN_REVIEW' END AS action FROM y""")
+def rule_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RK3, RK5: the rule analyst's decisions, which may only lower an action."""
+    out = scoring.with_score(part_pairs(spark, sf_dir), pair_spec(), pair_features(), pair_conflicts(), keep=True)
+    out = out.withColumn("v", verdict(F.col("final_score"), F.col("conflicts"), F.col("evidence")))
+    return out.select("a", "b", "v.decision", tightened(F.col("action"), F.col("v.recommended_action")).alias("action"))
+
+
 @query("""
 SELECT s_suppkey, contains(lower(s_name), lower(left(s_name, 9))) AND contains(n_name, right(n_name, 1)) AS verified, contains('nation x', lower(n_name)) AS wrong
 FROM supplier JOIN nation ON s_nationkey = n_nationkey""")
