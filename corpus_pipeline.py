@@ -41,10 +41,10 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     whole stays as an empty one; the next stage takes no words of it.
     """
     common.small_batches(spark)
-    out = suffix_dedup.remove_repeats(docs, ["text", "lang", "source", "n_chars"])
-    # Bytes that no longer form a character are taken out; untouched texts keep their column.
-    cut = F.when(F.col("n_removed") > 0, suffix_dedup.as_text("kept")).otherwise(F.col("text"))
-    return out.select("doc_id", cut.alias("_t"), "lang", "source", "n_chars", "n_removed").select("doc_id", F.col("_t").alias("text"), "lang", "source", F.when(F.col("n_removed") > 0, F.length("_t").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
+    out = suffix_dedup.remove_repeats(docs, ["text", "lang", "source", "n_chars"], as_text=True)
+    # Untouched texts keep their column, null or not.
+    changed = F.col("n_removed") > 0
+    return out.select("doc_id", F.when(changed, F.col("kept")).otherwise(F.col("text")).alias("text"), "lang", "source", F.when(changed, F.length("kept").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -192,11 +192,17 @@ def without(docs: DataFrame, gone: DataFrame, column: str) -> DataFrame:
     it cannot clear are shuffled to an exact anti join.
     """
     bits = share(docs.sparkSession, id_filter(gone, column))
+    columns = docs.columns
+    rows = docs.withColumn("_spot", F.when(F.col(column).isNotNull(), spot_of(column)).otherwise(-1))
 
-    @F.pandas_udf("boolean")
-    def listed(spot: pd.Series) -> pd.Series:
-        return pd.Series(may_hold(pickle.loads(bits.value), spot.to_numpy()))
+    def side(wanted: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                spot = batch.column(batch.num_columns - 1).to_numpy()
+                some = (spot >= 0) & may_hold(pickle.loads(bits.value), np.maximum(spot, 0))
+                yield batch.filter(pa.array(some == wanted))
+                trim()
 
-    columns = docs.columns
-    marked = docs.withColumn("_some", listed(F.coalesce(spot_of(column), F.lit(0))))
-    return marked.filter("NOT _some").select(*columns).union(marked.filter("_some").select(*columns).join(gone, column, "left_anti").select(*columns))
+        return rows.mapInArrow(run, rows.schema).select(*columns)
+
+    return side(False).union(side(True).join(gone, column, "left_anti").select(*columns))

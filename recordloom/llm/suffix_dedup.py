@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recordloom.llm.census import CELL, cell_blobs, census_cell, hot_keys, id_filter, is_hot, may_hold, mix64, open_answer, spot_of, text_blocks
@@ -477,21 +477,12 @@ def cut_spans(text: bytes, spans: bytes | None) -> tuple[bytes, int, int]:
     return left, len(text) - len(left), len(pairs)
 
 
-def as_text(column: str) -> Column:
-    """Bytes as text; bytes that are no UTF-8 are left out."""
-
-    @F.pandas_udf("string")
-    def decoded(data: pd.Series) -> pd.Series:
-        return data.map(lambda b: b.decode("utf-8", "ignore"), na_action="ignore")
-
-    return decoded(F.col(column))
-
-
-def remove_repeats(docs: DataFrame, columns: list[str] | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, columns: list[str] | None = None, as_text: bool = False) -> DataFrame:
     """Removes from each text all bytes covered by 50-byte strings that also start in a document with a smaller id.
 
     Returns (doc_id, n_bytes, n_removed, n_spans, kept, and ``columns`` of the
-    input), one row per document; ``kept`` is the binary rest. Strings are
+    input), one row per document; ``kept`` is the binary rest, or with ``as_text``
+    the rest as text without the bytes of characters that were cut in part. Strings are
     judged on the input, on UTF-8 bytes of whole texts, and never cross texts.
 
     The suffix space is dealt to cells by anchors: each 50-byte string chooses,
@@ -512,24 +503,38 @@ def remove_repeats(docs: DataFrame, columns: list[str] | None = None) -> DataFra
     more = columns or []
     spans = repeated_spans(docs)
     bits = share(spark, id_filter(spans, "id"))
-    rows = docs.select("doc_id", text_bytes(F.col("text")).alias("data"), F.coalesce(spot_of("doc_id"), F.lit(0)).alias("spot"), *more)
+    rows = docs.select("doc_id", text_bytes(F.col("text")).alias("data"), F.when(F.col("doc_id").isNotNull(), spot_of("doc_id")).otherwise(-1).alias("spot"), *more)
+    kinds = dict(docs.dtypes)
+    extra = [f"`{c}` {kinds[c]}" for c in more]
 
-    @F.pandas_udf("boolean")
-    def listed(spot: pd.Series) -> pd.Series:
-        return pd.Series(may_hold(pickle.loads(bits.value), spot.to_numpy()))
+    def finished(batch: pa.RecordBatch, cuts: list[bytes | None]) -> pa.RecordBatch:
+        left = [cut_spans(t.as_py(), cut) for t, cut in zip(batch.column(1), cuts)]
+        arrays = [batch.column(0), pa.array([len(x) + n for x, n, _ in left], pa.int64()), pa.array([n for _, n, _ in left], pa.int64()), pa.array([k for _, _, k in left], pa.int64())]
+        kept = pa.array([x.decode("utf-8", "ignore") for x, _, _ in left], pa.string()) if as_text else pa.array([x for x, _, _ in left], pa.binary())
+        return pa.RecordBatch.from_arrays([*arrays, kept, *[batch.column(3 + k) for k in range(len(more))]], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", *more])
 
-    marked = rows.withColumn("_some", F.col("doc_id").isNotNull() & listed("spot")).drop("spot")
-    joined_rows = marked.filter("_some").withColumn("_mark", F.crc32("data")).join(spans, (F.col("doc_id") == F.col("id")) & (F.col("_mark") == F.col("mark")), "left").select("doc_id", "data", "spans", *more)
-    plain = marked.filter("NOT _some").select("doc_id", "data", F.lit(None).cast("binary").alias("spans"), *more)
-    both = plain.union(joined_rows)
-    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())])
+    def listed(batch: pa.RecordBatch) -> np.ndarray:
+        spot = batch.column(2).to_numpy()
+        return (spot >= 0) & may_hold(pickle.loads(bits.value), np.maximum(spot, 0))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    # Each stage has one Python step, so an executor runs one worker a core.
+    def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            some = batch.filter(pa.array(~listed(batch)))
+            yield finished(some, [None] * some.num_rows)
+            trim()
+
+    def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, cuts = batch.column(1), batch.column(2)
-            left = [cut_spans(data[i].as_py(), cuts[i].as_py()) for i in range(batch.num_rows)]
-            arrays = [batch.column(0), pa.array([len(x) + n for x, n, _ in left], pa.int64()), pa.array([n for _, n, _ in left], pa.int64()), pa.array([k for _, _, k in left], pa.int64()), pa.array([x for x, _, _ in left], pa.binary())]
-            yield pa.RecordBatch.from_arrays([*arrays, *[batch.column(3 + k) for k in range(len(more))]], names=[*schema.names, *more])
+            yield batch.filter(pa.array(listed(batch)))
+            trim()
 
-    kinds = dict(docs.dtypes)
-    return both.mapInArrow(run, ", ".join(["doc_id long, n_bytes long, n_removed long, n_spans long, kept binary", *[f"`{c}` {kinds[c]}" for c in more]]))
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield finished(batch, batch.column(2).to_pylist())
+            trim()
+
+    out = ", ".join(["doc_id long, n_bytes long, n_removed long, n_spans long", f"kept {'string' if as_text else 'binary'}", *extra])
+    some = rows.mapInArrow(rest, ", ".join(["doc_id long, data binary, spot long", *extra])).withColumn("_mark", F.crc32("data"))
+    some = some.join(spans, (F.col("doc_id") == F.col("id")) & (F.col("_mark") == F.col("mark")), "left").select("doc_id", "data", "spans", *more)
+    return rows.mapInArrow(plain, out).union(some.mapInArrow(cut, out))
