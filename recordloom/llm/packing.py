@@ -20,9 +20,9 @@ from pyspark.sql import functions as F
 from recordloom.llm.common import ranked, trim, written
 
 #: Words whose ids a worker keeps for good; it forgets others after each block. This bounds memory, not results.
-REMEMBERED = 600_000
+REMEMBERED = 900_000
 #: Bytes of text encoded together; a longer text is a block of its own.
-BLOCK = 3 << 20
+BLOCK = 4 << 20
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
