@@ -164,7 +164,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id
                         rows.append((doc_id, piece, start, size, zlib.crc32(end, crc) if start + size == n else crc))
                     begin = stop
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], names=["doc_id", "piece", "start", "length", "ids_crc32"])
-            trim()
+        trim()
 
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("data")).mapInArrow(run, PIECES)
 
