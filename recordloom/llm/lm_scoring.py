@@ -24,8 +24,8 @@ WORDS, CLASSES = 1920, 126
 END, BEGIN = WORDS + CLASSES, WORDS + CLASSES + 1
 OUTPUTS, CONTEXTS = WORDS + CLASSES + 1, WORDS + CLASSES + 2
 DIMS, NOISE, BATCH = 24, 64, 1024
-#: Training passes, each over every STRIDE-th token of all training documents (other ones in each pass).
-ROUNDS, STRIDE = 2, 8
+#: Training passes; together they take every token of all training documents once.
+ROUNDS = 2
 BLOCK = 4 << 20
 LOG10 = float(np.log(10))
 
@@ -224,6 +224,12 @@ def with_contexts(ids: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.nda
     return flat, w1, w2, starts
 
 
+def drawn(starts: np.ndarray, many: np.ndarray, turn: int) -> np.ndarray:
+    """Places of a round's tokens. They depend on the text alone, so each token has its round however blocks are cut."""
+    inside = np.arange(int((many + 1).sum())) - np.repeat(starts, many + 1)
+    return np.flatnonzero((inside + np.repeat(many, many + 1)) % ROUNDS == turn)
+
+
 def _averaged(replicas: DataFrame, count: int) -> np.ndarray | None:
     """Mean of replicas by examples seen, in two steps, so that no task and not the driver holds all of them."""
 
@@ -257,9 +263,9 @@ def _train(spark, docs: DataFrame, lexicon: Lexicon) -> np.ndarray:
             for batch in batches:
                 for part in blocks(batch, 0):
                     _, _, kinds, places, many = encode(lex, head, part.column(0))
-                    w, w1, w2, _ = with_contexts(kinds[places], many)
+                    w, w1, w2, starts = with_contexts(kinds[places], many)
                     mark = zlib.crc32(w[:64].tobytes(), mark)
-                    pick = replica.rng.permutation(np.arange((turn * 5 + len(w)) % STRIDE, len(w), STRIDE))
+                    pick = replica.rng.permutation(drawn(starts, many, turn))
                     replica.learn(w[pick], w1[pick], w2[pick])
             trim()
             if replica.examples:

@@ -219,6 +219,19 @@ def test_language_model(spark):
     assert lm_scoring.score(frame(spark, rows[:0])).count() == 0
 
 
+def test_language_model_trains_on_every_token(spark, monkeypatch):
+    rows = corpus(6, 200)
+    averaged, seen = lm_scoring._averaged, []
+
+    def counting(replicas, count):
+        seen.append(replicas.agg(F.sum("examples")).first()[0])
+        return averaged(replicas, count)
+
+    monkeypatch.setattr(lm_scoring, "_averaged", counting)
+    got = lm_scoring.score(frame(spark, rows).repartition(3)).collect()
+    assert sum(seen) == got[0].train_tokens and min(seen) > 0.4 * sum(seen)
+
+
 def test_language_model_is_normalised():
     unigram = np.random.default_rng(0).random(lm_scoring.OUTPUTS)
     model = lm_scoring.LogBilinear(unigram / unigram.sum())
