@@ -13,6 +13,8 @@ from recordloom.llm.common import text_bytes, written
 OVERSAMPLE = 64
 #: A range with more than so many times the mean of a range is cut again.
 OVERFULL = 4.0
+#: The highest key.
+LAST = (1 << 63) - 1
 
 
 def _range_of(splitters: np.ndarray):
@@ -23,14 +25,15 @@ def _range_of(splitters: np.ndarray):
     return find
 
 
-def shard(docs: DataFrame, shards: int = 40, overhead: int = 16, rounds: int = 8) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 40, overhead: int = 16) -> DataFrame:
     """Deals documents to ``shards`` shards of near equal bytes: (doc_id, size, text_crc32, shard, slot).
 
     The key of a row is a hash of its text with a hash of its id in the low 24
     bits: equal texts are neighbours, and even a third of all rows with one
-    text has many keys. A size-weighted sample of keys gives quantile
-    boundaries; ranges that turn out overfull are sampled and cut again until
-    none is left that holds more than one key. The range totals (a few
+    text has many keys. A sample of keys weighted by the bytes of their rows gives
+    quantile boundaries, with a range of its own for a key that fills one;
+    ranges that turn out overfull are sampled and cut again until none is left
+    that holds more than one key. The totals of the final ranges (a few
     thousand numbers, whatever the input) place each range on the running sum
     of bytes, and a window inside each range places its rows, so a shard
     misses the mean by one document at most.
@@ -42,28 +45,32 @@ def shard(docs: DataFrame, shards: int = 40, overhead: int = 16, rounds: int = 8
     data = text_bytes(F.col("text"))
     key = F.xxhash64("text").bitwiseAND(F.lit(~0xFFFFFF)).bitwiseOR(F.xxhash64("doc_id").bitwiseAND(F.lit(0xFFFFFF)))
     narrow = written(docs.select("doc_id", (F.octet_length(data) + overhead).cast("long").alias("size"), F.crc32(data).alias("text_crc32"), key.alias("_key")), "shard-docs")
-    all_rows = narrow.agg(F.sum("size").alias("bytes")).first()
-    total = all_rows.bytes or 0
+    # Rows that share a key cannot be parted, so keys are drawn by the bytes of all their rows.
+    keys = written(narrow.groupBy("_key").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")), "shard-keys")
+    total = keys.agg(F.sum("bytes").alias("bytes")).first().bytes or 0
     ranges = shards * OVERSAMPLE
-    draw = F.shiftrightunsigned(F.xxhash64("doc_id", "_key", "text_crc32", F.lit(11)), 11) / F.lit(float(1 << 53))
+
+    def drawn(some: DataFrame, salt: int, rate: float) -> set[int]:
+        draw = F.shiftrightunsigned(F.xxhash64("_key", F.lit(salt)), 11) / F.lit(float(1 << 53))
+        return {r._key for r in some.filter(draw < F.col("bytes") * rate).select("_key").collect()}
+
     splitters: list[int] = []
     if total:
-        splitters = sorted({r._key for r in narrow.filter(draw < F.col("size") * (ranges / total)).select("_key").collect()})
-    totals: dict[int, tuple[int, int]] = {}
-    for turn in range(rounds):
-        cut = np.array(splitters, dtype="int64")
-        dealt = narrow.withColumn("_range", _range_of(cut)("_key"))
-        found = dealt.groupBy("_range").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"), F.min("_key").alias("low"), F.max("_key").alias("high"), F.max("size").alias("most")).collect()
-        totals = {r._range: (r.bytes, r.rows) for r in found}
-        over = [r for r in found if r.bytes > OVERFULL * total / ranges and r.low < r.high and r.bytes > 2 * r.most]
+        # A key of a whole range's bytes gets a range of its own; there are ``ranges`` of them at most.
+        heavy = {r._key for r in keys.filter(F.col("bytes") * ranges >= total).select("_key").collect()}
+        splitters = sorted(drawn(keys, 11, ranges / total) | heavy | {k + 1 for k in heavy if k < LAST})
+    turn = 0
+    while True:
+        dealt = keys.withColumn("_range", _range_of(np.array(splitters, dtype="int64"))("_key"))
+        found = dealt.groupBy("_range").agg(F.sum("bytes").alias("bytes"), F.sum("rows").alias("rows"), F.min("_key").alias("low"), F.max("_key").alias("high")).collect()
+        over = [r for r in found if r.bytes > OVERFULL * total / ranges and r.low < r.high]
         if not over:
             break
+        # The highest key of a range is always a new splitter, so each turn cuts each overfull range.
         again = dealt.filter(F.col("_range").isin([r._range for r in over]))
-        again_draw = F.shiftrightunsigned(F.xxhash64("doc_id", "_key", "text_crc32", F.lit(101 + turn)), 11) / F.lit(float(1 << 53))
-        more = {r._key for r in again.filter(again_draw < F.col("size") * (2.0 * ranges / total)).select("_key").collect()}
-        if not more - set(splitters):
-            break
-        splitters = sorted(more | set(splitters))
+        splitters = sorted(set(splitters) | drawn(again, 101 + turn, 2.0 * ranges / total) | {r.high for r in over})
+        turn += 1
+    totals = {r._range: (r.bytes, r.rows) for r in found}
     spark = docs.sparkSession
     at_bytes, at_rows, rows = 0, 0, []
     for k in sorted(totals):
@@ -74,7 +81,7 @@ def shard(docs: DataFrame, shards: int = 40, overhead: int = 16, rounds: int = 8
     inside = Window.partitionBy("_range").orderBy("_key", "doc_id", "text_crc32", "size")
     upto = F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0))
     dealt = dealt.withColumn("_upto", upto).withColumn("_rn", F.row_number().over(inside))
-    # One row a range, whose number is bounded by shards * OVERSAMPLE and the rounds.
+    # One row a range, whose number is bounded by a multiple of shards * OVERSAMPLE.
     dealt = dealt.join(F.broadcast(places), F.col("_range") == F.col("_r"))
     middle = F.col("_bytes") + F.col("_upto") - F.col("size") / 2
     dealt = dealt.withColumn("shard", F.least(F.lit(shards - 1), F.floor(middle * F.lit(shards / total if total else 0.0))).cast("int"))

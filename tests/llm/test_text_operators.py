@@ -95,6 +95,19 @@ def test_sharding_of_one_text(spark):
     assert max(by.values()) - min(by.values()) <= 2 and len(by) == 5
 
 
+def test_sharding_of_many_repeated_rows(spark):
+    words = frame(spark, [(i, f"text {i} " + "x" * (i % 7), "a") for i in range(600)])
+    rows = words.crossJoin(spark.range(200).select(F.lit(0).alias("copy"))).select("doc_id", "text")
+    plain = spark.range(10_000, 30_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("plain "), "id").alias("text"))
+    for docs in (rows, rows.filter("doc_id < 20").unionByName(plain)):
+        got = sharding.shard(docs, 8)
+        want = docs.groupBy("doc_id").agg(F.count("*").alias("n"))
+        assert want.join(got.groupBy("doc_id").agg(F.count("*").alias("m")), "doc_id", "left").filter("m IS NULL OR n <> m").count() == 0
+        by = got.groupBy("shard").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"), F.countDistinct("slot").alias("slots"), F.max("slot").alias("last"), F.max("size").alias("most")).collect()
+        total = sum(r.bytes for r in by)
+        assert len(by) == 8 and all(r.n == r.slots == r.last + 1 and abs(r.bytes - total / 8) <= max(x.most for x in by) for r in by)
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_bin_plan(seed):
     rng = random.Random(seed)
