@@ -229,6 +229,32 @@ def test_toxicity_learns(spark):
     assert toxicity.classify(odd, net).count() == 4 and toxicity.classify(odd.limit(0), net).count() == 0
 
 
+def test_toxicity_reads_whole_words():
+    rng = random.Random(3)
+    letters = lambda n: "".join(rng.choice("abcdeghjkmnoprst") for _ in range(n))
+    bad = ["vilarqux", "zorblify", "wyvulent"]
+    train = []
+    for k in range(600):
+        w = [letters(rng.randrange(3, 10)) for _ in range(rng.randrange(20, 60))]
+        if k % 3 == 0:
+            for _ in range(2):
+                w[rng.randrange(len(w))] = rng.choice(bad) + letters(rng.randrange(4))
+        train.append((" ".join(w).encode(), int(k % 3 == 0)))
+    scorer = toxicity.Scorer(toxicity.train([t for t, _ in train], [y for _, y in train], epochs=5))
+    tokens = [(letters(20 + k % 9), rng.choice(bad), letters(k % 5)) for k in range(60)]
+    around = [[letters(6) for _ in range(20)] for _ in tokens]
+    hidden = scorer.score([" ".join([*w, a + b + c]).encode() for w, (a, b, c) in zip(around, tokens)])
+    clean = scorer.score([" ".join([*w, a + letters(8) + c]).encode() for w, (a, b, c) in zip(around, tokens)])
+    assert np.mean(hidden >= 0.3) > 0.9 and np.mean(clean >= 0.3) < 0.1
+
+
+def test_steps_hold_every_run():
+    for n in range(1, 60):
+        word = bytes(range(65, 65 + n))
+        parts = [word[: toxicity.REACH], *(s[1:] for s in toxicity.steps(word)[1:])]
+        assert all(any(word[k : k + 8] in p for p in parts) for k in range(max(1, n - 7))) and all(len(p) <= toxicity.REACH for p in parts)
+
+
 def test_toxicity_gradients():
     rng = np.random.default_rng(0)
     net = toxicity.Network()
