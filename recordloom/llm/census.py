@@ -1,10 +1,11 @@
-"""Which 64-bit keys occur in two or more different texts, found without shuffling texts.
+"""Which 64-bit keys occur in two or more texts, found without shuffling texts.
 
-A scan emits, for each block of documents, one blob of key remainders per
+A scan emits, for each haul of documents, one blob of key remainders per
 cell of the key space. A cell sees all occurrences of its keys and answers
-each block with the keys that more than one text holds, and how many texts
-do. Keys that a sample shows to be in many texts never go to a cell, so no
-cell gets a hot key.
+each haul with the keys that more than one text holds, and how often they
+occur. Keys that a sample shows to be in many texts never go to a cell, so no
+cell gets a hot key. A key costs four bytes and a part of a byte for its
+owner, however many cells there are: a blob has no row per document.
 """
 
 from __future__ import annotations
@@ -19,15 +20,17 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recordloom.llm.common import share, trim
+from recordloom.llm.common import packed, share, trim, unpacked
 
 #: Occurrences a cell should see.
-CELL = 1_500_000
+CELL = 3_000_000
+#: Bytes of text whose keys go to the cells together.
+HAUL = 16 << 20
 #: One document in SAMPLE is looked at for hot keys; a key is hot if at least HOT_SHARE of the sampled
 #: documents, and HOT_LEAST of them, have it. So there are at most (keys a document) / HOT_SHARE hot keys.
 SAMPLE, HOT_SHARE, HOT_LEAST = 32, 1 / 2000, 12
-#: Bits of the filter that spares texts a shuffle: 4 MB, whatever the input.
-FILTER_BITS = 1 << 25
+#: Bits of the filter that spares texts a shuffle: 16 an id, in these bounds (16 MB at most).
+LEAST_BITS, MOST_BITS = 1 << 20, 1 << 27
 
 
 def text_blocks(batch: pa.RecordBatch, column: int, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
@@ -43,6 +46,21 @@ def text_blocks(batch: pa.RecordBatch, column: int, most: int = 2 << 20) -> Iter
         yield batch.slice(start)
 
 
+def hauls(batches: Iterator[pa.RecordBatch], column: int, most: int | None = None) -> Iterator[list[pa.RecordBatch]]:
+    """Blocks of all batches of a task, about ``HAUL`` bytes of text at a time."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        for part in text_blocks(batch, column):
+            held.append(part)
+            size += int(pc.sum(pc.binary_length(part.column(column))).as_py() or 0) + 64 * part.num_rows
+            if size >= (most or HAUL):
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Scrambles 64-bit values (the finaliser of MurmurHash3)."""
     x = x.astype("uint64", copy=True)
@@ -84,29 +102,34 @@ def is_hot(hot: np.ndarray, key: np.ndarray) -> np.ndarray:
     return hot[at] == key
 
 
-def cell_blobs(owner: np.ndarray, key: np.ndarray, mark: np.ndarray, cells: int) -> Iterator[tuple[int, bytes]]:
-    """For each cell the block's keys there: remainders by owner, and each owner once with its number of keys and its mark."""
-    cell = ((key >> np.uint64(32)) % np.uint64(cells)).astype("int64")
-    order = np.argsort(cell * (int(owner.max(initial=0)) + 1) + owner, kind="stable")
-    low, who = key[order].astype("uint32"), owner[order]
+def cell_blobs(key: np.ndarray, cells: int, owner: np.ndarray | None = None) -> Iterator[tuple[int, bytes]]:
+    """For each cell the keys there: 32-bit remainders, and their owners if given (keys then come by owner)."""
+    cell = ((key >> np.uint64(32)) % np.uint64(cells)).astype("uint16" if cells <= 1 << 16 else "uint32")
+    order = np.argsort(cell, kind="stable")
+    low = key[order].astype("<u4")
+    who = None if owner is None else owner[order]
     ends = np.cumsum(np.bincount(cell, minlength=cells))
     start = 0
     for c in np.flatnonzero(np.diff(np.r_[0, ends])).tolist():
         end = int(ends[c])
-        mine = who[start:end]
-        first = np.flatnonzero(np.r_[True, mine[1:] != mine[:-1]])
-        times = np.diff(np.r_[first, len(mine)])
-        head = np.array([end - start, len(first)], dtype="uint32").tobytes()
-        yield c, head + low[start:end].tobytes() + mark[mine[first]].astype("uint32").tobytes() + times.astype("uint32").tobytes() + mine[first].astype("uint16").tobytes()
+        yield c, _blob(low[start:end], None if who is None else who[start:end])
         start = end
 
 
-def _open(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Remainders, marks and owners, one of each a key."""
-    n, m = np.frombuffer(blob, "uint32", 2).tolist()
-    at = 8 + 4 * n
-    times = np.frombuffer(blob, "uint32", m, at + 4 * m)
-    return np.frombuffer(blob, "uint32", n, 8), np.repeat(np.frombuffer(blob, "uint32", m, at), times), np.repeat(np.frombuffer(blob, "uint16", m, at + 8 * m), times)
+def _blob(low: np.ndarray, who: np.ndarray | None, *more: np.ndarray) -> bytes:
+    """Remainders as they are (they do not compress), then owners, which grow, by their steps."""
+    head = np.uint32(len(low)).tobytes() + low.tobytes()
+    return head if who is None else head + packed(np.diff(who.astype("int64"), prepend=0).astype("<u4"), *more)
+
+
+def remainders(blob: bytes) -> np.ndarray:
+    return np.frombuffer(blob, "<u4", int(np.frombuffer(blob, "<u4", 1)[0]), 4)
+
+
+def _owners(blob: bytes) -> list[bytes]:
+    """Owners and what was packed with them; empty for a blob without."""
+    at = 4 + 4 * int(np.frombuffer(blob, "<u4", 1)[0])
+    return unpacked(blob[at:]) if at < len(blob) else []
 
 
 def level_of(texts: np.ndarray) -> np.ndarray:
@@ -115,80 +138,88 @@ def level_of(texts: np.ndarray) -> np.ndarray:
 
 
 def census_cell(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Answers to the blocks of one cell; rows with a negative block are passed on as they are.
+    """Answers to the hauls of one cell; rows with a negative cell are passed on as they are.
 
     In: (cell, block, blob). Out: (block, cell, blob) with the remainders,
-    owners and levels of the keys that at least two different texts hold.
+    owners and levels of the keys that occur at least twice. A haul gives a key
+    at most once for each text.
     """
     cell = int(pdf["cell"].iloc[0])
     if cell < 0:
         return pd.DataFrame({"block": pdf["block"], "cell": pdf["cell"], "blob": pdf["blob"]})
     blobs_in = pdf["blob"].tolist()
-    many = [int(np.frombuffer(b, "uint32", 1)[0]) for b in blobs_in]
-    pairs, at = np.empty(sum(many), "uint64"), 0
-    for b, n in zip(blobs_in, many):  # one blob at a time: a cell is the largest thing a worker holds
-        low, mark, _ = _open(b)
-        pairs[at : at + n] = (low.astype("uint64") << np.uint64(32)) | mark
-        at += n
-    pairs.sort()
-    pairs = pairs[np.r_[True, pairs[1:] != pairs[:-1]]]
-    lows = (pairs >> np.uint64(32)).astype("uint32")
-    del pairs
+    lows = np.concatenate([remainders(b) for b in blobs_in])
+    lows.sort()
     first = np.flatnonzero(np.r_[True, lows[1:] != lows[:-1]])
-    texts = np.diff(np.r_[first, len(lows)])
-    shared, levels = lows[first][texts > 1], level_of(texts[texts > 1])
-    del lows, first, texts
+    times = np.diff(np.r_[first, len(lows)])
+    shared, levels = lows[first[times > 1]], level_of(times[times > 1])
+    del lows, first, times
     blocks, blobs = [], []
     for block, b in zip(pdf["block"], blobs_in):
         if len(shared):
-            low, _, who = _open(b)
+            low = remainders(b)
             at = np.minimum(np.searchsorted(shared, low), len(shared) - 1)
             hit = shared[at] == low
             if hit.any():
+                owned = _owners(b)
                 blocks.append(block)
-                blobs.append(np.uint32(hit.sum()).tobytes() + low[hit].tobytes() + who[hit].tobytes() + levels[at[hit]].tobytes())
+                if owned:
+                    who = np.cumsum(np.frombuffer(owned[0], "<u4").astype("int64"))
+                    blobs.append(_blob(low[hit], who[hit], levels[at[hit]]))
+                else:
+                    blobs.append(_blob(np.unique(low[hit]), None))
     trim()
     return pd.DataFrame({"block": np.array(blocks, dtype="int64"), "cell": np.full(len(blocks), cell, "int64"), "blob": blobs})
 
 
 def open_answer(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Remainders, owners and levels from an answer of ``census_cell``."""
-    n = int(np.frombuffer(blob, "uint32", 1)[0])
-    return np.frombuffer(blob, "uint32", n, 4), np.frombuffer(blob, "uint16", n, 4 + 4 * n), np.frombuffer(blob, "uint8", n, 4 + 6 * n)
+    """Remainders, owners and levels from an answer of ``census_cell`` to keys that came with owners."""
+    who, level = _owners(blob)
+    return remainders(blob), np.cumsum(np.frombuffer(who, "<u4").astype("int64")), np.frombuffer(level, "uint8")
 
 
 def id_filter(ids: DataFrame, column: str) -> np.ndarray:
-    """A bit set of fixed size that holds every id of a column (and, by chance, others): False means certainly not in."""
-    spot = F.pmod(F.xxhash64(column, F.lit(17)), F.lit(FILTER_BITS))
+    """A bit set that holds every id of a column (and, by chance, others): False means certainly not in.
+
+    It has 16 bits or more an id up to ``MOST_BITS``. A fuller one lets more rows
+    through to the exact join behind it, and loses none.
+    """
+    many = ids.count()
+    bits = LEAST_BITS
+    while bits < min(16 * many, MOST_BITS):
+        bits *= 2
+    spot = F.pmod(F.xxhash64(column, F.lit(17)), F.lit(bits))
     parts = ids.select(spot.alias("s")).distinct().groupBy(F.shiftright("s", 15).alias("part")).agg(F.collect_list(F.col("s").bitwiseAND(F.lit(32767)).cast("int")).alias("spots"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             blobs = []
             for spots in batch.column(1):
-                bits = np.zeros(32768, bool)
-                bits[spots.values.to_numpy()] = True
-                blobs.append(np.packbits(bits).tobytes())
+                found = np.zeros(32768, bool)
+                found[spots.values.to_numpy()] = True
+                blobs.append(np.packbits(found).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(blobs, pa.binary())], names=["part", "bits"])
 
-    out = np.zeros((FILTER_BITS >> 15, 4096), "uint8")
-    for r in parts.mapInArrow(pack, "part long, bits binary").collect():  # 1024 rows at most
+    out = np.zeros((bits >> 15, 4096), "uint8")
+    for r in parts.mapInArrow(pack, "part long, bits binary").collect():  # MOST_BITS >> 15 rows at most
         out[r.part] = np.frombuffer(r.bits, "uint8")
     return out.ravel()
 
 
 def spot_of(column: str) -> Column:
-    return F.pmod(F.xxhash64(column, F.lit(17)), F.lit(FILTER_BITS))
+    """Where ``may_hold`` looks an id up, whatever the size of the filter (sizes are powers of two)."""
+    return F.pmod(F.xxhash64(column, F.lit(17)), F.lit(MOST_BITS))
 
 
 def may_hold(bits: np.ndarray, spots: np.ndarray) -> np.ndarray:
+    spots = spots & (8 * len(bits) - 1)
     return (bits[spots >> 3] >> (7 - (spots & 7)) & 1).astype(bool)
 
 
 def without(docs: DataFrame, gone: DataFrame, column: str) -> DataFrame:
     """The rows of ``docs`` whose id is not in ``gone`` (one column of that name, ids distinct).
 
-    The fixed-size filter lets most rows pass where they are; only those that
+    The filter lets most rows pass where they are; only those that
     it cannot clear are shuffled to an exact anti join.
     """
     bits = share(docs.sparkSession, id_filter(gone, column))

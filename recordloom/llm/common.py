@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import ctypes
-import gc
 import tempfile
-import time
 import uuid
 
 import numpy as np
@@ -60,19 +58,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def dropped(spark: SparkSession, *tables: DataFrame) -> None:
-    """Deletes scratch tables that are used up, and lets Spark's cleaner take the shuffle files of dead plans."""
-    jvm = spark.sparkContext._jvm
-    for table in tables:
-        for file in table.inputFiles()[:1]:
-            folder = jvm.org.apache.hadoop.fs.Path(file).getParent()
-            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
-    for _ in range(2):  # the second round takes what the first has let go
-        gc.collect()
-        jvm.System.gc()
-        time.sleep(0.5)
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -11,10 +11,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recordloom.llm.census import CELL, cell_blobs, census_cell, hot_keys, id_filter, is_hot, may_hold, mix64, open_answer, spot_of, text_blocks
+from recordloom.llm.census import CELL, cell_blobs, census_cell, hauls, hot_keys, id_filter, is_hot, may_hold, mix64, open_answer, spot_of, text_blocks
 from recordloom.llm.common import components, share, trim, written
 from recordloom.llm.lm_scoring import split_words
 
+#: Bytes of text whose shingles are dealt together.
+HAUL = 8 << 20
 #: Partners that meet one leader's text in a task.
 FAN = 256
 
@@ -68,20 +70,31 @@ def _scan(docs: DataFrame, n: int, cells: int, hot: np.ndarray) -> DataFrame:
 
         hot = pickle.loads(shared.value)
         block = TaskContext.get().partitionId() << 32
-        for batch in batches:
-            for part in text_blocks(batch, 1):
+        for parts in hauls(batches, 1, HAUL):
+            ids = [i for part in parts for i in part.column(0).to_pylist()]
+            owners, keys, marks, at = [], [], [], 0
+            for part in parts:
                 owner, key = shingles(part.column(1), n)
-                size, a, b = signatures(owner, key, part.num_rows)
-                heat = is_hot(hot, key)
-                home = pickle.dumps((part.column(0).to_pylist(), size, a, b, owner[heat].astype("uint16"), np.searchsorted(hot, key[heat]).astype("uint32")))
-                # Texts with one set count once, so only the first of them in the block asks.
-                _, first = np.unique(np.stack([a, b]), axis=1, return_index=True)
-                asks = np.zeros(part.num_rows, bool)
-                asks[first] = True
-                ask = ~heat & asks[owner]
-                rows = [(-1, block, home), *[(c, block, blob) for c, blob in cell_blobs(owner[ask], key[ask], a.astype("uint32"), cells)]]
-                block += 1
+                marks.append(signatures(owner, key, part.num_rows))
+                owners.append((owner + at).astype("uint32"))
+                keys.append(key)
+                at += part.num_rows
+            owner, key = np.concatenate(owners), np.concatenate(keys)
+            del owners, keys
+            size, a, b = (np.concatenate(x) for x in zip(*marks))
+            heat = is_hot(hot, key)
+            home = pickle.dumps((ids, size, a, b, owner[heat], np.searchsorted(hot, key[heat]).astype("uint32")))
+            # Texts with one set count once, so only the first of them in the haul asks.
+            _, first = np.unique(np.stack([a, b]), axis=1, return_index=True)
+            asks = np.zeros(at, bool)
+            asks[first] = True
+            ask = ~heat & asks[owner]
+            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int64()), pa.array([block], pa.int64()), pa.array([home], pa.binary())], names=["cell", "block", "blob"])
+            rows = [(c, block, blob) for c, blob in cell_blobs(key[ask], cells, owner[ask])]
+            block += 1
+            if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary()))], names=["cell", "block", "blob"])
+            del rows, owner, key, heat, ask
             trim()
 
     return docs.mapInArrow(run, "cell long, block long, blob binary")

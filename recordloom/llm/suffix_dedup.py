@@ -12,16 +12,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recordloom.llm.census import CELL, cell_blobs, census_cell, hot_keys, id_filter, is_hot, may_hold, mix64, open_answer, spot_of, text_blocks
-from recordloom.llm.common import dropped, packed, share, text_bytes, trim, unpacked, written
+from recordloom.llm.census import CELL, cell_blobs, census_cell, hauls, hot_keys, id_filter, is_hot, may_hold, mix64, remainders, spot_of
+from recordloom.llm.common import packed, share, text_bytes, trim, unpacked, written
 
 #: Bytes of a match, bytes of an anchor inside it, and anchors among which a match chooses.
 MATCH, ANCHOR = 50, 24
 CHOICE = MATCH - ANCHOR + 1
 #: An anchor with all bytes of the matches that may hold it.
 AROUND = 2 * (CHOICE - 1) + ANCHOR
-#: Anchors an index cell should get, and suffixes a batch of its index.
-INDEX_CELL, SUFFIX_BATCH = 60_000, 1 << 17
+#: Anchors an index cell should get, anchors that share one family, and suffixes of a batch of its index.
+INDEX_CELL, FAMILY, SUFFIX_BATCH = 250_000, 12_000, 1 << 16
+#: Bytes of text whose anchors are dealt together, bytes looked at at once, and anchors held before they are dealt.
+HAUL, PIECE, HELD = 32 << 20, 2 << 20, 250_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BYTE = mix64(np.arange(1, 257, dtype="uint64"))
 
@@ -105,32 +107,76 @@ def anchors(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, ...]:
     return place[kept], owner[kept], key[place[kept]], low[kept], high[kept]
 
 
+def pieces(texts: list[bytes], size: int | None = None) -> Iterator[tuple[list[int], list[int], list[bytes]]]:
+    """(owners, bases, parts) of about ``size`` bytes: whole texts, or parts of long ones, at their places.
+
+    Parts of one text overlap by one byte less than a match, so each match lies in one.
+    """
+    size = size or PIECE
+    out: tuple[list[int], list[int], list[bytes]] = ([], [], [])
+    have = 0
+    for k, text in enumerate(texts):
+        for base in range(0, max(1, len(text) - MATCH + 1), size):
+            part = text[base : base + size + MATCH - 1]
+            if have and have + len(part) > size:
+                yield out
+                out, have = ([], [], []), 0
+            for column, x in zip(out, (k, base, part)):
+                column.append(x)
+            have += len(part)
+    if out[0]:
+        yield out
+
+
 def anchor_keys(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(owner, key) of each text's distinct anchors."""
-    raw, starts = joined(texts.to_pylist())
-    _, owner, key, _, _ = anchors(raw, starts)
+    owners, keys = [np.zeros(0, "int64")], [np.zeros(0, "uint64")]
+    for who, _, parts in pieces(texts.to_pylist()):
+        raw, starts = joined(parts)
+        _, owner, key, _, _ = anchors(raw, starts)
+        owners.append(np.array(who, "int64")[owner])
+        keys.append(key)
+    owner, key = np.concatenate(owners), np.concatenate(keys)
     order = np.lexsort((key, owner))
     owner, key = owner[order], key[order]
     keep = np.r_[True, (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])] if len(key) else np.zeros(0, bool)
     return owner[keep], key[keep]
 
 
+def strings(text: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The first ``MATCH`` bytes of some suffixes of a text."""
+    if not len(at):
+        return np.zeros(0, f"S{MATCH}")
+    return np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(text, MATCH)[at]).view(f"S{MATCH}").ravel()
+
+
 class SuffixFamily:
     """Suffix arrays of batches of documents in id order, in levels of geometric size.
 
-    Suffixes count by their first ``MATCH`` bytes. A new batch is sorted into a
-    suffix array and scanned against each level for suffixes it shares with
-    earlier documents; then it becomes a level itself, and levels of like
-    size merge, so there are never more than logarithmically many.
+    A level is the array of its suffixes in order, each by its first ``MATCH``
+    bytes and once. A new batch is sorted into a
+    suffix array and merge-scanned against each level: both runs are in order,
+    so a stable merge brings equal suffixes side by side. Then the batch becomes
+    a level itself; before the next one, levels of like size merge, so there
+    are never more than logarithmically many.
     """
 
     def __init__(self) -> None:
         self.levels: list[np.ndarray] = []
 
-    def add(self, suffixes: np.ndarray, docs: np.ndarray) -> np.ndarray:
-        """Whether each suffix also starts in a document with a smaller id; batches come in id order."""
-        order = np.argsort(suffixes, kind="stable")
-        array, owner = suffixes[order], docs[order]
+    def merge(self) -> None:
+        while len(self.levels) > 1 and len(self.levels[-2]) < 2 * len(self.levels[-1]):
+            later, earlier = self.levels.pop(), self.levels.pop()
+            both = np.concatenate([earlier, later])
+            both.sort(kind="stable")
+            self.levels.append(both)
+
+    def add(self, text: np.ndarray, at: np.ndarray, docs: np.ndarray) -> np.ndarray:
+        """Whether the suffix of ``text`` at each place also starts in a document with a smaller id; batches come in id order."""
+        self.merge()
+        found = strings(text, at)
+        order = np.argsort(found, kind="stable")
+        array, owner = found[order], docs[order]
         first = np.r_[True, array[1:] != array[:-1]]
         run = np.cumsum(first) - 1
         unique = array[first]
@@ -138,21 +184,21 @@ class SuffixFamily:
         hit = owner > least[run]
         earlier = np.zeros(len(unique), bool)
         for level in self.levels:
-            at = np.minimum(np.searchsorted(level, unique), len(level) - 1)
-            earlier |= level[at] == unique
+            both = np.concatenate([level, unique])
+            merged = np.argsort(both, kind="stable")
+            twin = np.flatnonzero(both[merged[1:]] == both[merged[:-1]]) + 1
+            earlier[merged[twin] - len(level)] = True
         hit |= earlier[run]
-        self.levels.append(unique[~earlier] if earlier.any() else unique)
-        while len(self.levels) > 1 and len(self.levels[-2]) < 2 * len(self.levels[-1]):
-            b, a = self.levels.pop(), self.levels.pop()
-            self.levels.append(np.sort(np.concatenate([a, b]), kind="stable"))
-        self.levels = [x for x in self.levels if len(x)]
+        if not earlier.all():
+            self.levels.append(unique[~earlier])
         out = np.empty(len(hit), bool)
         out[order] = hit
         return out
 
 
-#: An anchor occurrence: the document, its mark, the place, the matches that chose it, and their bytes (zeros around them).
-ENTRY = np.dtype([("doc", "<i8"), ("mark", "<u4"), ("pos", "<u4"), ("low", "u1"), ("high", "u1"), ("data", f"S{AROUND}")])
+#: A run of anchors with equal bytes around them: the document, its mark, the first and last place (one byte to ``MATCH``
+#: from each to the next), the matches that chose it, and their bytes (zeros around them).
+ENTRY = np.dtype([("doc", "<i8"), ("mark", "<u4"), ("pos", "<u4"), ("last", "<u4"), ("low", "u1"), ("high", "u1"), ("data", f"S{AROUND}")])
 SPAN = np.dtype([("doc", "<i8"), ("mark", "<u4"), ("start", "<u4"), ("end", "<u4")])
 COLUMN = np.arange(AROUND)
 
@@ -174,10 +220,10 @@ def _speakers(ids: list[int | None], texts: list[bytes]) -> list[int]:
     return sorted(speaker.values())
 
 
-def _per_block(docs: DataFrame, emit, schema: str) -> DataFrame:
-    """Rows that ``emit`` makes of each block of documents (its number, ids, texts).
+def _per_haul(docs: DataFrame, emit, schema: str) -> DataFrame:
+    """Rows that ``emit`` makes of each haul of documents (its number, and ids and texts of its blocks).
 
-    Blocks follow the files, so each scan of the same input sees the same ones.
+    Hauls follow the files, so each scan of the same input sees the same ones.
     """
     names = [f.split()[0] for f in schema.split(", ")]
     types = {"long": pa.int64(), "binary": pa.binary()}
@@ -187,45 +233,46 @@ def _per_block(docs: DataFrame, emit, schema: str) -> DataFrame:
         from pyspark import TaskContext
 
         block = TaskContext.get().partitionId() << 32
-        for batch in batches:
-            for part in text_blocks(batch, 1):
-                rows = list(emit(block, part.column(0).to_pylist(), part.column(1).to_pylist()))
-                block += 1
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
+        for parts in hauls(batches, 1, HAUL):
+            rows = list(emit(block, ((p.column(0).to_pylist(), p.column(1).to_pylist()) for p in parts)))
+            block += 1
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
             trim()
 
     return docs.mapInArrow(run, schema)
 
 
 def _cell_rows(docs: DataFrame, cells: int, hot: np.ndarray) -> DataFrame:
-    """(cell, block, blob): the anchor keys of each block's speakers, for the census."""
+    """(cell, block, blob): the anchor keys of each haul's speakers, for the census; a key that several hold goes there twice."""
     shared = share(docs.sparkSession, hot)
 
-    def emit(block: int, ids: list[int | None], texts: list[bytes]) -> Iterator[tuple[int, int, bytes]]:
-        some = _speakers(ids, texts)
-        mine = [texts[i] for i in some]
-        # A key counts as shared when documents with different ids hold it, be their texts equal or not.
-        mark = mix64(np.array([ids[i] for i in some], dtype="int64").astype("uint64"))
-        owner, key = anchor_keys(pa.array(mine, pa.large_binary()))
-        cold = ~is_hot(pickle.loads(shared.value), key)
-        for c, blob in cell_blobs(owner[cold], key[cold], mark, cells):
+    def emit(block: int, parts) -> Iterator[tuple[int, int, bytes]]:
+        hot = pickle.loads(shared.value)
+        held = [np.zeros(0, "uint64")]
+        for ids, texts in parts:
+            _, key = anchor_keys(pa.array([texts[i] for i in _speakers(ids, texts)], pa.large_binary()))
+            held.append(np.sort(key[~is_hot(hot, key)]))
+        key = np.sort(np.concatenate(held), kind="stable")
+        third = np.r_[np.zeros(2, bool), key[2:] == key[:-2]][: len(key)]
+        for c, blob in cell_blobs(key[~third], cells):
             yield c, block, blob
 
-    return _per_block(docs, emit, "cell long, block long, blob binary")
+    return _per_haul(docs, emit, "cell long, block long, blob binary")
 
 
 def _home_rows(docs: DataFrame) -> DataFrame:
-    """(block, blob): ids and texts of each block's speakers, and its copies of them."""
+    """(block, part, blob): ids and texts of each haul's speakers, block by block, and their copies there."""
 
-    def emit(block: int, ids: list[int | None], texts: list[bytes]) -> Iterator[tuple[int, int, bytes]]:
-        some = _speakers(ids, texts)
-        first = {texts[i]: ids[i] for i in some}
-        copies = [(i, zlib.crc32(t), len(t)) for i, t in zip(ids, texts) if i is not None and len(t) >= MATCH and i > first[t]]
-        data, starts = joined([texts[i] for i in some])
-        yield block, packed(data, starts.astype("<i8"), np.array([ids[i] for i in some], "<i8"), np.array(copies, "<i8").reshape(-1))
+    def emit(block: int, parts) -> Iterator[tuple[int, int, bytes]]:
+        for part, (ids, texts) in enumerate(parts):
+            some = _speakers(ids, texts)
+            first = {texts[i]: ids[i] for i in some}
+            copies = [(i, zlib.crc32(t), len(t)) for i, t in zip(ids, texts) if i is not None and len(t) >= MATCH and i > first[t]]
+            data, starts = joined([texts[i] for i in some])
+            yield block, part, packed(data, starts.astype("<i8"), np.array([ids[i] for i in some], "<i8"), np.array(copies, "<i8").reshape(-1))
 
-    return _per_block(docs, emit, "block long, blob binary")
+    return _per_haul(docs, emit, "block long, part long, blob binary")
 
 
 def _blob(rows: np.ndarray) -> bytes:
@@ -258,6 +305,16 @@ def _anchor_of(rows: np.ndarray) -> np.ndarray:
     return mix64(words[:, 0] + mix64(words[:, 1] + mix64(words[:, 2])))
 
 
+def _data_hash(rows: np.ndarray) -> np.ndarray:
+    """A number for each entry's bytes and the matches in them."""
+    data = np.zeros((len(rows), 8 * -(-AROUND // 8)), "uint8")
+    data[:, :AROUND] = _bytes(rows)
+    out = rows["low"].astype("uint64") * np.uint64(256) + rows["high"]
+    for k, word in enumerate(data.view("<u8").T):
+        out += (word ^ word >> np.uint64(29)) * _power(2 * k + 3)
+    return mix64(out)
+
+
 def _by(place: np.ndarray, rows: np.ndarray) -> Iterator[tuple[int, bytes]]:
     """The rows of each place as one blob."""
     order = np.argsort(place, kind="stable")
@@ -277,15 +334,108 @@ def _bucket(doc: np.ndarray, buckets: int) -> np.ndarray:
     return (mix64(doc.astype("uint64")) % np.uint64(buckets)).astype("int64")
 
 
+def _entries(seen: np.ndarray, at: np.ndarray, **columns: np.ndarray) -> np.ndarray:
+    """Entries of the anchors at some places of a padded text; neighbours that only repeat one are taken into it."""
+    parts = [np.zeros(0, ENTRY)]
+    for k in range(0, len(at), 50_000):
+        rows = np.zeros(len(at[k : k + 50_000]), ENTRY)
+        for name, values in columns.items():
+            rows[name] = values[k : k + 50_000]
+        rows["last"] = rows["pos"]
+        rows["data"] = (seen[at[k : k + 50_000] + AROUND - (CHOICE - 1)] * _held(rows)).view(f"S{AROUND}").ravel()
+        parts.append(_chained(rows))
+    return np.concatenate(parts)
+
+
+def _same(rows: np.ndarray, *names: str) -> np.ndarray:
+    """Whether an entry has the values of the one before it."""
+    same = np.ones(max(0, len(rows) - 1), bool)
+    for name in names:
+        same &= rows[name][1:] == rows[name][:-1]
+    return np.r_[False, same] if len(rows) else same
+
+
+def _chained(rows: np.ndarray) -> np.ndarray:
+    """Entries that only repeat the one before them, at most a match later in the same text, taken into it."""
+    if len(rows) < 2:
+        return rows
+    again = _same(rows, "low", "high", "doc", "mark", "data")
+    gap = np.r_[0, rows["pos"][1:].astype("int64") - rows["last"][:-1]]
+    head = np.flatnonzero(~(again & (gap >= 0) & (gap <= MATCH)))
+    out = rows[head]
+    out["last"] = rows["last"][np.r_[head[1:], len(rows)] - 1]
+    return out
+
+
+def _grouped(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Entries by anchor and bytes around it, in document order; the number of each one's anchor; who speaks for it.
+
+    The first entry with given bytes speaks for its document, the first one of
+    a later document for all later ones: what they match is the same.
+    """
+    # Equal bytes have equal hashes; should others have the same one, there are only more speakers.
+    rows = _chained(rows[np.lexsort((rows["pos"], rows["mark"], rows["doc"], _data_hash(rows), _anchor_of(rows)))])
+    own = _anchor_of(rows)
+    same = _same(rows, "low", "high", "data")
+    first = np.maximum.accumulate(np.where(same, 0, np.arange(len(rows))))
+    later = rows["doc"] > rows["doc"][first]
+    turn = later & ~np.r_[False, later[:-1] & same[1:]] if len(rows) else later
+    second = np.maximum.accumulate(np.where(turn, np.arange(len(rows)), 0))
+    group = np.cumsum(np.r_[True, own[1:] != own[:-1]]) - 1 if len(rows) else own.astype("int64")
+    return rows, group, np.where(later, second, first)
+
+
+def _matches(rows: np.ndarray, group: np.ndarray, speaker: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """For each asked speaker which of its matches (by their start) also start in an earlier document, from a suffix family.
+
+    Equal strings choose equal anchors, so a family of its own holds each range of anchors.
+    """
+    out = np.zeros((len(rows), CHOICE), bool)
+    spots = np.flatnonzero(asked & (speaker == np.arange(len(rows))))
+    while len(spots):
+        # A range ends with an anchor.
+        end = min(len(spots), FAMILY)
+        end += int(np.searchsorted(group[spots[end:]], group[spots[end - 1]], side="right")) if end < len(spots) else 0
+        some, spots = spots[:end], spots[end:]
+        some = some[np.argsort(rows["doc"][some], kind="stable")]
+        docs = rows["doc"][some]
+        family = SuffixFamily()
+        at = 0
+        while at < len(some):
+            stop = min(len(some), at + max(1, SUFFIX_BATCH // CHOICE))
+            # A batch ends with a document.
+            stop += int(np.searchsorted(docs[stop:], docs[stop - 1], side="right"))
+            part = rows[some[at:stop]]
+            many = part["high"].astype("int64") - part["low"] + 1
+            row = np.repeat(np.arange(len(part)), many)
+            shift = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many) + part["low"][row]
+            hit = family.add(_bytes(part).ravel(), row * AROUND + shift, part["doc"][row])
+            out[some[at:stop][row[hit]], shift[hit]] = True
+            at = stop
+    return out
+
+
+def _covered(rows: np.ndarray, hits: np.ndarray) -> np.ndarray:
+    """Merged spans of the entries' matches that are marked."""
+    parts = [np.zeros(0, SPAN)]
+    for k in range(0, len(rows), 100_000):
+        some, hit = rows[k : k + 100_000], hits[k : k + 100_000]
+        wide = np.pad(hit, ((0, 0), (1, 1)))
+        row, start = np.nonzero(hit & ~wide[:, :-2])
+        _, end = np.nonzero(hit & ~wide[:, 2:])
+        begin = -(CHOICE - 1)
+        parts.append(_merged(_spans(some["doc"][row], some["mark"][row], some["pos"][row].astype("int64") + begin + start, some["last"][row].astype("int64") + begin + end + MATCH)))
+    return np.concatenate(parts)
+
+
 def _ask(cells: int, index_cells: int, buckets: int, hot_shared):
-    """A block with its answers: what may repeat goes to the index cells; what the block settles itself goes out as spans."""
+    """A haul with its answers: what may repeat goes to the index cells; what the haul's own family settles goes out as spans."""
 
     def run(pdf: pd.DataFrame, home: pd.DataFrame) -> pd.DataFrame:
         hot = pickle.loads(hot_shared.value)
-        data, edges, ids, copies = unpacked(home["blob"].iloc[0])
-        edges, doc_of = np.frombuffer(edges, "<i8"), np.frombuffer(ids, "<i8")
-        texts = [data[a:b] for a, b in zip(edges[:-1].tolist(), edges[1:].tolist())]
+        asked = np.sort(np.concatenate([np.zeros(0, "uint64"), *(np.uint64(c) << np.uint64(32) | remainders(b).astype("uint64") for c, b in zip(pdf["cell"], pdf["blob"]))]))
         kinds, places, blobs = [], [], []
+        held: dict[bool, list[np.ndarray]] = {False: [], True: []}
 
         def give(kind: int, place: np.ndarray, rows: np.ndarray) -> None:
             for p, blob in _by(place, rows):
@@ -293,79 +443,78 @@ def _ask(cells: int, index_cells: int, buckets: int, hot_shared):
                 places.append(p)
                 blobs.append(blob)
 
-        if copies:
-            doc, mark, size = np.frombuffer(copies, "<i8").reshape(-1, 3).T
-            give(1, _bucket(doc, buckets), _spans(doc, mark, np.zeros(len(doc)), size))
-        raw, starts = joined(texts)
-        place, owner, key, low, high = anchors(raw, starts)
-        crc = np.array([zlib.crc32(t) for t in texts], dtype="uint32")
-        heat = is_hot(hot, key)
-        asked = [np.zeros(0, "uint64")]
-        for cell, blob in zip(pdf["cell"], pdf["blob"]):
-            rest, who, _ = open_answer(blob)
-            asked.append(mix64(mix64(np.uint64(cell) << np.uint64(32) | rest.astype("uint64")) + who.astype("uint64")))
-        asked_for = np.unique(np.concatenate(asked))
-        mine = mix64(mix64(((key >> np.uint64(32)) % np.uint64(cells)) << np.uint64(32) | (key & np.uint64(0xFFFFFFFF))) + owner.astype("uint64"))
-        take = ~heat & is_hot(asked_for, mine)
-        padded = np.concatenate([np.zeros(AROUND, "uint8"), raw, np.zeros(AROUND, "uint8")])
-        seen = np.lib.stride_tricks.sliding_window_view(padded, AROUND)
-
-        # Shared anchors: the bytes around one settle the matches that chose it.
-        at, who = place[take], owner[take]
-        rows = np.zeros(len(at), ENTRY)
-        rows["doc"], rows["mark"], rows["pos"], rows["low"], rows["high"] = doc_of[who], crc[who], at - starts[who], low[take], high[take]
-        if len(at):
-            around = seen[at + AROUND - (CHOICE - 1)] * _held(rows)
-            rows["data"] = around.view(f"S{AROUND}").ravel()
-            own = key[take]
-            order = np.lexsort((rows["doc"], rows["data"], rows["high"], rows["low"], own))
-            rows, own = rows[order], own[order]
-            first = np.maximum.accumulate(np.where(_same(rows, own), 0, np.arange(len(rows))))
-            done = rows["doc"] > rows["doc"][first]
-            over = _merged(_whole(rows[done]))
-            give(1, _bucket(over["doc"], buckets), over)
-            rows, own = rows[~done], own[~done]
-            order = np.lexsort((rows["pos"], rows["doc"]))
-            give(0, ((own[order] >> np.uint64(20)) % np.uint64(index_cells)).astype("int64"), rows[order])
-
-        # Hot anchors: too many texts hold them for one cell, so each match goes where its own bytes send it.
-        if heat.any():
-            need = np.zeros(len(raw) + 1, "int32")
-            begin = place[heat] - (CHOICE - 1)
-            np.add.at(need, begin + low[heat], 1)
-            np.add.at(need, begin + high[heat] + 1, -1)
-            at = np.flatnonzero(np.cumsum(need[:-1]) > 0)
-            who = np.searchsorted(starts, at, side="right") - 1
-            fits = at + MATCH <= starts[who + 1]
-            at, who = at[fits], who[fits]
-            whole = mix64(piece_hashes(raw, MATCH)[at] + np.uint64(99))
-            order = np.lexsort((doc_of[who], whole))
-            at, who, whole = at[order], who[order], whole[order]
-            first = np.maximum.accumulate(np.where(np.r_[False, whole[1:] == whole[:-1]], 0, np.arange(len(at))))
-            done = doc_of[who] > doc_of[who[first]]
-            over = _merged(_spans(doc_of[who[done]], crc[who[done]], (at - starts[who])[done], (at - starts[who])[done] + MATCH))
+        def deal(whole: bool) -> None:
+            """Entries held so far: those that repeat an earlier document of the haul are settled, the others go to their cells."""
+            rows = np.concatenate([np.zeros(0, ENTRY), *held[whole]])
+            held[whole].clear()
+            if not len(rows):
+                return
+            rows, group, speaker = _grouped(rows)
+            first = np.maximum.accumulate(np.where(_same(rows, "low", "high", "data"), 0, np.arange(len(rows))))
+            later = speaker != first
+            asked = np.zeros(len(rows), bool)
+            asked[first[later]] = asked[speaker[later]] = True
+            hits = _matches(rows, group, speaker, asked)
+            over = _covered(rows[later], hits[speaker[later]])
             give(1, _bucket(over["doc"], buckets), over)
-            at, who, whole = at[~done], who[~done], whole[~done]
-            rows = np.zeros(len(at), ENTRY)
-            rows["doc"], rows["mark"], rows["pos"] = doc_of[who], crc[who], at - starts[who] + CHOICE - 1
-            for k in range(0, len(at), 100_000):
-                part = np.zeros((len(at[k : k + 100_000]), AROUND), "uint8")
-                part[:, :MATCH] = seen[at[k : k + 100_000] + AROUND][:, :MATCH]
-                rows["data"][k : k + 100_000] = part.view(f"S{AROUND}").ravel()
-            order = np.lexsort((rows["pos"], rows["doc"]))
-            give(0, ((whole[order] >> np.uint64(20)) % np.uint64(index_cells)).astype("int64"), rows[order])
+            rows = rows[~later]
+            rows = rows[np.lexsort((rows["pos"], rows["doc"]))]
+            # A common anchor would fill a cell: its strings go where their own bytes send them.
+            key = _string_of(rows) if whole else _anchor_of(rows)
+            give(0, ((key >> np.uint64(20)) % np.uint64(index_cells)).astype("int64"), rows)
+
+        def hold(whole: bool, rows: np.ndarray) -> None:
+            held[whole].append(rows)
+            if sum(map(len, held[whole])) > HELD:
+                deal(whole)
+
+        for blob in home.sort_values("part")["blob"]:
+            data, edges, ids, copies = unpacked(blob)
+            edges, doc_of = np.frombuffer(edges, "<i8").tolist(), np.frombuffer(ids, "<i8")
+            texts = [data[a:b] for a, b in zip(edges, edges[1:])]
+            crc = np.array([zlib.crc32(t) for t in texts], dtype="uint32")
+            if copies:
+                doc, mark, size = np.frombuffer(copies, "<i8").reshape(-1, 3).T
+                give(1, _bucket(doc, buckets), _spans(doc, mark, np.zeros(len(doc)), size))
+            for who, base, parts in pieces(texts):
+                who, base = np.array(who, "int64"), np.array(base, "int64")
+                raw, starts = joined(parts)
+                place, owner, key, low, high = anchors(raw, starts)
+                heat = is_hot(hot, key)
+                take = ~heat & is_hot(asked, ((key >> np.uint64(32)) % np.uint64(cells)) << np.uint64(32) | (key & np.uint64(0xFFFFFFFF)))
+                padded = np.concatenate([np.zeros(AROUND, "uint8"), raw, np.zeros(AROUND, "uint8")])
+                seen = np.lib.stride_tricks.sliding_window_view(padded, AROUND)
+                at, own = place[take], owner[take]
+                hold(False, _entries(seen, at, doc=doc_of[who[own]], mark=crc[who[own]], pos=at - starts[own] + base[own], low=low[take], high=high[take]))
+                if heat.any():
+                    need = np.zeros(len(raw) + 1, "int32")
+                    begin = place[heat] - (CHOICE - 1)
+                    np.add.at(need, begin + low[heat], 1)
+                    np.add.at(need, begin + high[heat] + 1, -1)
+                    at = np.flatnonzero(np.cumsum(need[:-1]) > 0)
+                    own = np.searchsorted(starts, at, side="right") - 1
+                    fits = at + MATCH <= starts[own + 1]
+                    # A string stands as an entry whose only match starts with its bytes.
+                    for k in range(0, len(at), 200_000):
+                        a, o = at[k : k + 200_000][fits[k : k + 200_000]], own[k : k + 200_000][fits[k : k + 200_000]]
+                        none = np.zeros(len(a), "u1")
+                        hold(True, _entries(seen, a + CHOICE - 1, doc=doc_of[who[o]], mark=crc[who[o]], pos=a + CHOICE - 1 - starts[o] + base[o], low=none, high=none))
+        deal(False)
+        deal(True)
         trim()
         return pd.DataFrame({"kind": np.array(kinds, dtype="int32"), "place": np.array(places, dtype="int64"), "blob": blobs})
 
     return run
 
 
-def _same(rows: np.ndarray, own: np.ndarray) -> np.ndarray:
-    """Whether an entry has the anchor, matches and bytes of the one before it."""
-    same = own[1:] == own[:-1]
-    for name in ("low", "high", "data"):
-        same &= rows[name][1:] == rows[name][:-1]
-    return np.r_[False, same] if len(rows) else same
+def _string_of(rows: np.ndarray) -> np.ndarray:
+    """A number for the first ``MATCH`` bytes of each entry's data."""
+    data = np.zeros((len(rows), 8 * -(-MATCH // 8)), "uint8")
+    data[:, :MATCH] = _bytes(rows)[:, :MATCH]
+    out = np.zeros(len(rows), "uint64")
+    for word in data.view("<u8").T:
+        out = mix64(out + word)
+    return out
 
 
 def _merged(spans: np.ndarray) -> np.ndarray:
@@ -386,54 +535,24 @@ def _merged(spans: np.ndarray) -> np.ndarray:
 
 
 def _index_cell(buckets: int):
-    """All shared anchors of an index cell, scanned batch by batch in id order."""
+    """All shared anchors of an index cell: suffix families, range by range of anchors, decide what repeats."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         if pdf["kind"].iloc[0] == 1:  # settled already
             return pdf[["place", "blob"]]
-        rows = _rows(pdf["blob"], ENTRY)
-        own = _anchor_of(rows)
-        order = np.lexsort((rows["pos"], rows["doc"], rows["data"], rows["high"], rows["low"], own))
-        rows, own = rows[order], own[order]
-        same = _same(rows, own)
-        first = np.maximum.accumulate(np.where(same, 0, np.arange(len(rows))))
-        done = rows["doc"] > rows["doc"][first]
-        group = np.cumsum(np.r_[True, own[1:] != own[:-1]]) - 1
-        kinds = np.bincount(group, ~same)
-        over = [_whole(rows[done])]
-        # The earliest text of each kind of surroundings, where an anchor has several kinds.
-        rest = rows[~done & (kinds[group] > 1)]
-        rest = rest[np.argsort(rest["doc"], kind="stable")]
-        family = SuffixFamily()
-        at = 0
-        while at < len(rest):
-            end = min(len(rest), at + max(1, SUFFIX_BATCH // CHOICE))
-            # A batch ends with a document.
-            end += int(np.searchsorted(rest["doc"][end:], rest["doc"][end - 1], side="right"))
-            part = rest[at:end]
-            data = _bytes(part)
-            many = part["high"].astype("int64") - part["low"] + 1
-            row = np.repeat(np.arange(len(part)), many)
-            shift = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many) + part["low"][row]
-            suffixes = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, MATCH, axis=1)[row, shift]).view(f"S{MATCH}").ravel()
-            hit = family.add(suffixes, part["doc"][row])
-            begin = part["pos"][row[hit]].astype("int64") - (CHOICE - 1) + shift[hit]
-            over.append(_spans(part["doc"][row[hit]], part["mark"][row[hit]], begin, begin + MATCH))
-            at = end
-        found = _merged(np.concatenate(over))
+        rows, group, speaker = _grouped(_rows(pdf["blob"], ENTRY))
+        # An anchor with one speaker has nothing to match.
+        speaks = np.bincount(group, speaker == np.arange(len(rows)))
+        hits = _matches(rows, group, speaker, speaks[group] > 1)
+        found = _merged(_covered(rows, hits[speaker]))
         out = [*_by(_bucket(found["doc"], buckets), found)]
-        del rows, own, rest, over, family
+        del rows, group, speaker, hits
         trim()
         return pd.DataFrame({"place": np.array([p for p, _ in out], dtype="int64"), "blob": [b for _, b in out]})
 
     return run
 
 
-def _whole(rows: np.ndarray) -> np.ndarray:
-    begin = rows["pos"].astype("int64") - (CHOICE - 1)
-    return _spans(rows["doc"], rows["mark"], begin + rows["low"], begin + rows["high"] + MATCH)
-
-
 def _per_document(pdf: pd.DataFrame) -> pd.DataFrame:
     spans = _merged(_rows(pdf["blob"], SPAN))
     cuts = np.flatnonzero(np.r_[True, (spans["doc"][1:] != spans["doc"][:-1]) | (spans["mark"][1:] != spans["mark"][:-1])])
@@ -453,14 +572,10 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     buckets = max(4, int(total / (16 << 20)) + 1)
     hot = hot_keys(rows, anchor_keys)
     answered = _cell_rows(rows, cells, hot).groupBy("cell").applyInPandas(census_cell, "block long, cell long, blob binary")
-    # Both scans run in stages of their own, where a block has the same number.
+    # Both scans run in stages of their own, where a haul has the same number.
     asked = answered.groupBy("block").cogroup(_home_rows(rows).groupBy("block")).applyInPandas(_ask(cells, index_cells, buckets, share(spark, hot)), "kind int, place long, blob binary")
     found = asked.groupBy("kind", "place").applyInPandas(_index_cell(buckets), "place long, blob binary")
-    out = written(found.groupBy("place").applyInPandas(_per_document, "id long, mark long, spans binary"), "suffix-spans")
-    # Texts move once more below; what has been shuffled so far is done with.
-    del answered, asked, found
-    dropped(spark)
-    return out
+    return written(found.groupBy("place").applyInPandas(_per_document, "id long, mark long, spans binary"), "suffix-spans")
 
 
 def cut_spans(text: bytes, spans: bytes | None) -> tuple[bytes, int, int]:
@@ -488,30 +603,33 @@ def remove_repeats(docs: DataFrame, columns: list[str] | None = None, as_text: b
     The suffix space is dealt to cells by anchors: each 50-byte string chooses,
     from its own bytes alone, pieces of 24 bytes. A census leaves anchors that
     two or more texts hold; these, with the bytes around them, meet in index
-    cells, where batches in id order get suffix arrays and are scanned against
-    a logarithmic family of earlier ones. Anchors that a sample shows to be
-    very common send each whole string to a cell of its own instead. Copies
-    inside a block are settled there, so a cell gets one row a block of what
-    many texts repeat. Texts are shuffled once to meet the answers, and only
-    those with something to remove a second time.
+    cells, where batches in id order get suffix arrays and are merge-scanned
+    against a logarithmic family of earlier ones. Anchors that a sample shows to
+    be very common send each whole string to a cell of its own instead. A haul
+    of documents first asks a family of its own, so a cell gets one entry a haul
+    of what many texts repeat, and a text that repeats itself at short distance
+    sends one entry for the run. Hashes only choose who meets; a match is always
+    found by a suffix family on the bytes, or is that of an equal whole text in
+    the same block. Long texts are read in overlapping parts. Texts are shuffled
+    once to meet the answers, and only those with something to remove a second time.
 
     Null text: no bytes. Null id: nothing is removed from the document and it
     removes nothing. Rows that repeat an id do not repeat each other; equal ones
-    among them lose the same bytes. An empty table gives no rows. Texts below 4 GB.
+    among them lose the same bytes (different ones are told apart by crc32).
+    ``columns`` may have any names. An empty table gives no rows. Texts below 4 GB.
     """
     spark = docs.sparkSession
     more = columns or []
     spans = repeated_spans(docs)
     bits = share(spark, id_filter(spans, "id"))
-    rows = docs.select("doc_id", text_bytes(F.col("text")).alias("data"), F.when(F.col("doc_id").isNotNull(), spot_of("doc_id")).otherwise(-1).alias("spot"), *more)
-    kinds = dict(docs.dtypes)
-    extra = [f"`{c}` {kinds[c]}" for c in more]
+    rows = docs.select("doc_id", text_bytes(F.col("text")).alias("data"), F.when(F.col("doc_id").isNotNull(), spot_of("doc_id")).otherwise(-1).alias("spot"), F.struct(F.lit(None).cast("boolean").alias("_"), *(F.col(f"`{c}`") for c in more)).alias("more"))
+    extra = f"more {dict(rows.dtypes)['more']}"
 
     def finished(batch: pa.RecordBatch, cuts: list[bytes | None]) -> pa.RecordBatch:
         left = [cut_spans(t.as_py(), cut) for t, cut in zip(batch.column(1), cuts)]
         arrays = [batch.column(0), pa.array([len(x) + n for x, n, _ in left], pa.int64()), pa.array([n for _, n, _ in left], pa.int64()), pa.array([k for _, _, k in left], pa.int64())]
         kept = pa.array([x.decode("utf-8", "ignore") for x, _, _ in left], pa.string()) if as_text else pa.array([x for x, _, _ in left], pa.binary())
-        return pa.RecordBatch.from_arrays([*arrays, kept, *[batch.column(3 + k) for k in range(len(more))]], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", *more])
+        return pa.RecordBatch.from_arrays([*arrays, kept, batch.column(3)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "more"])
 
     def listed(batch: pa.RecordBatch) -> np.ndarray:
         spot = batch.column(2).to_numpy()
@@ -534,7 +652,8 @@ def remove_repeats(docs: DataFrame, columns: list[str] | None = None, as_text: b
             yield finished(batch, batch.column(2).to_pylist())
             trim()
 
-    out = ", ".join(["doc_id long, n_bytes long, n_removed long, n_spans long", f"kept {'string' if as_text else 'binary'}", *extra])
-    some = rows.mapInArrow(rest, ", ".join(["doc_id long, data binary, spot long", *extra])).withColumn("_mark", F.crc32("data"))
-    some = some.join(spans, (F.col("doc_id") == F.col("id")) & (F.col("_mark") == F.col("mark")), "left").select("doc_id", "data", "spans", *more)
-    return rows.mapInArrow(plain, out).union(some.mapInArrow(cut, out))
+    out = f"doc_id long, n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}, {extra}"
+    some = rows.mapInArrow(rest, f"doc_id long, data binary, spot long, {extra}").withColumn("_mark", F.crc32("data"))
+    some = some.join(spans, (F.col("doc_id") == F.col("id")) & (F.col("_mark") == F.col("mark")), "left").select("doc_id", "data", "spans", "more")
+    found = rows.mapInArrow(plain, out).union(some.mapInArrow(cut, out))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept", *(F.col("more")[c].alias(c) for c in more))
