@@ -42,6 +42,15 @@ def terms(text: bytes) -> np.ndarray:
     return out
 
 
+def nearest(cosine: np.ndarray, k: int) -> np.ndarray:
+    """Columns of the ``k`` largest values of each row; of equal ones at the border the first columns."""
+    near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
+    border = np.take_along_axis(cosine, near, axis=1).min(axis=1, keepdims=True)
+    for i in np.flatnonzero((cosine >= border).sum(axis=1) > k):
+        near[i] = np.argsort(-cosine[i], kind="stable")[:k]
+    return near
+
+
 class NeighbourVote:
     """Labelled vectors in a latent space, and the vote of the nearest ones.
 
@@ -73,7 +82,7 @@ class NeighbourVote:
         for at in range(0, len(matrix) if k else 0, block):
             z = self.project(matrix[at : at + block])
             cosine = z @ self.known.T
-            near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
+            near = nearest(cosine, k)
             best = np.take_along_axis(cosine, near, axis=1).astype("float64")
             vote = np.exp(self.sharpness * (best - best.max(axis=1, keepdims=True)))
             share = (vote * self.labels[near]).sum(axis=1) / vote.sum(axis=1)
@@ -82,27 +91,27 @@ class NeighbourVote:
         return out
 
 
-def _term_rows(rows: DataFrame, keep: str) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [terms(t.as_py()).tobytes() for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=[keep, "terms"])
-
-    return rows.mapInArrow(run, f"{keep} int, terms binary")
-
-
 def fit(docs: DataFrame, labels: DataFrame, folds: int = 3, fold: int = 1, max_labelled: int = MAX_LABELLED) -> NeighbourVote:
     """Learns from labelled documents outside the held-out fold, ``max_labelled`` at most.
 
     Ids that are null, lie in the held-out fold or carry contradicting labels
-    are not learnt from. Without any labelled row every score is 0.5.
+    are not learnt from. Of rows that repeat a labelled id one is learnt from,
+    the same in each run. Other columns, of any names, are ignored. Without any
+    labelled row every score is 0.5.
     """
-    marks = labels.filter("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy(F.col("doc_id").alias("_id")).agg(F.min("quality").alias("low"), F.max("quality").alias("high"))
+    marks = labels.filter("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.min("quality").alias("low"), F.max("quality").alias("high"))
     marks = marks.filter((F.col("low") == F.col("high")) & ~held_out(F.col("_id"), folds, fold))
-    chosen = marks.orderBy(F.xxhash64("_id", F.lit(7)), "_id").limit(max_labelled).select("_id", F.col("low").cast("int").alias("label"))
+    chosen = marks.orderBy(F.xxhash64("_id", F.lit(7)), "_id").limit(max_labelled).select("_id", F.col("low").cast("int").alias("_label"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [terms(t.as_py()).tobytes() for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], names=["id", "label", "terms"])
+
     # ``max_labelled`` small rows at most.
-    rows = docs.join(F.broadcast(chosen), docs["doc_id"] == chosen["_id"]).select("label", text_bytes(F.col("text")).alias("data"))
-    found = _term_rows(rows, "label").collect()
+    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), text_bytes(F.col("text")).alias("_data"))
+    rows = texts.join(F.broadcast(chosen), "_id").select("_id", "_label", "_data").mapInArrow(run, "id long, label int, terms binary")
+    found = sorted(rows.groupBy("id", "label").agg(F.min("terms").alias("terms")).collect(), key=lambda r: r.id)
     matrix = np.frombuffer(b"".join(r.terms for r in found), dtype="float32").reshape(-1, BIGRAMS + SHAPES)
     return NeighbourVote(matrix, np.array([r.label for r in found], dtype="float32"))
 
@@ -113,7 +122,8 @@ def classify(docs: DataFrame, model: NeighbourVote, threshold: float = 0.5) -> D
     The labelled vectors (``MAX_LABELLED`` at most) are broadcast; a block of
     documents at a time is multiplied with all of them. No shuffle. Null or
     empty text scores the share of label 1 among the labelled rows. Repeated rows score
-    alike; an empty table gives no rows.
+    alike; of neighbours that are equally near at the border of the vote those with the
+    smaller ids count; an empty table gives no rows. Other columns, of any names, are ignored.
     """
     shared = share(docs.sparkSession, model)
 

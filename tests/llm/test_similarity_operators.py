@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import random
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -119,6 +120,38 @@ def test_suffix_dedup(spark, monkeypatch, seed, share):
     assert got == brute_spans(rows)
 
 
+@pytest.mark.parametrize("share", [None, 0.02])
+def test_suffix_dedup_periodic(spark, monkeypatch, share):
+    if share:
+        monkeypatch.setattr(census, "SAMPLE", 1)
+        monkeypatch.setattr(census, "HOT_SHARE", share)
+        monkeypatch.setattr(census, "HOT_LEAST", 2)
+    monkeypatch.setattr(suffix_dedup, "PIECE", 300)
+    monkeypatch.setattr(suffix_dedup, "HELD", 40)
+    monkeypatch.setattr(suffix_dedup, "FAMILY", 3)
+    rng = random.Random(2)
+    line = "".join(rng.choice("abcdefgh ") for _ in range(70)) + "\n"
+    rows = [(1, "-" * 900), (2, "x" + "-" * 2000 + "y"), (3, "0123456" * 150), (4, "ab" + "0123456" * 60), (5, line * 30), (6, line[:40] + line * 9), (7, line[20:] + line[:60]), (8, "-" * 49), (9, ("-" * 30 + "=" * 10) * 40), (10, ("-" * 30 + "=" * 10) * 3 + "-" * 60), (11, "")]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in suffix_dedup.remove_repeats(frame(spark, rows)).collect()}
+    assert got == brute_spans(rows)
+
+
+def test_periodic_text_is_one_entry():
+    raw, starts = suffix_dedup.joined([b"-" * 100_000])
+    place, _, _, low, high = suffix_dedup.anchors(raw, starts)
+    padded = np.concatenate([np.zeros(suffix_dedup.AROUND, "uint8"), raw, np.zeros(suffix_dedup.AROUND, "uint8")])
+    seen = np.lib.stride_tricks.sliding_window_view(padded, suffix_dedup.AROUND)
+    zero = np.zeros(len(place), "int64")
+    rows = suffix_dedup._grouped(suffix_dedup._entries(seen, place, doc=zero, mark=zero, pos=place, low=low, high=high))[0]
+    assert len(place) > 90_000 and len(rows) < 60
+
+
+def test_suffix_dedup_clashing_columns(spark):
+    rows = spark.createDataFrame([(1, "a" * 60, 1, 2, 3, 4, 5), (2, "b" + "a" * 60, 6, 7, 8, 9, 10)], "doc_id long, text string, id int, mark int, data int, spot int, more int")
+    out = suffix_dedup.remove_repeats(rows, ["id", "mark", "data", "spot", "more"]).orderBy("doc_id").collect()
+    assert [(r.n_removed, r.id, r.mark, r.data, r.spot, r.more) for r in out] == [(0, 1, 2, 3, 4, 5), (60, 6, 7, 8, 9, 10)]
+
+
 def test_suffix_dedup_edges(spark):
     t = "0123456789" * 8
     rows = [(None, t), (3, t), (3, t), (7, t), (None, t)]
@@ -134,11 +167,11 @@ def test_suffix_family_keeps_few_levels():
     for batch in range(40):
         docs = np.repeat([2 * batch, 2 * batch + 1], 8)
         words = np.array([str(rng.randrange(60)).rjust(50, "x").encode() for _ in docs])
-        hit = family.add(words, docs)
+        hit = family.add(np.frombuffer(b"".join(words), "uint8"), np.arange(len(words)) * 50, docs)
         for w, d, h in zip(words, docs, hit):
             seen.setdefault(w, set()).add(d)
         assert hit.tolist() == [min(seen[w]) < d for w, d in zip(words, docs)]
-        assert len(family.levels) <= 8 and all((np.sort(x) == x).all() for x in family.levels)
+        assert len(family.levels) <= 8 and all((np.sort(x) == x).all() and len(np.unique(x)) == len(x) for x in family.levels)
 
 
 def test_blobs():
@@ -248,6 +281,51 @@ def test_toxicity_reads_whole_words():
     assert np.mean(hidden >= 0.3) > 0.9 and np.mean(clean >= 0.3) < 0.1
 
 
+def plain_score(net, text):
+    """The highest window of a text by the plain forward pass, one window at a time."""
+    words = toxicity.word_steps(text)
+    top = -np.inf
+    for start in toxicity.window_starts(len(words)) if words else ():
+        part = words[start : start + toxicity.WINDOW]
+        x = net.inputs(*toxicity.table(part))
+        top = max(top, float(net.logits(net.projections(x, "f"), net.projections(x, "b"), np.arange(len(part))[None], np.array([len(part)]))[0]))
+    slope, offset = net.scale
+    return 1 / (1 + np.exp(-(slope * top + offset))) if words else 0.0
+
+
+def test_batch_scores_are_plain_scores(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "TOGETHER", 7)
+    monkeypatch.setattr(toxicity, "REMEMBERED", 60)
+    monkeypatch.setattr(toxicity, "LOOKED_UP", 5)
+    rng = random.Random(4)
+    net = toxicity.Network(9)
+    net.scale = np.array([3.0, -0.5])
+    texts = ["", "one", "a " * 70, "x" * 300, '"Wide, load" (ok) ... !', "日本語" * 30] + [text(rng, rng.randrange(1, 200), 90) for _ in range(40)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    for r in toxicity.classify(rows, net).collect():
+        assert r.score == pytest.approx(plain_score(net, texts[r.doc_id].encode()), abs=1e-4) and r.predicted == int(r.score >= 0.3)
+
+
+def test_labelled_rows_that_repeat_or_clash(spark):
+    rng = random.Random(6)
+    rows = [(k, text(rng, 30) + (" vilarqux" if k % 2 else ""), 5, k % 2) for k in range(60)]
+    docs = spark.createDataFrame(rows + [(1, "other text", 5, 9)] * 5, "doc_id long, text string, _id int, label int")
+    docs = docs.withColumn("_label", F.lit(3)).withColumn("toxic", F.lit(1)).withColumn("quality", F.lit(0)).withColumn("data", F.lit(0))
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, toxic int").withColumn("quality", F.col("toxic"))
+    one, two = (toxicity.fit(d, labels) for d in (docs, docs.repartition(5)))
+    assert all((one.p[k] == two.p[k]).all() for k in one.p)
+    vote, again = (quality_classifier.fit(d, labels) for d in (docs, docs.repartition(5)))
+    assert (vote.known == again.known).all() and len(vote.known) == sum(1 for k in range(60) if zlib.crc32(str(k).encode()) % 3 != 1)
+    assert toxicity.classify(docs, one).count() == quality_classifier.classify(docs, vote).count() == 65
+
+
+def test_excerpt_of_a_long_text_is_bounded():
+    words = text(random.Random(1), 20_000, 5000).encode()
+    short = words[:3000]
+    assert len(toxicity.excerpt(words)) == toxicity.MAX_WINDOWS and toxicity.excerpt(words) == toxicity.excerpt(words)
+    assert len(toxicity.excerpt(short)) == len(toxicity.window_starts(len(toxicity.word_steps(short)))) and toxicity.excerpt(b"") == []
+
+
 def test_steps_hold_every_run():
     for n in range(1, 60):
         word = bytes(range(65, 65 + n))
