@@ -26,6 +26,8 @@ OUTPUTS, CONTEXTS = WORDS + CLASSES + 1, WORDS + CLASSES + 2
 DIMS, NOISE, BATCH = 24, 64, 1024
 #: Training passes; together they take every token of all training documents once.
 ROUNDS = 2
+#: Tokens of a replica, about. The number of replicas follows from the corpus, not from the cluster.
+SHARE = 6_000_000
 BLOCK = 4 << 20
 LOG10 = float(np.log(10))
 
@@ -231,53 +233,85 @@ def drawn(starts: np.ndarray, many: np.ndarray, turn: int) -> np.ndarray:
 
 
 def _averaged(replicas: DataFrame, count: int) -> np.ndarray | None:
-    """Mean of replicas by examples seen, in two steps, so that no task and not the driver holds all of them."""
+    """Mean of replicas by examples seen, in two steps, so that no task and not the driver holds all of them; summed in order."""
 
     def mean(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("replica")
         n = pdf["examples"].to_numpy()
         total = sum(np.frombuffer(x, "float32").astype("float64") * k for x, k in zip(pdf["weights"], n))
-        return pd.DataFrame({"examples": [int(n.sum())], "weights": [(total / max(1, n.sum())).astype("float32").tobytes()]})
+        return pd.DataFrame({"g": [int(pdf["g"].iloc[0])], "examples": [int(n.sum())], "weights": [(total / max(1, n.sum())).astype("float32").tobytes()]})
 
     some = max(1, round(count**0.5))
-    parts = replicas.groupBy(F.pmod("replica", F.lit(some)).alias("g")).applyInPandas(mean, "examples long, weights binary").collect()
+    parts = replicas.withColumn("g", F.pmod("replica", F.lit(some))).groupBy("g").applyInPandas(mean, "g long, examples long, weights binary").collect()
     if not parts:
         return None
+    parts = sorted(parts, key=lambda r: r.g)
     total = sum(np.frombuffer(r.weights, "float32").astype("float64") * r.examples for r in parts)
     return total / sum(r.examples for r in parts)
 
 
+def _encoded(docs: DataFrame, known, replicas: int) -> DataFrame:
+    """(replica, doc_id, n, ids): the model ids of each training document's words, two bytes a word, dealt by a hash of its id and text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lex = pickle.loads(known.value)
+        head = pa.array(lex.words, pa.large_string())
+        for batch in batches:
+            for part in blocks(batch, 2):
+                _, _, kinds, places, many = encode(lex, head, part.column(2))
+                ids, ends = kinds[places].astype("<u2"), np.cumsum(many)
+                data = [ids[a:b].tobytes() for a, b in zip((ends - many).tolist(), ends.tolist())]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(many), pa.array(data, pa.binary())], names=["replica", "doc_id", "n", "ids"])
+        trim()
+
+    # A hot id or text must not decide a replica alone.
+    replica = F.pmod(F.xxhash64("doc_id", "data"), F.lit(replicas))
+    return docs.filter("train").select(replica.alias("replica"), "doc_id", "data").mapInArrow(run, "replica long, doc_id long, n long, ids binary")
+
+
 def _train(spark, docs: DataFrame, lexicon: Lexicon) -> np.ndarray:
-    """Parameter mixing: one replica a core learns from its share of the documents; the mean starts the next round."""
-    model = LogBilinear(lexicon.unigram)
-    flat = model.flat()
-    replicas = spark.sparkContext.defaultParallelism
+    """Parameter mixing: replicas learn from their shares of the documents; the mean starts the next round.
+
+    Shares, the order inside them and the order of sums follow from the
+    documents alone, so another cluster or other files give the same weights.
+    """
+    flat = LogBilinear(lexicon.unigram).flat()
+    replicas = max(1, round(lexicon.total / SHARE))
     known = share(spark, lexicon)
+    shares = written(_encoded(docs, known, replicas), "lm-shares")
     for turn in range(ROUNDS):
-        start = share(spark, flat.astype("float32"))
-
-        def run(batches: Iterator[pa.RecordBatch], turn: int = turn, start=start) -> Iterator[pa.RecordBatch]:
-            lex = pickle.loads(known.value)
-            head = pa.array(lex.words, pa.large_string())
-            replica = Replica(LogBilinear(lex.unigram).load(pickle.loads(start.value)), lex.unigram, turn)
-            mark = 0
-            for batch in batches:
-                for part in blocks(batch, 0):
-                    _, _, kinds, places, many = encode(lex, head, part.column(0))
-                    w, w1, w2, starts = with_contexts(kinds[places], many)
-                    mark = zlib.crc32(w[:64].tobytes(), mark)
-                    pick = replica.rng.permutation(drawn(starts, many, turn))
-                    replica.learn(w[pick], w1[pick], w2[pick])
-            trim()
-            if replica.examples:
-                yield pa.RecordBatch.from_arrays([pa.array([mark], pa.int64()), pa.array([replica.examples], pa.int64()), pa.array([replica.m.flat().astype("float32").tobytes()], pa.binary())], names=["replica", "examples", "weights"])
-
-        learnt = docs.filter("train").select("data").coalesce(replicas).mapInArrow(run, "replica long, examples long, weights binary")
+        learnt = shares.groupBy("replica").applyInPandas(_round(known, share(spark, flat.astype("float32")), turn), "replica long, examples long, weights binary")
         mean = _averaged(learnt, replicas)
         if mean is not None:
             flat = mean
     return flat
 
 
+def _round(known, start, turn: int):
+    """A replica's pass over its share, from the shared weights."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        lex = pickle.loads(known.value)
+        number = int(pdf["replica"].iloc[0])
+        replica = Replica(LogBilinear(lex.unigram).load(pickle.loads(start.value)), lex.unigram, turn + ROUNDS * number)
+        pdf = pdf.sort_values(["doc_id", "n", "ids"])
+        upto, at = np.cumsum(pdf["n"].to_numpy()), 0
+        while at < len(pdf):
+            # A million words at a time, and one document at least.
+            end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + 1_000_000, side="right")))
+            part = pdf.iloc[at:end]
+            many = part["n"].to_numpy()
+            w, w1, w2, starts = with_contexts(np.frombuffer(b"".join(part["ids"]), "<u2").astype("int32"), many)
+            pick = replica.rng.permutation(drawn(starts, many, turn))
+            replica.learn(w[pick], w1[pick], w2[pick])
+            at = end
+        trim()
+        some = int(replica.examples > 0)
+        return pd.DataFrame({"replica": [number] * some, "examples": [replica.examples] * some, "weights": [replica.m.flat().astype("float32").tobytes()] * some})
+
+    return run
+
+
 def score(docs: DataFrame, folds: int = 5, fold: int = 1) -> DataFrame:
     """Unigram and log-bilinear log10 probabilities of whole texts.
 
@@ -293,6 +327,9 @@ def score(docs: DataFrame, folds: int = 5, fold: int = 1) -> DataFrame:
     times), meet their counts in a join, and are summed back to the row, so
     neither the vocabulary nor a frequent word ever has to fit one task.
 
+    Training shares, orders and sums follow from ids and texts, so a rerun on
+    another cluster, or over other files, gives the same scores.
+
     Null text: no words, the end token alone. Null id: not held out. Repeated
     rows have a row each. Without training documents every count is 0. An
     empty table gives no rows. Other columns are ignored.
@@ -372,7 +409,7 @@ def score(docs: DataFrame, folds: int = 5, fold: int = 1) -> DataFrame:
     width = F.element_at(F.array(*[F.lit(float(x)) for x in lexicon.class_total + 0.5 * (lexicon.class_distinct + 1)]), (kind - WORDS + 1).cast("int"))
     up = F.log10(F.col("c_train") + 0.5)
     rare = rare.select("row", F.lit(None).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("n_tokens"), F.when(F.col("c_train") > 0, F.col("times")).otherwise(0).alias("n_known"), (F.col("times") * (up - F.lit(float(np.log10(lexicon.total + 0.5 * (lexicon.distinct + 1)))))).alias("base_score"), (F.col("times") * (up - F.log10(width))).alias("score"))
-    both = whole.unionByName(rare).groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.sum("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("base_score").alias("base_score"), F.sum("score").alias("score"))
+    both = whole.unionByName(rare).groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.sum("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), *(F.round(F.sum(c), 9).alias(c) for c in ("base_score", "score")))
     return both.select("doc_id", held_out(F.col("doc_id"), folds, fold).alias("held_out"), "n_tokens", "n_known", F.lit(int(lexicon.total)).cast("long").alias("train_tokens"), "base_score", "score")
 
 

@@ -95,6 +95,18 @@ def test_sharding_of_one_text(spark):
     assert max(by.values()) - min(by.values()) <= 2 and len(by) == 5
 
 
+def test_sharding_of_one_row_many_times(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "PART", 40)
+    rows = spark.range(900).select(F.when(F.col("id") < 700, 5).otherwise(F.col("id")).alias("doc_id"), F.when(F.col("id") < 700, "same").otherwise(F.concat(F.lit("text "), "id")).alias("text"))
+    got = sharding.shard(rows, 6).collect()
+    by = collections.defaultdict(list)
+    for r in got:
+        by[r.shard].append(r)
+    total = sum(r["size"] for r in got)
+    assert len(got) == 900 and len(by) == 6 and sum(r.doc_id == 5 for r in got) == 700
+    assert all(sorted(r.slot for r in part) == list(range(len(part))) and abs(sum(r["size"] for r in part) - total / 6) <= 24 for part in by.values())
+
+
 def test_sharding_of_many_repeated_rows(spark):
     words = frame(spark, [(i, f"text {i} " + "x" * (i % 7), "a") for i in range(600)])
     rows = words.crossJoin(spark.range(200).select(F.lit(0).alias("copy"))).select("doc_id", "text")
@@ -245,6 +257,42 @@ def test_language_model_trains_on_every_token(spark, monkeypatch):
     assert sum(seen) == got[0].train_tokens and min(seen) > 0.4 * sum(seen)
 
 
+def test_language_model_scores_are_plain_products(spark, monkeypatch):
+    """Every score against a softmax over all outputs, token by token; two partitionings give the same scores."""
+    monkeypatch.setattr(lm_scoring, "HEAD", 14)
+    monkeypatch.setattr(lm_scoring, "SHARE", 700)
+    train, kept = lm_scoring._train, {}
+
+    def keeping(spark, docs, lexicon):
+        kept["lexicon"], kept["weights"] = lexicon, train(spark, docs, lexicon)
+        return kept["weights"]
+
+    monkeypatch.setattr(lm_scoring, "_train", keeping)
+    rows = corpus(7, 150) + [(i, f"rare{i} alpha rare{i % 7} beta", "a") for i in range(2000, 2030)]
+    got = {(r.doc_id, r.n_tokens, round(r.base_score, 6)): r.score for r in lm_scoring.score(frame(spark, rows)).collect()}
+    again = {(r.doc_id, r.n_tokens, round(r.base_score, 6)): r.score for r in lm_scoring.score(frame(spark, rows).repartition(7)).collect()}
+    assert got == again
+    held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 5 == 1
+    counts = collections.Counter(x for i, t, _ in rows if not held(i) for x in (t or "").lower().encode().split())
+    lex = kept["lexicon"]
+    model = lm_scoring.LogBilinear(lex.unigram).load(kept["weights"])
+    place = {w.encode(): k for k, w in enumerate(lex.words[: lm_scoring.WORDS])}
+    kind = lambda w: place.get(w, lm_scoring.WORDS + lm_scoring.ending_class(w))
+    for i, t, _ in rows[:40] + rows[-35:]:
+        w1 = w2 = lm_scoring.BEGIN
+        total = base = 0.0
+        words_ = (t or "").lower().encode().split()
+        for w in [*words_, None]:
+            k = lm_scoring.END if w is None else kind(w)
+            logits = model.r.astype("float64") @ (model.q[w1].astype("float64") @ model.c[0] + model.q[w2].astype("float64") @ model.c[1]) + model.b
+            total += (logits[k] - logits.max() - math.log(np.exp(logits - logits.max()).sum())) / math.log(10)
+            if w is not None and w not in place:
+                mine = [x for x in counts if x not in place and kind(x) == k]
+                total += math.log10((counts[w] + 0.5) / (sum(counts[x] for x in mine) + 0.5 * (len(mine) + 1)))
+            w1, w2 = k, w1
+        assert any(key[0] == i and key[1] == len(words_) + 1 and score == pytest.approx(total, rel=1e-4, abs=1e-3) for key, score in got.items())
+
+
 def test_language_model_is_normalised():
     unigram = np.random.default_rng(0).random(lm_scoring.OUTPUTS)
     model = lm_scoring.LogBilinear(unigram / unigram.sum())
