@@ -13,6 +13,8 @@ from recordloom.llm.common import text_bytes, written
 OVERSAMPLE = 64
 #: A range with more than so many times the mean of a range is cut again.
 OVERFULL = 4.0
+#: Rows that share one key are placed in parts of about so many.
+PART = 500_000
 #: The highest key.
 LAST = (1 << 63) - 1
 
@@ -33,18 +35,25 @@ def shard(docs: DataFrame, shards: int = 40, overhead: int = 16) -> DataFrame:
     text has many keys. A sample of keys weighted by the bytes of their rows gives
     quantile boundaries, with a range of its own for a key that fills one;
     ranges that turn out overfull are sampled and cut again until none is left
-    that holds more than one key. The totals of the final ranges (a few
-    thousand numbers, whatever the input) place each range on the running sum
-    of bytes, and a window inside each range places its rows, so a shard
-    misses the mean by one document at most.
+    that holds more than one key. A range that lies inside one shard's quantiles
+    goes there as a whole; only in the ranges on a boundary the running sum of
+    bytes tells rows apart, so a shard misses the mean by one document at most.
+    The totals of the final ranges (a few thousand numbers, whatever the input)
+    come to the driver. Rows are numbered by a window inside each range; a range
+    of one key with very many rows is numbered in parts.
+
+    Groups: equal texts have one hash, so they are neighbours in the order, but
+    the law is ``bytes``: a group whose bytes cross a boundary is split there, as
+    it must be where it holds more than a shard's share.
 
     Null text: no bytes (size ``overhead``), crc32 of the empty string. Repeated rows are
     separate rows. Empty table: no rows. Reruns agree, since sample and order
     come from hashes and ids; rows equal in id and text are interchangeable.
+    Other columns are ignored.
     """
     data = text_bytes(F.col("text"))
     key = F.xxhash64("text").bitwiseAND(F.lit(~0xFFFFFF)).bitwiseOR(F.xxhash64("doc_id").bitwiseAND(F.lit(0xFFFFFF)))
-    narrow = written(docs.select("doc_id", (F.octet_length(data) + overhead).cast("long").alias("size"), F.crc32(data).alias("text_crc32"), key.alias("_key")), "shard-docs")
+    narrow = written(docs.select("doc_id", (F.octet_length(data) + overhead).cast("long").alias("size"), F.crc32(data).alias("text_crc32"), key.alias("_key"), F.monotonically_increasing_id().alias("_row")), "shard-docs")
     # Rows that share a key cannot be parted, so keys are drawn by the bytes of all their rows.
     keys = written(narrow.groupBy("_key").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")), "shard-keys")
     total = keys.agg(F.sum("bytes").alias("bytes")).first().bytes or 0
@@ -70,23 +79,32 @@ def shard(docs: DataFrame, shards: int = 40, overhead: int = 16) -> DataFrame:
         again = dealt.filter(F.col("_range").isin([r._range for r in over]))
         splitters = sorted(set(splitters) | drawn(again, 101 + turn, 2.0 * ranges / total) | {r.high for r in over})
         turn += 1
-    totals = {r._range: (r.bytes, r.rows) for r in found}
     spark = docs.sparkSession
-    at_bytes, at_rows, rows = 0, 0, []
-    for k in sorted(totals):
-        rows.append((k, at_bytes, at_rows))
-        at_bytes, at_rows = at_bytes + totals[k][0], at_rows + totals[k][1]
-    places = spark.createDataFrame(rows, "_r int, _bytes long, _rows long")
+    # Few ranges have more rows of one key than a part.
+    wide = {r._range: -(-r.rows // PART) for r in found if r.low == r.high and r.rows > PART}
     dealt = narrow.withColumn("_range", _range_of(np.array(splitters, dtype="int64"))("_key"))
-    inside = Window.partitionBy("_range").orderBy("_key", "doc_id", "text_crc32", "size")
+    if wide:
+        parts = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for item in wide.items() for x in item]), F.col("_range")), F.lit(1))
+        dealt = dealt.withColumn("_part", F.pmod(F.col("_row"), parts).cast("int"))
+    else:
+        dealt = dealt.withColumn("_part", F.lit(0))
+    totals = sorted(tuple(r) for r in (dealt.groupBy("_range", "_part").agg(F.sum("size"), F.count("*")).collect() if wide else [(r._range, 0, r.bytes, r.rows) for r in found]))
+    at_bytes, at_rows, rows = 0, 0, []
+    for k, part, many_bytes, many_rows in totals:
+        first, last = (min(shards - 1, at * shards // total) for at in (at_bytes, at_bytes + many_bytes))
+        rows.append((k, part, at_bytes, at_rows, first, last))
+        at_bytes, at_rows = at_bytes + many_bytes, at_rows + many_rows
+    places = spark.createDataFrame(rows, "_r int, _p int, _bytes long, _rows long, _first int, _last int")
+    inside = Window.partitionBy("_range", "_part").orderBy("_key", "doc_id", "text_crc32", "size")
     upto = F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0))
     dealt = dealt.withColumn("_upto", upto).withColumn("_rn", F.row_number().over(inside))
-    # One row a range, whose number is bounded by a multiple of shards * OVERSAMPLE.
-    dealt = dealt.join(F.broadcast(places), F.col("_range") == F.col("_r"))
+    # One row a range or part, whose number is bounded by a multiple of shards * OVERSAMPLE and by rows over PART.
+    dealt = dealt.join(F.broadcast(places), (F.col("_range") == F.col("_r")) & (F.col("_part") == F.col("_p")))
     middle = F.col("_bytes") + F.col("_upto") - F.col("size") / 2
-    dealt = dealt.withColumn("shard", F.least(F.lit(shards - 1), F.floor(middle * F.lit(shards / total if total else 0.0))).cast("int"))
+    cut = F.least(F.lit(shards - 1), F.floor(middle * F.lit(shards / total if total else 0.0))).cast("int")
+    dealt = dealt.withColumn("shard", F.when(F.col("_first") == F.col("_last"), F.col("_first")).otherwise(cut))
     dealt = written(dealt.select("doc_id", "size", "text_crc32", "shard", (F.col("_rows") + F.col("_rn") - 1).alias("_at")), "shard-rows")
-    first = dealt.groupBy("shard").agg(F.min("_at").alias("_first"))
+    first = dealt.groupBy("shard").agg(F.min("_at").alias("_start"))
     # One row a shard.
-    return dealt.join(F.broadcast(first), "shard").select("doc_id", "size", "text_crc32", "shard", (F.col("_at") - F.col("_first")).alias("slot"))
+    return dealt.join(F.broadcast(first), "shard").select("doc_id", "size", "text_crc32", "shard", (F.col("_at") - F.col("_start")).alias("slot"))
 
