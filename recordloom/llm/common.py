@@ -101,7 +101,7 @@ def text_bytes(text: Column) -> Column:
     return F.coalesce(text.cast("binary"), F.lit(b"").cast("binary"))
 
 
-def components(edges: DataFrame, name: str = "components", max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """Connected components of ``edges`` (u long, v long): (id, component), the smallest id of each.
 
     Large-star and small-star steps (Kiveris et al., "Connected components in
@@ -114,7 +114,7 @@ def components(edges: DataFrame, name: str = "components", max_rounds: int = 60)
     nodes = None
     current = written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), name)
     before = None
-    for _ in range(max_rounds):
+    while True:
         state = current.filter("u <> v").agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if (state.n, state.h) == before or state.n == 0:
             break
@@ -127,8 +127,6 @@ def components(edges: DataFrame, name: str = "components", max_rounds: int = 60)
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
         current = written(small.filter("u <> v").distinct(), name)
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     star = current.filter("u <> v").select(F.col("u").alias("id"), F.col("v").alias("component"))
     ends = edges.select(F.explode(F.array("u", "v")).alias("id")).distinct() if nodes is None else written(nodes.select(F.explode(F.array("u", "v")).alias("id")).distinct(), name)
     return ends.join(star, "id", "left").select("id", F.coalesce("component", "id").alias("component"))

@@ -241,7 +241,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 75, den: int = 1
     texts = written(fetched.select(cls.alias("cls"), "data").join(needed.select("cls"), "cls").dropDuplicates(["cls"]), "jaccard-texts")
 
     links = needed.filter("cls <> gid").select(F.col("gid").alias("u"), F.col("cls").alias("v"))
-    scale = F.floor(F.log("n") / float(np.log(den / num))).cast("int")
+    #: Steps of size a little wider than the ratio that similar sets can have at most.
+    scale = F.floor(F.log("n") / float(np.log(1.0001 * den / num))).cast("int")
     # Copies of one text differ from each other more than from it, and it has the fewest shingles of its own.
     for turn, last in enumerate((F.col("gid"), F.xxhash64("gid"))):
         sized = entries.withColumn("scale", scale)
@@ -262,8 +263,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 75, den: int = 1
     seen = written(seen.join(open_keys, "key"), "jaccard-open")
     common = seen.groupBy("key", "low").count().groupBy("key").agg(F.max_by("low", F.struct("count", "low")).alias("main"))
     # Everything outside a key's largest component meets everything of another component.
-    minor = seen.join(common, "key").filter("low <> main OR low <> high").select("key", F.col("gid").alias("g1"), F.col("n").alias("n1"), F.col("pos").alias("p1"), F.col("low").alias("l1"), F.col("high").alias("h1"))
-    both = seen.join(minor, "key").filter("g1 <> gid AND NOT (l1 = low AND h1 = high AND l1 = h1)")
+    minor = seen.join(written(common, "jaccard-main"), "key").filter("low <> main OR low <> high").select("key", F.col("gid").alias("g1"), F.col("n").alias("n1"), F.col("pos").alias("p1"), F.col("low").alias("l1"), F.col("high").alias("h1"), scale.alias("s1"))
+    # Sets that differ by more than one step of size cannot be similar, so the step is part of the key.
+    minor = minor.withColumn("scale", F.explode(F.array(F.col("s1") - 1, F.col("s1"), F.col("s1") + 1))).drop("s1")
+    both = seen.withColumn("scale", scale).join(minor, ["key", "scale"]).filter("g1 <> gid AND NOT (l1 = low AND h1 = high AND l1 = h1)")
     need = F.ceil(F.lit(num) * (F.col("n") + F.col("n1")) / F.lit(num + den))
     reach = F.least(F.col("n") - F.col("pos"), F.col("n1") - F.col("p1"))
     both = both.filter((F.least("n", "n1") * den >= F.greatest("n", "n1") * num) & (reach >= need))
