@@ -209,6 +209,24 @@ def test_embedding_join_edges(spark):
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embedding_join_of_equal_vectors(spark, monkeypatch):
+    """A hot vector is one class: blocks see it once, and links count all its copies."""
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 8)
+    monkeypatch.setattr(embedding_dedup, "PER_PIVOT", 10)
+    rng = np.random.default_rng(3)
+    base = rng.standard_normal((30, 5))
+    rows = [(k, base[k].tolist(), 0) for k in range(30)] + [(100 + k, base[7].tolist(), 0) for k in range(300)] + [(500 + k, base[7].tolist(), 1) for k in range(5)]
+    rows += [(100, base[9].tolist(), 0), (100, base[7].tolist(), 0), (600, (base[9] * 2).tolist(), 0), (8, None, 1)]
+    got = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    want = {tuple(r[:1]) + (tuple(r[1] or ()), r[2]) for r in rows}
+    assert len(got) == len(want)
+    unit = {w: np.array(w[1]) / np.linalg.norm(w[1]) for w in want if w[1]}
+    links = {w: sum(1 for o in unit if o != w and o[2] == w[2] and unit[o] @ unit[w] >= 0.93) if w in unit else 0 for w in want}
+    pairs = [(w[0], o[0]) for w in unit for o in unit if o[2] == w[2] and unit[o] @ unit[w] >= 0.93]
+    component = plain_components({r[0] for r in rows}, pairs)
+    assert collections.Counter((r.vec_id, r.n_links, r.component_id) for r in got) == collections.Counter((w[0], links[w], component[w[0]]) for w in want)
+
+
 @pytest.mark.parametrize("edges", [[(i, i + 1) for i in range(30)], [], [(3, 3), (9, 3)], [(0, i) for i in range(1, 20)] + [(19, 40), (41, 40)]])
 def test_components(spark, edges):
     df = spark.createDataFrame(edges, "u long, v long")
