@@ -3,41 +3,34 @@
 from __future__ import annotations
 
 import re
-import unicodedata
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 # Characters that count as blanks in normalised text.
 PUNCTUATION = "·・.,，。、!！?？:：;；-_/\\()（）[]【】\"'“”‘’"
-#: Full-width forms and their ASCII counterparts, the part of NFKC that plain columns can express.
-WIDE = "".join(chr(0xFF01 + i) for i in range(94)) + "　"
-NARROW = "".join(chr(0x21 + i) for i in range(94)) + " "
 #: Every character that Unicode counts as white space.
 SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(chr(i) for i in range(0x2000, 0x200B)) + "\u2028\u2029\u202f\u205f\u3000"
-#: One pass of character replacement does folding, punctuation and white space; a regular expression a step costs ten times that.
-_FOLD = {w: n for w, n in zip(WIDE, NARROW)}
-_FOLD |= {c: " " for c in (*PUNCTUATION, *SPACES)}
-_FOLD |= {w: " " for w, n in zip(WIDE, NARROW) if n in PUNCTUATION}
-FOLD_FROM, FOLD_TO = "".join(_FOLD), "".join(_FOLD.values())
 
 
-@F.pandas_udf(StringType())
-def nfkc(texts: pd.Series) -> pd.Series:
-    """Unicode NFKC, which Spark has no function for; one Arrow batch at a time."""
-    return texts.map(lambda s: unicodedata.normalize("NFKC", s), na_action="ignore")
+#: One pass of character replacement does punctuation and white space; a regular expression a step costs ten times that.
+BLANKS = "".join(dict.fromkeys(PUNCTUATION + SPACES))
 
 
-def norm_text(c: Column, exact: bool = False) -> Column:
-    """Lower case, punctuation as blanks, single blanks, trimmed; null as empty.
+def nfkc(c: Column) -> Column:
+    """Unicode NFKC by the ICU library that Spark brings along for its collations; null as empty.
 
-    Plain columns fold full-width forms only; ``exact`` runs the whole of NFKC
-    first, in an Arrow UDF. For ASCII text both agree.
+    Spark calls the method by its name and takes it for non-deterministic: the
+    result may be selected, filtered by and grouped by, but not stand inside a
+    join condition or an aggregate. Select it first.
     """
-    s = F.lower(F.translate(nfkc(c) if exact else c, FOLD_FROM, FOLD_TO))
-    return F.coalesce(F.trim(F.regexp_replace(s, " +", " ")), F.lit(""))
+    return F.call_function("java_method", F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), F.coalesce(c, F.lit("")), F.lit(True))
+
+
+def norm_text(c: Column) -> Column:
+    """NFKC, lower case, punctuation as blanks, single blanks, trimmed; null as empty."""
+    s = F.lower(F.translate(nfkc(c), BLANKS, " " * len(BLANKS)))
+    return F.trim(F.regexp_replace(s, " +", " "))
 
 
 def let(value: Column, body) -> Column:

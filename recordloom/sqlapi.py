@@ -6,7 +6,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recordloom.functions.text import FOLD_FROM, FOLD_TO
+from recordloom.functions.text import BLANKS
 
 
 def _text(s: str) -> str:
@@ -15,7 +15,7 @@ def _text(s: str) -> str:
 
 #: name -> (parameters, result, body). Bodies are SQL, so Catalyst inlines them like any expression.
 FUNCTIONS = {
-    "norm_text": ("t STRING", "STRING", f"coalesce(trim(regexp_replace(lower(translate(t, {_text(FOLD_FROM)}, {_text(FOLD_TO)})), ' +', ' ')), '')"),
+    "norm_text": ("t STRING", "STRING", f"trim(regexp_replace(lower(translate(java_method('com.ibm.icu.text.Normalizer', 'compose', coalesce(t, ''), true), {_text(BLANKS)}, repeat(' ', {len(BLANKS)}))), ' +', ' '))"),
     "token_set": ("t STRING", "ARRAY<STRING>", "array_distinct(filter(split(norm_text(t), ' '), w -> w <> ''))"),
     "char_set": ("t STRING", "ARRAY<STRING>", "array_distinct(filter(split(replace(norm_text(t), ' ', ''), ''), c -> c <> ''))"),
     "overlap_coefficient": ("a ARRAY<STRING>, b ARRAY<STRING>", "DOUBLE", "CASE WHEN least(size(a), size(b)) > 0 THEN size(array_intersect(a, b)) / least(size(a), size(b)) ELSE 0.0D END"),

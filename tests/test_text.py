@@ -8,14 +8,25 @@ L = F.lit
 
 
 def test_norm_text(spark):
-    got = values(spark, a=T.norm_text(L("  iPhone-15, PRO!! ")), b=T.norm_text(L("ＡＢＣ　１")), c=T.norm_text(L(None).cast("string")), d=T.norm_text(L("黒（革）")), e=T.norm_text(L("ｶﾊﾞﾝ"), exact=True))
-    assert got == {"a": "iphone 15 pro", "b": "abc 1", "c": "", "d": "黒 革", "e": "カバン"}
+    got = values(spark, a=T.norm_text(L("  iPhone-15, PRO!! ")), b=T.norm_text(L("ＡＢＣ　１")), c=T.norm_text(L(None).cast("string")), d=T.norm_text(L("黒（革）")), e=T.norm_text(L("ｶﾊﾞﾝ")), f=T.norm_text(L("ﬁne №①½ ㌔ e\u0301")))
+    assert got == {"a": "iphone 15 pro", "b": "abc 1", "c": "", "d": "黒 革", "e": "カバン", "f": "fine no11⁄2 キロ é"}
 
 
-def test_nfkc_agrees_with_plain_columns_on_ascii(spark):
-    df = spark.createDataFrame([("A_b-c  D",), ("x/y\\z",), (None,), ("",)], "t string")
-    rows = df.select(T.norm_text(F.col("t")).alias("p"), T.norm_text(F.col("t"), exact=True).alias("e")).collect()
-    assert all(r.p == r.e for r in rows)
+def test_norm_text_folds_as_dictionaries_do(spark):
+    import random
+    import unicodedata
+
+    rng = random.Random(1)
+    odd = [c for c in map(chr, (*range(0xA0, 0x3400), *range(0xF900, 0x10000), *range(0x1D400, 0x1D500))) if unicodedata.category(c) not in ("Cn", "Co", "Cs", "Cc") and unicodedata.normalize("NFKC", c) != c]
+    texts = ["".join(rng.choice(odd + list("abcé かカ.-")) for _ in range(8)) for _ in range(2000)] + odd
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.norm_text(F.col("t")).alias("n")).collect()
+    assert all(r.n == D.plain(r.t) for r in rows)
+
+
+def test_dictionaries_meet_texts_in_other_forms(spark):
+    section = {"bag": ("カバン",), "first": ("①",), "fine": ("ﬁne",)}
+    got = values(spark, a=D.canonical(L("ｶﾊﾞﾝ"), section), b=D.canonical(L("1"), section), c=D.canonical(L("FINE"), section), d=F.array_join(F.transform(D.all_hits(L("黒いｶﾊﾞﾝ"), section), lambda h: h["canonical"]), ","))
+    assert got == {"a": "bag", "b": "first", "c": "fine", "d": "bag"}
 
 
 def test_overlap(spark):
