@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,26 +12,11 @@ from recordloom.operators import conflicts as CF
 from recordloom.operators import features as FT
 from recordloom.operators import scoring as SC
 from recordloom.operators.retrieval import nearest
+from recordloom.operators.steps import settled
 
 MERGE, TOPIC = 95.0, 78.0
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """Cuts the lineage of an iteration: a table in the shared checkpoint folder, or checkpoint() in a plain local session."""
-    sc = df.sparkSession.sparkContext
-    folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not folder:
-        import tempfile
-
-        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="recordloom-"))
-        folder = sc.getCheckpointDir()
-    path = f"{folder.rstrip('/')}/step-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def tfidf(docs: DataFrame, key: str, text: str, n: int = 3) -> DataFrame:
     """(key, gram, weight): (1 + ln tf) * ln(N / df), grams of one document left out, length 1 (DD1, DD2)."""
     counts = docs.select(key, F.explode(grams(F.col(text), n)).alias("gram")).groupBy(key, "gram").agg(F.count("*").alias("tf"))
@@ -65,9 +48,9 @@ def block_by_grams(weights: DataFrame, key: str, most: int = 60, least: float =
 
 
 def block_by_vectors(vectors: DataFrame, key: str, vector: str, k: int = 8) -> DataFrame:
-    """(a, b): each row with its ``k`` nearest (DD5)."""
+    """(a, b): each row with its ``k`` nearest, ties to the larger key (DD5)."""
     queries = vectors.select(F.col(key).alias("query_id"), F.col(vector).alias("embedding"))
-    found = nearest(queries, vectors.select(F.col(key).alias("id"), F.col(vector).alias("embedding")), k)
+    found = nearest(queries, vectors.select(F.col(key).alias("id"), F.col(vector).alias("embedding")), k, larger_key=True)
     return found.select(F.least("query_id", "id").alias("a"), F.greatest("query_id", "id").alias("b")).distinct()
 
 
@@ -91,7 +74,7 @@ def score_pairs(pairs: DataFrame, questions: DataFrame, weights: DataFrame, leas
     return out.filter(F.col("final_score") >= least).drop("x", "y", "keyword_sim")
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, component): connected components by alternating large-star and small-star steps (DD8).
 
     Long chains take logarithmically many rounds. Each round is written, so a
@@ -100,7 +83,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     nodes = settled(edges.select(F.explode(F.array(a, b)).alias("id")).distinct())
     current = settled(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct())
     before = None
-    for _ in range(max_rounds):
+    while True:
         state = current.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if not state.n or (state.n, state.h) == before:
             break
@@ -111,8 +94,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
         current = settled(small.filter("u <> v").distinct())
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return nodes.join(current.select(F.col("u").alias("id"), F.col("v").alias("component")), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 

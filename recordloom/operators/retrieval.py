@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -11,9 +9,10 @@ from pyspark.sql import functions as F
 
 from recordloom.config import FUNNEL
 from recordloom.functions.text import norm_text
+from recordloom.operators.steps import settled, small
 
-#: Query vectors that go to all executors at a time; more queries are taken in blocks of so many.
-QUERY_BLOCK = 4096
+#: Vectors of a block.
+BLOCK = 8192
 
 
 def top(df: DataFrame, by: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:
@@ -28,17 +27,42 @@ def base_pool(records: DataFrame, record_type: str, limit: int | None = FUNNEL["
 
 
 def structured(queries: DataFrame, records: DataFrame, limit: int = FUNNEL["keyword"]) -> DataFrame:
-    """(query_id, id, rank): records of the query's category, newest first (RET1). No category, no rows."""
-    both = queries.filter("category IS NOT NULL").select("query_id", "category").join(records.select("id", "category", "created_at"), "category").filter("id <> query_id")
-    return top(both, ["query_id"], [F.col("created_at").desc(), F.col("id")], limit).select("query_id", "id", "rank")
+    """(query_id, id, rank): records of the query's category, newest first (RET1). No category, no rows.
+
+    Records are ranked once a category, and one more than the limit is kept in
+    case the query is among them, so a query meets ``limit + 1`` records at most.
+    """
+    order = [F.col("created_at").desc(), F.col("id")]
+    heads = top(records.filter("category IS NOT NULL").select("id", "category", "created_at"), ["category"], order, limit + 1).drop("rank")
+    both = queries.filter("category IS NOT NULL").select("query_id", "category").join(heads, "category").filter("id <> query_id")
+    return top(both, ["query_id"], order, limit).select("query_id", "id", "rank")
+
+
+def words(c: Column) -> Column:
+    return F.filter(F.split(norm_text(c), " "), lambda w: w != "")
+
+
+def query_terms(queries: DataFrame, text: str = "query_text") -> DataFrame:
+    """(query_id, term), each term once."""
+    return queries.select("query_id", F.explode(F.array_distinct(words(F.col(text)))).alias("term"))
+
 
+def postings(records: DataFrame, text: str = "normalized_text", terms: DataFrame | None = None) -> DataFrame:
+    """The inverted index: (term, id, tf, length); with ``terms`` only of these words, which is all that a query set needs.
 
-def postings(records: DataFrame, text: str = "normalized_text") -> DataFrame:
-    """The inverted index: (term, id, tf, length)."""
-    words = F.filter(F.split(norm_text(F.col(text)), " "), lambda w: w != "")
+    Words are picked before they are counted, so a few terms move few rows.
+    """
     # The length is taken before the words are dealt out, else each word's row would carry them all.
-    sized = records.select("id", words.alias("words")).select("id", "words", F.size("words").alias("length"))
-    return sized.select("id", "length", F.explode("words").alias("term")).groupBy("term", "id").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
+    sized = records.select("id", words(F.col(text)).alias("words")).select("id", "words", F.size("words").alias("length"))
+    dealt = sized.select("id", "length", F.explode("words").alias("term"))
+    if terms is not None:
+        dealt = dealt.join(small(terms.select("term").distinct()), "term", "left_semi")
+    return dealt.groupBy("term", "id").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
+
+
+def corpus_totals(records: DataFrame, text: str = "normalized_text") -> DataFrame:
+    """One row (n, mean): how many records have words, and their mean length."""
+    return records.select(F.size(words(F.col(text))).alias("length")).filter("length > 0").agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
 
 
 def full_text(queries: DataFrame, index: DataFrame, limit: int = FUNNEL["keyword"], text: str = "query_text") -> DataFrame:
@@ -46,20 +70,22 @@ def full_text(queries: DataFrame, index: DataFrame, limit: int = FUNNEL["keyword
 
     The score is the sum of 1 + ln(tf) over the terms by 1 + ln(length).
     """
-    terms = queries.select("query_id", F.explode(F.array_distinct(F.filter(F.split(norm_text(F.col(text)), " "), lambda w: w != ""))).alias("term"))
+    terms = query_terms(queries, text)
     wanted = terms.groupBy("query_id").agg(F.count("*").alias("wanted"))
     hits = terms.join(index, "term").filter("id <> query_id").groupBy("query_id", "id").agg(F.count("*").alias("have"), F.sum(1 + F.log("tf")).alias("sum"), F.first("length").alias("length"))
     hits = hits.join(wanted, "query_id").filter("have = wanted").select("query_id", "id", F.round(F.col("sum") / (1 + F.log("length")), 6).alias("score"))
     return top(hits, ["query_id"], [F.col("score").desc(), F.col("id")], limit)
 
 
-def bm25(queries: DataFrame, index: DataFrame, limit: int = FUNNEL["keyword"], k1: float = 1.2, b: float = 0.75, text: str = "query_text") -> DataFrame:
-    """(query_id, id, score, rank) by BM25 over any shared term."""
-    lengths = index.groupBy("id").agg(F.first("length").alias("length")).agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
+def bm25(queries: DataFrame, index: DataFrame, limit: int = FUNNEL["keyword"], k1: float = 1.2, b: float = 0.75, text: str = "query_text", totals: DataFrame | None = None) -> DataFrame:
+    """(query_id, id, score, rank) by BM25 over any shared term.
+
+    ``index`` may hold the queries' terms alone if ``totals`` (``corpus_totals``) comes with it.
+    """
+    lengths = index.groupBy("id").agg(F.first("length").alias("length")).agg(F.count("*").alias("n"), F.avg("length").alias("mean")) if totals is None else totals
     df = index.groupBy("term").agg(F.count("*").alias("df"))
-    terms = queries.select("query_id", F.explode(F.array_distinct(F.filter(F.split(norm_text(F.col(text)), " "), lambda w: w != ""))).alias("term"))
     # ``lengths`` is one row.
-    hits = terms.join(index, "term").join(df, "term").crossJoin(F.broadcast(lengths)).filter("id <> query_id")
+    hits = query_terms(queries, text).join(index, "term").join(df, "term").crossJoin(F.broadcast(lengths)).filter("id <> query_id")
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
     scored = hits.groupBy("query_id", "id").agg(F.round(F.sum(part), 6).alias("score"))
@@ -68,8 +94,7 @@ def bm25(queries: DataFrame, index: DataFrame, limit: int = FUNNEL["keyword"], k
 
 def trigrams(c: Column) -> Column:
     """Distinct 3-grams of each word with two blanks before and one after it."""
-    words = F.filter(F.split(norm_text(c), " "), lambda w: w != "")
-    inside = F.transform(words, lambda w: F.transform(F.sequence(F.lit(1), F.length(w) + 1), lambda i: F.substring(F.concat(F.lit("  "), w, F.lit(" ")), i, F.lit(3))))
+    inside = F.transform(words(c), lambda w: F.transform(F.sequence(F.lit(1), F.length(w) + 1), lambda i: F.substring(F.concat(F.lit("  "), w, F.lit(" ")), i, F.lit(3))))
     return F.array_distinct(F.flatten(inside))
 
 
@@ -88,55 +113,56 @@ def trigram(queries: DataFrame, records: DataFrame, least: float = 0.05, limit:
 
 def keyword(queries: DataFrame, records: DataFrame, limit: int = FUNNEL["keyword"]) -> DataFrame:
     """Full text, and trigrams for just those queries that full text finds nothing for (RET2, RET3)."""
-    exact = full_text(queries, postings(records), limit)
+    exact = settled(full_text(queries, postings(records, terms=query_terms(queries)), limit))
     rest = queries.join(exact.select("query_id").distinct(), "query_id", "left_anti")
     return exact.unionByName(trigram(rest, records, limit=limit))
 
 
-def nearest(queries: DataFrame, base: DataFrame, k: int, query_key: str = "query_id", key: str = "id", vector: str = "embedding", least: float | None = None) -> DataFrame:
+def _best(sim: np.ndarray, k: int) -> np.ndarray:
+    """The places of the ``k`` largest values, and of all that tie with the last of them."""
+    own = np.flatnonzero(np.isfinite(sim))
+    return own[sim[own] >= np.partition(sim[own], len(own) - k)[len(own) - k]] if len(own) > k else own
+
+
+def nearest(queries: DataFrame, base: DataFrame, k: int, query_key: str = "query_id", key: str = "id", vector: str = "embedding", least: float | None = None, larger_key: bool = False) -> DataFrame:
     """(query_key, key, similarity, rank): the ``k`` most similar vectors of ``base`` to each query, exactly (RET4).
 
-    Queries go to the executors in blocks of ``QUERY_BLOCK``; each task
-    multiplies its rows with a whole block and keeps k a query, so what is
-    shuffled is k rows a query and task. Similarity is the cosine in double
-    precision; vectors without a length are left out; ties go to the smaller key.
+    Both sides are dealt to blocks by a hash; each pair of blocks is one matrix
+    product in a task of bounded size, which hands on k rows a query. Neither
+    side comes to the driver. Similarity is the cosine in double precision;
+    vectors meet those of their own length only, and those without a length
+    are left out; ties go to the smaller key, or to the larger one.
     """
-    kinds = dict(queries.dtypes) | {f"base.{n}": t for n, t in base.dtypes}
-    found = queries.select(query_key, F.col(vector).cast("array<double>").alias("v")).filter("v IS NOT NULL")
-    total = found.count()
-    rows = base.select(key, F.col(vector).cast("array<double>").alias("v")).filter("v IS NOT NULL")
-    schema = f"{query_key} {kinds[query_key]}, {key} {kinds[f'base.{key}']}, similarity double"
-    parts: list[DataFrame] = []
-    blocks = max(1, -(-total // QUERY_BLOCK))
-    for part in range(blocks):
-        own = found if blocks == 1 else found.filter(F.pmod(F.xxhash64(query_key), F.lit(blocks)) == part)
-        block = own.collect()  # a block of the query set
-        names = [r[0] for r in block]
-        matrix = np.array([r[1] for r in block], dtype="float64").reshape(len(block), -1 if block else 0)
-
-        def run(batches: Iterator[pd.DataFrame], names=names, matrix=matrix) -> Iterator[pd.DataFrame]:
-            length = np.sqrt((matrix * matrix).sum(axis=1))
-            for pdf in batches:
-                pdf = pdf[pdf["v"].map(len) == matrix.shape[1]]
-                if not len(pdf) or not len(names):
-                    continue
-                x = np.stack(pdf["v"].to_numpy())
-                scale = np.sqrt((x * x).sum(axis=1))[:, None] * length[None, :]
-                sim = np.divide(x @ matrix.T, scale, out=np.full(scale.shape, -np.inf), where=scale > 0)
-                keys = pdf[key].to_numpy()
-                for q, name in enumerate(names):
-                    own = np.flatnonzero((keys != name) & np.isfinite(sim[:, q]) & (True if least is None else sim[:, q] >= least))
-                    if len(own) > k:
-                        edge = np.partition(sim[own, q], len(own) - k)[len(own) - k]
-                        # All ties at the edge stay for the ranking.
-                        own = own[sim[own, q] >= edge]
-                    yield pd.DataFrame({query_key: name, key: keys[own], "similarity": np.clip(sim[own, q], -1, 1)})
-
-        parts.append(rows.mapInPandas(run, schema))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return top(out, [query_key], [F.col("similarity").desc(), F.col(key)], k)
+    sides = [df.select(F.col(c).alias("key"), F.col(vector).cast("array<double>").alias("v")).filter("v IS NOT NULL AND size(v) > 0") for df, c in ((queries, query_key), (base, key))]
+    many = [max(1, -(-df.count() // BLOCK)) for df in sides]
+    spot = [F.pmod(F.xxhash64("key"), F.lit(n)).cast("int") for n in many]
+    left = sides[0].select("key", "v", spot[0].alias("_q"), F.explode(F.sequence(F.lit(0), F.lit(many[1] - 1))).alias("_b"))
+    right = sides[1].select("key", "v", F.explode(F.sequence(F.lit(0), F.lit(many[0] - 1))).alias("_q"), spot[1].alias("_b"))
+    kinds = dict(queries.dtypes)[query_key], dict(base.dtypes)[key]
+
+    def meet(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({query_key: q["key"].iloc[:0], key: b["key"].iloc[:0], "similarity": np.zeros(0)})]
+        for size, some in q.groupby(q["v"].map(len)):
+            rest = b[b["v"].map(len) == size]
+            if not len(rest):
+                continue
+            x, y = np.stack(some["v"].to_numpy()), np.stack(rest["v"].to_numpy())
+            names, own = rest["key"].to_numpy(), some["key"].to_numpy()
+            far = np.sqrt((y * y).sum(axis=1))
+            for at in range(0, len(x), 512):
+                part = x[at : at + 512]
+                scale = np.sqrt((part * part).sum(axis=1))[:, None] * far[None, :]
+                sim = np.divide(part @ y.T, scale, out=np.full(scale.shape, -np.inf), where=scale > 0)
+                sim[own[at : at + 512][:, None] == names[None, :]] = -np.inf
+                if least is not None:
+                    sim[sim < least] = -np.inf
+                for row, name in zip(sim, own[at : at + 512]):
+                    found = _best(row, k)
+                    out.append(pd.DataFrame({query_key: [name] * len(found), key: names[found], "similarity": np.clip(row[found], -1, 1)}))
+        return pd.concat(out, ignore_index=True)
+
+    found = left.groupBy("_q", "_b").cogroup(right.groupBy("_q", "_b")).applyInPandas(meet, f"{query_key} {kinds[0]}, {key} {kinds[1]}, similarity double")
+    return top(found, [query_key], [F.col("similarity").desc(), F.col(key).desc() if larger_key else F.col(key)], k)
 
 
 def fuse(channels: dict[str, DataFrame], k: int = FUNNEL["rrf_k"], limit: int = FUNNEL["fused"]) -> DataFrame:
@@ -156,15 +182,16 @@ def hybrid(queries: DataFrame, records: DataFrame, text_vectors: DataFrame | Non
     Attribute vectors help to find candidates only; the semantic score is the
     text vectors' cosine.
     """
-    words = keyword(queries, records)
-    channels = {"structured": structured(queries, records), "keyword": words}
+    # What is read more than once is written once.
+    found = settled(keyword(queries, records))
+    channels = {"structured": structured(queries, records), "keyword": found}
     text_hits = None
     if text_vectors is not None and query_vectors is not None:
-        text_hits = nearest(query_vectors, text_vectors, FUNNEL["vector"])
+        text_hits = settled(nearest(query_vectors, text_vectors, FUNNEL["vector"]))
         channels["text"] = text_hits
     if attribute_vectors is not None and query_attribute_vectors is not None:
         channels["attributes"] = nearest(query_attribute_vectors, attribute_vectors, FUNNEL["vector"])
-    out = fuse(channels, k, limit).join(words.select("query_id", "id", F.col("score").alias("keyword_rank")), ["query_id", "id"], "left")
+    out = fuse(channels, k, limit).join(found.select("query_id", "id", F.col("score").alias("keyword_rank")), ["query_id", "id"], "left")
     if text_hits is None:
         return out.withColumn("semantic_cosine", F.lit(None).cast("double"))
     return out.join(text_hits.select("query_id", "id", F.col("similarity").alias("semantic_cosine")), ["query_id", "id"], "left")

@@ -32,11 +32,11 @@ def test_nearest_is_exact(spark):
     for q in (0, 10, 20, 30, 40, 50):
         sims = sorted(((-float(x[q] @ x[j] / np.linalg.norm(x[q]) / np.linalg.norm(x[j])), j) for j in range(60) if j not in (q, 7)))[:4]
         assert [j for _, j, _ in sorted(got[q])] == [j for _, j in sims]
-    R.QUERY_BLOCK, before = 2, R.QUERY_BLOCK
+    R.BLOCK, before = 7, R.BLOCK
     try:
         assert sorted(map(tuple, R.nearest(queries, df, 4).collect())) == sorted((q, j, s, k) for q, v in got.items() for k, j, s in v)
     finally:
-        R.QUERY_BLOCK = before
+        R.BLOCK = before
 
 
 def test_keyword_falls_back_to_trigrams(spark):
