@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,7 +12,8 @@ from recordloom.config import EXAM
 from recordloom.operators import conflicts as CF
 from recordloom.operators import features as FT
 from recordloom.operators import scoring as SC
-from recordloom.operators.dedup import settled
+from recordloom.operators.dedup import components
+from recordloom.operators.steps import settled
 
 
 def alignment_text(stem, answer, most: int = 1200):
@@ -40,28 +44,56 @@ def rerank(similar: DataFrame, left: DataFrame, right: DataFrame, k: int = 20) -
     return out.select("l", "r", "similarity", "final_score", F.row_number().over(order).alias("rank"))
 
 
-def greedy_assignment(edges: DataFrame, left: str, right: str, score: str, max_rounds: int = 200) -> DataFrame:
+#: Edges of a component that one task may take one by one, and rounds between looks at components.
+LOCAL_EDGES, ROUNDS = 200_000, 4
+
+
+def _one_by_one(left: str, right: str, score: str):
+    """The sequential greedy on one component."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values([score, left, right], ascending=False)
+        used_left, used_right, kept = set(), set(), []
+        for i, (a, b) in enumerate(zip(pdf[left], pdf[right])):
+            if a not in used_left and b not in used_right:
+                used_left.add(a)
+                used_right.add(b)
+                kept.append(i)
+        return pdf.iloc[kept][[left, right, score]]
+
+    return run
+
+
+def greedy_assignment(edges: DataFrame, left: str, right: str, score: str) -> DataFrame:
     """One-to-one pairs as taken one by one from the highest score down, ties to the larger ids (AL3).
 
-    Each round takes all edges that are the best of both their ends: under a
-    strict total order that is what the sequential greedy takes, and the
-    highest edge left is always among them. Rounds are written, so none is
-    computed twice.
+    A round takes all edges that are the best of both their ends: under a strict
+    total order that is what the sequential greedy takes, and the highest edge
+    left is always among them. After a few rounds, components of edges that
+    have become small are finished one by one, each in a task; long chains of
+    ever lower scores end there. Rounds go on until no edge is left, and each
+    is written, so none is computed twice.
     """
     current = settled(edges.select(left, right, score).filter(F.col(score).isNotNull()))
-    taken: DataFrame | None = None
+    taken = [current.limit(0)]
     value = F.struct(F.col(score), F.col(left), F.col(right))
-    for _ in range(max_rounds):
-        by_left = current.groupBy(left).agg(F.max(value).alias("best"))
-        by_right = current.groupBy(right).agg(F.max(value).alias("best"))
-        mutual = settled(by_left.select("best").join(by_right.select("best"), "best", "left_semi").select("best.*"))
-        if mutual.isEmpty():
-            break
-        taken = mutual if taken is None else taken.unionByName(mutual)
-        current = settled(current.join(mutual.select(left), left, "left_anti").join(mutual.select(right), right, "left_anti"))
-    else:
-        raise RuntimeError(f"assignment did not end in {max_rounds} rounds")
-    return current.limit(0).select(left, right, score) if taken is None else taken.select(left, right, score)
+    turn = 0
+    while not current.isEmpty():
+        turn += 1
+        if turn % ROUNDS:
+            by_left = current.groupBy(left).agg(F.max(value).alias("best"))
+            by_right = current.groupBy(right).agg(F.max(value).alias("best"))
+            mutual = settled(by_left.select("best").join(by_right.select("best"), "best", "left_semi").select("best.*").select(left, right, score))
+            current = settled(current.join(mutual.select(left), left, "left_anti").join(mutual.select(right), right, "left_anti"))
+        else:
+            named = current.select("*", F.concat(F.lit("l"), F.col(left).cast("string")).alias("_a"), F.concat(F.lit("r"), F.col(right).cast("string")).alias("_b"))
+            parts = components(named, "_a", "_b").select(F.col("id").alias("_a"), F.col("component").alias("_part"))
+            named = settled(named.join(parts, "_a").select(left, right, score, "_part"))
+            sizes = named.groupBy("_part").count().filter(F.col("count") <= LOCAL_EDGES).select("_part")
+            mutual = settled(named.join(sizes, "_part", "left_semi").groupBy("_part").applyInPandas(_one_by_one(left, right, score), current.schema))
+            current = settled(named.join(sizes, "_part", "left_anti").select(left, right, score))
+        taken.append(mutual)
+    return reduce(DataFrame.unionByName, taken)
 
 
 def top_rates(ranks: DataFrame, rank: str = "rank", at: tuple[int, ...] = (1, 3, 10)) -> DataFrame:
