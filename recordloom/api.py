@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from recordloom.config import SYNONYMS
 from recordloom.functions import vectors as V
 from recordloom.operators import evaluate, extract, matching, retrieval, store
-from recordloom.operators.dedup import settled
+from recordloom.operators.steps import settled
 from recordloom.schema import ATTRIBUTE, DECISIONS, LOCATION
 
 RECORDS = (
@@ -115,9 +115,14 @@ class Engine:
 
     # ---- matching
 
+    def _vectors(self, records: DataFrame) -> DataFrame:
+        """The active text vectors of the model in use (VEC9)."""
+        mine = (F.col("status") == "ACTIVE") & (F.col("model") == self.model) & (F.col("kind") == "TEXT")
+        return self.table("vectors").filter(mine).join(records.select("id"), "id", "left_semi")
+
     def _search(self, queries: DataFrame, target: str, vectors: DataFrame) -> DataFrame:
         pool = retrieval.base_pool(self.table("records"), target, None)
-        own = self.table("vectors").filter((F.col("status") == "ACTIVE") & (F.col("model") == self.model)).join(pool.select("id"), "id", "left_semi")
+        own = self._vectors(pool)
         return retrieval.hybrid(queries, pool, own, vectors)
 
     def search(self, texts: DataFrame, target: str = "FOUND", top_k: int = 10, include_low: bool = False) -> DataFrame:
@@ -138,7 +143,7 @@ class Engine:
         for kind, target in (("LOST", "FOUND"), ("FOUND", "LOST")):
             mine = records.join(ids, "id", "left_semi").filter(F.col("record_type") == kind)
             queries = mine.select(F.col("id").alias("query_id"), "category", F.col("normalized_text").alias("query_text"))
-            vectors = self.table("vectors").join(mine.select("id"), "id", "left_semi").select(F.col("id").alias("query_id"), "embedding")
+            vectors = self._vectors(mine).select(F.col("id").alias("query_id"), "embedding")
             part = matching.run_matching(settled(self._search(queries, target, vectors)), records)
             lost, found = ("query_id", "id") if kind == "LOST" else ("id", "query_id")
             part = part.withColumns({"lost_id": F.col(lost), "found_id": F.col(found)})

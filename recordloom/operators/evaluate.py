@@ -33,6 +33,11 @@ def compare(runs: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+def confusions(rows: DataFrame, actual: str, taken: str) -> DataFrame:
+    """How often one kind is taken for another (EV3)."""
+    return rows.filter(F.col(actual) != F.col(taken)).groupBy(actual, taken).agg(F.count("*").alias("n"))
+
+
 def share(hits: Column, of: Column) -> Column:
     """A ratio of two conditional counts to four digits; null without any cases."""
     return F.round(F.try_divide(F.count_if(hits).cast("double"), F.count_if(of).cast("double")), 4)

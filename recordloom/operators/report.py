@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 
+from recordloom.operators.steps import shared_folder
+
 #: Rows that a Markdown table shows, and pairs in a JSON report.
 MARKDOWN_ROWS, JSON_PAIRS = 200, 400
 
@@ -21,5 +25,12 @@ def json_report(table: DataFrame, path: str, rows: int | None = JSON_PAIRS) -> N
     (table if rows is None else table.limit(rows)).write.mode("overwrite").json(path)
 
 
+def written(table: DataFrame, name: str) -> str:
+    """The table as JSON lines in the shared folder; returns where."""
+    path = f"{shared_folder(table.sparkSession)}/report-{name}-{uuid.uuid4().hex}"
+    json_report(table, path, None)
+    return path
+
+
 def csv_report(table: DataFrame, path: str) -> None:
     table.write.mode("overwrite").option("header", True).csv(path)

@@ -22,16 +22,27 @@ def insert_records(records: DataFrame, new: DataFrame) -> DataFrame:
 
 def changed(new: DataFrame, old: DataFrame, keys: list[str], digest: str = "content_hash") -> DataFrame:
     """The rows of ``new`` whose content is not in ``old`` under the same key (SNK2): only these need work."""
-    seen = old.select(*keys, F.col(digest).alias("_old"))
-    return new.join(seen, keys, "left").filter(F.col("_old").isNull() | (F.col("_old") != F.col(digest))).drop("_old")
+    return new.join(old.select(*keys, digest).distinct(), [*keys, digest], "left_anti").select(*new.columns)
 
 
-def upsert(old: DataFrame, new: DataFrame, keys: list[str], keep: list[str] | None = None) -> DataFrame:
-    """New rows replace old ones with their key; ``keep`` columns hold on to old values (SNK2, SNK3)."""
+def latest(rows: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
+    """One row a key: the one with the highest ``order``, and of equals the one whose values come last."""
+    rest = [c for c in rows.columns if c not in keys]
+    text = F.to_json(F.struct(*rest))
+    rank = F.struct(F.col(order).alias("o"), text.alias("t")) if order else text
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), rank).alias("_row")).select(*[F.col(c) if c in keys else F.col("_row")[c].alias(c) for c in rows.columns])
+
+
+def upsert(old: DataFrame, new: DataFrame, keys: list[str], keep: list[str] | None = None, order: str | None = None) -> DataFrame:
+    """New rows replace old ones with their key; ``keep`` columns hold on to old values (SNK2, SNK3).
+
+    Of new rows that repeat a key the latest by ``order`` counts.
+    """
     kept = keep or []
-    left = old.join(new.select(*keys).distinct(), keys, "left_anti")
-    before = old.select(*keys, *[F.col(c).alias(f"_{c}") for c in kept])
-    merged = new.join(before, keys, "left")
+    new = latest(new, keys, order)
+    left = old.join(new.select(*keys), keys, "left_anti")
+    before = latest(old.select(*keys, *kept), keys).select(*keys, *[F.col(c).alias(f"_{c}") for c in kept]) if kept else None
+    merged = new if before is None else new.join(before, keys, "left")
     for c in kept:
         merged = merged.withColumn(c, F.coalesce(f"_{c}", c))
     return left.unionByName(merged.select(*old.columns))

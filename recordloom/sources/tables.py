@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordloom.functions.dictionary import alias_table
+from recordloom.operators.steps import settled
 
-#: Bytes of an uploaded image at most, and the kinds taken (SRC20).
-IMAGE_BYTES, IMAGE_KINDS = 8 << 20, ("jpg", "jpeg", "png", "webp")
+#: Bytes of an uploaded image at most (SRC20).
+IMAGE_BYTES = 8 << 20
 
 
 def parquet(spark: SparkSession, folder: str, name: str, schema=None) -> DataFrame:
@@ -18,22 +19,25 @@ def parquet(spark: SparkSession, folder: str, name: str, schema=None) -> DataFra
     return reader.parquet(f"{folder}/{name}.parquet")
 
 
-def ancestors(tree: DataFrame, key: str = "id", parent: str = "parent_id", max_depth: int = 32) -> DataFrame:
+def ancestors(tree: DataFrame, key: str = "id", parent: str = "parent_id") -> DataFrame:
     """(id, ancestors nearest first, depth) of every node of a forest (SRC3, JN4).
 
-    One join a level of the tree, on keys; a cycle ends at ``max_depth``.
+    One join a level of the tree, on keys; each level is written. A cycle raises.
     """
-    nodes = tree.select(F.col(key).alias("id"), F.col(parent).alias("parent"))
+    nodes = settled(tree.select(F.col(key).alias("id"), F.col(parent).alias("parent")))
     up = nodes.select(F.col("id").alias("parent"), F.col("parent").alias("next"))
     done = nodes.filter("parent IS NULL").select("id", F.array().cast(f"array<{dict(nodes.dtypes)['id']}>").alias("ancestors"))
     open_ = nodes.filter("parent IS NOT NULL").select("id", F.array("parent").alias("ancestors"), "parent")
-    for _ in range(max_depth):
-        step = open_.join(up, "parent", "left")
+    while True:
+        step = settled(open_.join(up, "parent", "left"))
         done = done.unionByName(step.filter("next IS NULL").select("id", "ancestors"))
-        open_ = step.filter("next IS NOT NULL").select("id", F.concat("ancestors", F.array("next")).alias("ancestors"), F.col("next").alias("parent"))
-        if open_.isEmpty():
-            break
-    return done.withColumn("depth", F.size("ancestors"))
+        open_ = step.filter("next IS NOT NULL")
+        left = open_.agg(F.count("*").alias("n"), F.count_if(F.array_contains("ancestors", F.col("next"))).alias("round")).first()
+        if left["round"]:
+            raise ValueError(f"{left['round']} nodes are on or below a cycle")
+        if not left.n:
+            return done.withColumn("depth", F.size("ancestors"))
+        open_ = open_.select("id", F.concat("ancestors", F.array("next")).alias("ancestors"), F.col("next").alias("parent"))
 
 
 def bundles(records: DataFrame, attributes: DataFrame, locations: DataFrame, reports: DataFrame) -> DataFrame:
@@ -76,8 +80,14 @@ def synonyms(spark: SparkSession, sections: Mapping[str, Mapping[str, tuple[str,
     return out
 
 
+def image_kind(content: Column) -> Column:
+    """The kind of an image from its first bytes; null for anything else."""
+    head = F.hex(F.substring(content, 1, 12))
+    return F.when(head.startswith("89504E470D0A1A0A"), "png").when(head.startswith("FFD8FF"), "jpg").when(head.startswith("52494646") & head.endswith("57454250"), "webp")
+
+
 def images(spark: SparkSession, folder: str, most: int = IMAGE_BYTES) -> DataFrame:
-    """Images of the allowed kinds and size, named by the hash of their bytes (SRC20)."""
+    """Images of the allowed kinds and size, named by the hash of their bytes (SRC20). What a file is called does not count."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    kind = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
-    return files.filter(kind.isin(*IMAGE_KINDS) & (F.col("length") <= most)).select(F.concat(F.sha2("content", 256), F.lit("."), kind).alias("name"), "path", "length", "content")
+    found = files.filter(F.col("length") <= most).withColumn("kind", image_kind(F.col("content"))).filter("kind IS NOT NULL")
+    return found.select(F.concat(F.sha2("content", 256), F.lit("."), "kind").alias("name"), "path", "length", "content")

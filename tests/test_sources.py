@@ -70,10 +70,12 @@ def test_tables(spark, tmp_path):
     old = spark.createDataFrame([("a", 1)], "code string, n int")
     assert sorted(map(tuple, S.seeded(old, spark.createDataFrame([("a", 2), ("b", 3)], "code string, n int"), "code").collect())) == [("a", 1), ("b", 3)]
     (tmp_path / "i").mkdir()
-    (tmp_path / "i/a.png").write_bytes(b"x")
-    (tmp_path / "i/b.png").write_bytes(b"xx")
-    (tmp_path / "i/c.txt").write_bytes(b"x")
-    assert [r.length for r in S.images(spark, str(tmp_path / "i"), 1).collect()] == [1]
+    png = b"\x89PNG\r\n\x1a\n"
+    (tmp_path / "i/a.png").write_bytes(png)
+    (tmp_path / "i/b.png").write_bytes(png + b"x")
+    (tmp_path / "i/c.png").write_bytes(b"x")
+    (tmp_path / "i/d.txt").write_bytes(b"\xff\xd8\xff")
+    assert sorted((r.length, r.name[-4:]) for r in S.images(spark, str(tmp_path / "i"), 8).collect()) == [(3, ".jpg"), (8, ".png")]
 
 
 def test_bundles(spark):
