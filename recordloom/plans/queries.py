@@ -7,14 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from recordloom.config import LOST_FOUND, TAU
+from recordloom.config import LOST_FOUND
 from recordloom.functions import dictionary as D
 from recordloom.functions import text as T
 from recordloom.functions import vectors as V
 from recordloom.functions.geo import haversine
-from recordloom.operators import assign, conflicts, coverage, dedup, evaluate, retrieval, scoring, store
+from recordloom.operators import conflicts, coverage, dedup, evaluate, retrieval, scoring, store
 from recordloom.operators import features as FT
 from recordloom.operators.matching import tightened, verdict, verify_secret
+from recordloom.operators.steps import settled
 from recordloom.sources.tables import ancestors, parquet
 from recordloom.streaming.incremental import windowed_counts
 
@@ -207,7 +208,8 @@ SELECT query_id, CAST(id AS VARCHAR) AS id, score FROM r QUALIFY row_number() OV
 def full_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """RET2: documents that hold every term of a query, the best 500."""
     docs = parquet(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), "text")
-    return retrieval.full_text(phrase_queries(spark, PHRASES), retrieval.postings(docs, "text")).select("query_id", "id", "score")
+    asked = phrase_queries(spark, PHRASES)
+    return retrieval.full_text(asked, retrieval.postings(docs, "text", retrieval.query_terms(asked))).select("query_id", "id", "score")
 
 
 @query(f"""
@@ -220,7 +222,9 @@ SELECT query_id, id, score FROM r QUALIFY row_number() OVER (PARTITION BY query_
 def bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     """RET2 with BM25: the best 100 documents by any shared term."""
     docs = parquet(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), "text")
-    return retrieval.bm25(phrase_queries(spark, PHRASES), retrieval.postings(docs, "text"), 100).select("query_id", "id", "score")
+    asked = phrase_queries(spark, PHRASES)
+    index = settled(retrieval.postings(docs, "text", retrieval.query_terms(asked)))
+    return retrieval.bm25(asked, index, 100, totals=retrieval.corpus_totals(docs, "text")).select("query_id", "id", "score")
 
 
 def gram_sql(x: str) -> str:
@@ -259,28 +263,28 @@ def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
 WITH {NEAREST_SQL},
-c AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY id DESC) AS rank FROM s WHERE l1 = l2),
+c AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY id % 83 DESC, id) AS rank FROM s WHERE l1 = l2),
 u AS (SELECT query_id, id, rank FROM r WHERE rank <= 100 UNION ALL SELECT query_id, id, rank FROM c WHERE rank <= 100),
 f AS (SELECT query_id, id, round(sum(1.0 / (60 + rank)), 9) AS rrf_score, count(*) AS sources FROM u GROUP BY ALL)
 SELECT query_id, id, rrf_score, sources, row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, id)::INT AS rank FROM f
 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, id) <= 50""")
 def hybrid_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """RET1, RET5, RET6: a vector channel and a structured channel by reciprocal ranks, the best 50."""
+    """RET1, RET4, RET5: a vector channel and a structured channel by reciprocal ranks, the best 50."""
     q, e = vector_queries(spark, sf_dir)
-    same = q.select("query_id", "label").join(e.select("id", "label"), "label").filter("id <> query_id")
-    channels = {"vector": retrieval.nearest(q, e, 100), "structured": retrieval.top(same, ["query_id"], [F.col("id").desc()], 100)}
+    records = e.select("id", F.col("label").alias("category"), F.timestamp_seconds(F.col("id") % 83).alias("created_at"))
+    channels = {"vector": retrieval.nearest(q, e, 100), "structured": retrieval.structured(q.withColumnRenamed("label", "category"), records, 100)}
     return retrieval.fuse(channels, limit=50).select("query_id", "id", "rrf_score", F.size("sources").cast("long").alias("sources"), "rank")
 
 
 @query(f"""
 WITH {NEAREST_SQL},
-t AS (SELECT query_id, min(rank) FILTER (WHERE l1 = l2) AS rank FROM r WHERE rank <= 10 GROUP BY query_id)
+t AS (SELECT query_id, min(rank) FILTER (WHERE l1 = l2) AS rank FROM r WHERE rank <= 100 GROUP BY query_id)
 SELECT count(*) AS n, round(avg(CASE WHEN rank <= 1 THEN 1.0 ELSE 0.0 END), 4) AS recall_1, round(avg(CASE WHEN rank <= 3 THEN 1.0 ELSE 0.0 END), 4) AS recall_3,
 round(avg(CASE WHEN rank <= 10 THEN 1.0 ELSE 0.0 END), 4) AS recall_10, round(avg(coalesce(1.0 / rank, 0)), 5) AS mrr, count(*) FILTER (WHERE rank IS NULL OR rank > 100) AS outside FROM t""")
 def recall_mrr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """EV1, EV2: where the first neighbour with the query's label stands."""
+    """EV1: where the first neighbour with the query's label stands, to rank 100, beyond which it counts as outside."""
     q, e = vector_queries(spark, sf_dir)
-    found = retrieval.nearest(q, e, 10).join(e.select("id", F.col("label").alias("l2")), "id").join(q.select("query_id", "label"), "query_id")
+    found = retrieval.nearest(q, e, 100).join(e.select("id", F.col("label").alias("l2")), "id").join(q.select("query_id", "label"), "query_id")
     ranks = found.groupBy("query_id").agg(F.min(F.when(F.col("label") == F.col("l2"), F.col("rank"))).alias("rank"))
     return evaluate.ranking(ranks)
 
@@ -314,8 +318,9 @@ def haversine_decay(spark: SparkSession, sf_dir: str) -> DataFrame:
     place = lambda k: ((F.lit(35.0) + F.pmod(k, F.lit(100)) * 0.001).alias("lat"), (F.lit(139.0) + F.pmod(k, F.lit(77)) * 0.001).alias("lon"))
     s = parquet(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("nk"), F.struct(*place(F.col("s_suppkey"))).alias("s"))
     c = parquet(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("nk"), F.struct(*place(F.col("c_custkey"))).alias("c"))
-    m = c.join(s, "nk").select("c_custkey", haversine(F.col("c.lat"), F.col("c.lon"), F.col("s.lat"), F.col("s.lon")).alias("m"))
-    return m.groupBy("c_custkey").agg(F.round(F.max(100 * F.exp(-F.col("m") / TAU["location_tau_m"])), 4).alias("score"), F.round(F.min("m"), 2).alias("metres"))
+    side = lambda x: F.struct(F.lit(None).cast("bigint").alias("id"), F.lit("").alias("name"), F.lit(None).cast("array<bigint>").alias("ancestors"), F.col(f"{x}.lat").alias("lat"), F.col(f"{x}.lon").alias("lon"))
+    m = c.join(s, "nk").select("c_custkey", FT.location(side("c"), side("s"))["score"].alias("score"), haversine(F.col("c.lat"), F.col("c.lon"), F.col("s.lat"), F.col("s.lon")).alias("m"))
+    return m.groupBy("c_custkey").agg(F.max("score").alias("score"), F.round(F.min("m"), 2).alias("metres"))
 
 
 @query("""
@@ -445,15 +450,19 @@ def rule_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT s_suppkey, contains(lower(s_name), lower(left(s_name, 9))) AND contains(n_name, right(n_name, 1)) AS verified, contains('nation x', lower(n_name)) AS wrong
+SELECT s_suppkey, s_suppkey % 3 > 0 AND n_nationkey % 2 = 0 AS verified, s_suppkey % 4 > 0 AND n_nationkey < 10 AS partly
 FROM supplier JOIN nation ON s_nationkey = n_nationkey""")
 def verify_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """RK9: answers that hold or are held by each secret."""
     r = parquet(spark, sf_dir, "supplier").join(parquet(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
     secrets = F.create_map(F.lit("name"), F.col("s_name"), F.lit("nation"), F.col("n_name"))
-    right = F.create_map(F.lit("name"), F.substring("s_name", 1, 9), F.lit("nation"), F.substring("n_name", -1, 1))
-    wrong = F.create_map(F.lit("name"), F.col("s_name"), F.lit("nation"), F.lit("nation x"))
-    return r.select("s_suppkey", verify_secret(right, secrets).alias("verified"), verify_secret(wrong, secrets).alias("wrong"))
+    named = F.when(F.col("s_suppkey") % 3 > 0, F.substring("s_name", 1, 9)).otherwise("nobody")
+    right = F.create_map(F.lit("name"), named, F.lit("nation"), F.when(F.col("n_nationkey") % 2 == 0, F.concat(F.lit("it is "), "n_name")).otherwise(" "))
+    # A digit stands in the names of the first ten alone at the end.
+    partly = F.create_map(F.lit("nation"), F.concat(F.lit("NATION_"), F.substring("n_name", 8, 1), F.lit("."))), F.create_map(F.lit("nation"), F.col("n_name"))
+    some = F.when(F.col("s_suppkey") % 4 > 0, partly[0]).otherwise(F.create_map(F.lit("other"), F.lit("x")))
+    short = F.when(F.length("n_name") < 9, F.col("n_name")).otherwise("elsewhere")
+    return r.select("s_suppkey", verify_secret(right, secrets).alias("verified"), verify_secret(some, F.create_map(F.lit("nation"), short)).alias("partly"))
 
 
 # ---- dedup, assignment, coverage -----------------------------------------------------------
@@ -500,14 +509,6 @@ def components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.components(edges)
 
 
-@query()
-def greedy_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AL3: suppliers and customers of a nation one to one, by the nearest balance."""
-    s, c = parquet(spark, sf_dir, "supplier"), parquet(spark, sf_dir, "customer")
-    edges = s.join(c, s.s_nationkey == c.c_nationkey).select("s_suppkey", "c_custkey", (-F.abs(F.col("s_acctbal") - F.col("c_acctbal"))).alias("score"))
-    return assign.greedy_assignment(edges, "s_suppkey", "c_custkey", "score")
-
-
 def covering(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Part names as syllabus items under their noun, and the orders that hold them."""
     p = parquet(spark, sf_dir, "part")
@@ -534,13 +535,6 @@ def coverage_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coverage.by_domain(coverage.coverage(*covering(spark, sf_dir)))
 
 
-@query()
-def greedy_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """CV2: few customers whose orders hold every part type and size."""
-    rows = parquet(spark, sf_dir, "lineitem").select("l_suppkey", F.col("l_partkey").alias("p_partkey")).join(parquet(spark, sf_dir, "part").select("p_partkey", F.concat_ws("/", "p_brand", "p_type").alias("kb")), "p_partkey").select(F.col("l_suppkey").alias("qid"), "kb")
-    return coverage.greedy_cover(rows, rows.select("kb").distinct())
-
-
 # ---- stores, metrics, streams --------------------------------------------------------------
 
 
@@ -561,10 +555,15 @@ def upserted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.upsert(o.filter("status <> 'P'"), o.filter("status <> 'F'").withColumns({"price": F.col("price") * 2, "status": F.lit("NEW")}), ["id"], ["status"])
 
 
-@query("SELECT user_id, arg_max(event_type, ts) AS latest, strftime(max(ts), '%Y-%m-%d') AS day, count(*) AS n FROM events GROUP BY user_id")
+@query("""
+WITH d AS (SELECT user_id, CASE event_type WHEN 'purchase' THEN 'CONFIRMED' WHEN 'error' THEN 'REJECTED' WHEN 'view' THEN 'DEFERRED' END AS decision, ts FROM events)
+SELECT user_id, coalesce((SELECT arg_max(decision, ts) FROM d WHERE d.user_id = u.user_id AND decision IS NOT NULL), 'NEW') AS latest FROM (SELECT DISTINCT user_id FROM events) u""")
 def latest_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SNK8: the latest of a subject's events."""
-    return parquet(spark, sf_dir, "events").groupBy("user_id").agg(F.max_by("event_type", "ts").alias("latest"), F.date_format(F.max("ts"), "yyyy-MM-dd").alias("day"), F.count("*").alias("n"))
+    """SNK8: a subject's status is its latest valid decision."""
+    e = parquet(spark, sf_dir, "events").select("user_id", F.lit("x").alias("found_id"), "event_type", F.col("ts").alias("decided_at")).withColumn("lost_id", F.col("user_id").cast("string"))
+    decision = F.when(F.col("event_type") == "purchase", "CONFIRMED").when(F.col("event_type") == "error", "REJECTED").when(F.col("event_type") == "view", "DEFERRED").otherwise("seen")
+    subjects = e.select("user_id", "lost_id", "found_id").distinct().withColumn("status", F.lit("NEW"))
+    return store.decide(subjects, e.select("lost_id", "found_id", decision.alias("decision"), "decided_at")).select("user_id", F.col("status").alias("latest"))
 
 
 DECISION_SQL = "d AS (SELECT doc_id, CASE WHEN toxic = 1 THEN 'REJECTED' WHEN quality = 1 THEN 'CONFIRMED' ELSE 'DEFERRED' END AS decision, CASE WHEN n_chars > 3000 THEN 'HIGH' WHEN n_chars > 1000 THEN 'MEDIUM' ELSE 'LOW' END AS level, least(100.0, n_chars / 40.0) AS final_score, source FROM labels JOIN documents USING (doc_id))"

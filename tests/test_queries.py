@@ -6,6 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
+from recordloom.plans import pairs, records, understanding  # noqa: F401  (each registers its queries)
 from recordloom.plans.queries import ORACLES, QUERIES
 from tests.conftest import DATA
 
