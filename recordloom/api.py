@@ -1,8 +1,10 @@
 """The service surface as a library: what an application does with records, as calls on tables in a folder.
 
-Each table is Parquet under ``root``; a write makes the table's next state from
-its last one and the new rows (``operators.store``) in a new version folder,
-and then names that version current.
+Each table is Parquet under ``root``. Where rows change, a write makes the
+table's next state from its last one and the new rows (``operators.store``) in a
+new version folder, and then names that version current. Where rows are only
+added, they go to a folder of their own beside the current ones; many small
+folders are written together once in a while. One writer at a time.
 """
 
 from __future__ import annotations
@@ -35,6 +37,9 @@ TABLES = {
     "runs": "run_id string, trigger string, config string, at timestamp",
 }
 
+#: Folders that a table may have before they are written as one.
+FOLDERS = 64
+
 
 class Engine:
     """Records, matches and decisions under one folder, with one embedding model."""
@@ -55,15 +60,23 @@ class Engine:
         path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}/CURRENT")
         if not self._fs().exists(path):
             return self.spark.createDataFrame([], TABLES[name])
-        version = self.spark.read.text(str(path)).first()[0]
-        return self.spark.read.schema(TABLES[name]).parquet(f"{self.root}/{name}/{version}")
+        return self.spark.read.schema(TABLES[name]).parquet(*[f"{self.root}/{name}/{v}" for v in self._versions(name)])
+
+    def _versions(self, name: str) -> list[str]:
+        """The folders that hold the table now."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}/CURRENT")
+        return [r.value for r in self.spark.read.text(str(path)).collect()] if self._fs().exists(path) else []
 
-    def _write(self, name: str, rows: DataFrame) -> None:
+    def _write(self, name: str, rows: DataFrame, beside: bool = False) -> None:
+        """The table's next state, or with ``beside`` rows that are added to it."""
+        before = self._versions(name) if beside else []
+        if len(before) >= FOLDERS:
+            rows, before = self.table(name).unionByName(rows.select(*self._columns(name))), []
         version = uuid.uuid4().hex
-        rows.select(*[c.split()[0] for c in self._columns(name)]).write.parquet(f"{self.root}/{name}/{version}")
+        rows.select(*self._columns(name)).write.parquet(f"{self.root}/{name}/{version}")
         jvm = self.spark.sparkContext._jvm
         out = self._fs().create(jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}/CURRENT"), True)
-        out.write(bytearray(version.encode()))
+        out.write(bytearray("\n".join([*before, version]).encode()))
         out.close()
 
     def _columns(self, name: str) -> list[str]:
@@ -154,7 +167,7 @@ class Engine:
         parts = rows.select(*keys, F.explode("evidence").alias("e")).select(*keys, "e.*")
         self._write("evidence", store.replace_by(self.table("evidence"), parts, keys))
         run = self.spark.createDataFrame([(uuid.uuid4().hex, trigger, json.dumps({"model": self.model}))], "run_id string, trigger string, config string").withColumn("at", F.current_timestamp())
-        self._write("runs", self.table("runs").unionByName(run))
+        self._write("runs", run, beside=True)
         return self.table("candidates")
 
     def matches(self, ids: DataFrame, least: float = 50.0, limit: int = 20) -> DataFrame:
@@ -171,14 +184,14 @@ class Engine:
         if not wrong.isEmpty():
             raise ValueError(f"a decision is one of {', '.join(DECISIONS)}")
         rows = rows.withColumn("decided_at", F.current_timestamp()).withColumn("note", F.col("note") if "note" in rows.columns else F.lit(None).cast("string"))
-        self._write("decisions", self.table("decisions").unionByName(rows.select(*self._columns("decisions"))))
+        self._write("decisions", rows, beside=True)
         self._write("candidates", store.decide(self.table("candidates"), self.table("decisions")).select(*self._columns("candidates")))
         self._write("records", store.record_status(self.table("records"), self.table("candidates"), self.table("returns")))
         return self.table("candidates")
 
     def give_back(self, rows: DataFrame) -> None:
         """Both records of each pair are returned."""
-        self._write("returns", self.table("returns").unionByName(rows.select("lost_id", "found_id").withColumn("returned_at", F.current_timestamp())))
+        self._write("returns", rows.select("lost_id", "found_id").withColumn("returned_at", F.current_timestamp()), beside=True)
         self._write("records", store.record_status(self.table("records"), self.table("candidates"), self.table("returns")))
 
     def secret_questions(self, ids: DataFrame) -> DataFrame:

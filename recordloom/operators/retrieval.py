@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recordloom.config import FUNNEL
-from recordloom.functions.text import norm_text
+from recordloom.functions.text import let, norm_text
 from recordloom.operators.steps import settled, small
 
 #: Vectors of a block.
@@ -66,7 +66,7 @@ def corpus_totals(records: DataFrame, text: str = "normalized_text") -> DataFram
 
 
 def full_text(queries: DataFrame, index: DataFrame, limit: int = FUNNEL["keyword"], text: str = "query_text") -> DataFrame:
-    """(query_id, id, score, rank): records that hold every term of the query (RET2).
+    """(query_id, id, score, rank): records that hold every term of the query, by a sum over term counts (beside RET2).
 
     The score is the sum of 1 + ln(tf) over the terms by 1 + ln(length).
     """
@@ -77,6 +77,48 @@ def full_text(queries: DataFrame, index: DataFrame, limit: int = FUNNEL["keyword
     return top(hits, ["query_id"], [F.col("score").desc(), F.col("id")], limit)
 
 
+def occurrences(records: DataFrame, text: str = "normalized_text", terms: DataFrame | None = None) -> DataFrame:
+    """(term, id, places): where each word stands in each record, from 1; with ``terms`` only of these words."""
+    dealt = records.select("id", F.posexplode(words(F.col(text))).alias("place", "term"))
+    if terms is not None:
+        dealt = dealt.join(small(terms.select("term").distinct()), "term", "left_semi")
+    return dealt.groupBy("term", "id").agg(F.array_sort(F.collect_list(F.col("place") + 1)).alias("places"))
+
+
+#: What a cover without other words in it counts.
+COVER = 0.1
+
+
+def cover_density(queries: DataFrame, index: DataFrame, limit: int = FUNNEL["keyword"], text: str = "query_text") -> DataFrame:
+    """(query_id, id, score, rank): records that hold every term of the query, by cover density (RET2).
+
+    A cover is a shortest stretch of words with every term. Each counts
+    ``COVER`` over one plus the number of other words in it, so terms that
+    stand together, and often, rank high. One pass over the places of a
+    record's terms finds all covers: a stretch that ends at a place begins at
+    the earliest of the terms' last places, and is a cover if that has moved.
+    """
+    asked = queries.select("query_id", F.array_distinct(words(F.col(text))).alias("t"))
+    terms = asked.select("query_id", F.size("t").alias("wanted"), F.posexplode("t").alias("n", "term"))
+    found = terms.join(index, "term").filter("id <> query_id").select("query_id", "id", "wanted", F.transform("places", lambda p: F.struct(p.alias("p"), F.col("n").alias("n"))).alias("e"))
+    hits = found.groupBy("query_id", "id").agg(F.count("*").alias("have"), F.first("wanted").alias("wanted"), F.array_sort(F.flatten(F.collect_list("e"))).alias("e")).filter("have = wanted")
+    state = F.struct(F.array_repeat(F.lit(-1), F.col("wanted")).alias("last"), F.lit(-1).alias("begin"), F.lit(-1).alias("i"), F.lit(0.0).alias("score"))
+
+    def step(s: Column, x: Column) -> Column:
+        i = s["i"] + 1
+        last = F.transform(s["last"], lambda v, k: F.when(k == x["n"], i).otherwise(v))
+
+        def moved(z: Column) -> Column:
+            fresh = z["b"] > s["begin"]
+            others = x["p"] - F.get(F.col("e"), z["b"])["p"] - (i - z["b"])
+            return F.struct(z["last"].alias("last"), F.greatest(z["b"], s["begin"]).alias("begin"), i.alias("i"), (s["score"] + F.when(fresh, COVER / (1 + others)).otherwise(0.0)).alias("score"))
+
+        return let(last, lambda w: let(F.struct(w.alias("last"), F.array_min(w).alias("b")), moved))
+
+    scored = hits.select("query_id", "id", F.round(F.aggregate("e", state, step)["score"], 6).alias("score"))
+    return top(scored, ["query_id"], [F.col("score").desc(), F.col("id")], limit)
+
+
 def bm25(queries: DataFrame, index: DataFrame, limit: int = FUNNEL["keyword"], k1: float = 1.2, b: float = 0.75, text: str = "query_text", totals: DataFrame | None = None) -> DataFrame:
     """(query_id, id, score, rank) by BM25 over any shared term.
 
@@ -112,8 +154,8 @@ def trigram(queries: DataFrame, records: DataFrame, least: float = 0.05, limit:
 
 
 def keyword(queries: DataFrame, records: DataFrame, limit: int = FUNNEL["keyword"]) -> DataFrame:
-    """Full text, and trigrams for just those queries that full text finds nothing for (RET2, RET3)."""
-    exact = settled(full_text(queries, postings(records, terms=query_terms(queries)), limit))
+    """Full text by cover density, and trigrams for just those queries that it finds nothing for (RET2, RET3)."""
+    exact = settled(cover_density(queries, occurrences(records, terms=query_terms(queries)), limit))
     rest = queries.join(exact.select("query_id").distinct(), "query_id", "left_anti")
     return exact.unionByName(trigram(rest, records, limit=limit))
 

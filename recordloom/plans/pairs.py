@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from recordloom.config import CATEGORY_WEIGHTS, DIMENSIONS, EXAM_WEIGHTS, LOST_FOUND, WEIGHTS
 from recordloom.operators import assign, conflicts, coverage, dedup, matching, scoring
 from recordloom.operators import features as FT
-from recordloom.operators.steps import settled
+from recordloom.operators.steps import settled, small
 from recordloom.plans.queries import PAIRS_SQL, TFIDF_SQL, chars, norm, overlap, part_pairs, query, words
 from recordloom.plans.records import ALIGNED_SQL
 from recordloom.schema import LOCATION
@@ -43,7 +43,7 @@ def open_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FT1: open candidates decide by overlap alone and never conflict; the dimension table is paired with itself."""
     n = parquet(spark, sf_dir, "nation")
     a, b = (n.select(F.col("n_nationkey").alias(x), F.col("n_name").alias(f"{x}_name"), F.col("n_regionkey").cast("string").alias(f"{x}_up")) for x in "ab")
-    both = a.join(F.broadcast(b), F.col("a") <= F.col("b"))
+    both = a.join(small(b), F.col("a") <= F.col("b"))
     f = FT.category(F.col("a_name"), F.col("b_name"), F.array("a_name", F.concat(F.lit("Nation_"), (F.col("a") + 1) % 25)), F.array("b_name"), F.col("a") % 2 == 1, F.col("a_up"), F.col("b_up"))
     return both.select("a", "b", *[f[c].alias(c) for c in ("score", "reliability", "conflict")])
 

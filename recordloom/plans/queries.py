@@ -15,7 +15,7 @@ from recordloom.functions.geo import haversine
 from recordloom.operators import conflicts, coverage, dedup, evaluate, retrieval, scoring, store
 from recordloom.operators import features as FT
 from recordloom.operators.matching import tightened, verdict, verify_secret
-from recordloom.operators.steps import settled
+from recordloom.operators.steps import settled, small
 from recordloom.sources.tables import ancestors, parquet
 from recordloom.streaming.incremental import windowed_counts
 
@@ -212,6 +212,25 @@ def full_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.full_text(asked, retrieval.postings(docs, "text", retrieval.query_terms(asked))).select("query_id", "id", "score")
 
 
+@query(f"""
+WITH q(query_id, query_text) AS ({values(PHRASES)}),
+l AS (SELECT doc_id AS id, list_filter(string_split({norm('text')}, ' '), lambda x: x <> '') AS l FROM documents),
+w AS (SELECT id, unnest(l) AS term, generate_subscripts(l, 1) AS pos FROM l),
+t AS (SELECT DISTINCT query_id, unnest(string_split(query_text, ' ')) AS term FROM q),
+n AS (SELECT query_id, count(*) AS wanted FROM t GROUP BY query_id),
+x AS (SELECT query_id, id, pos, term, row_number() OVER (PARTITION BY query_id, id ORDER BY pos) AS e FROM w JOIN t USING (term)),
+y AS (SELECT x.query_id, x.id, e, pos, max(CASE WHEN x.term = t.term THEN e END) OVER (PARTITION BY x.query_id, x.id, t.term ORDER BY e) AS last FROM x JOIN t ON t.query_id = x.query_id),
+z AS (SELECT query_id, id, e, any_value(pos) AS pos, min(last) AS b FROM y GROUP BY query_id, id, e HAVING count(last) = count(*)),
+c AS (SELECT *, lag(b) OVER (PARTITION BY query_id, id ORDER BY e) AS before FROM z),
+s AS (SELECT c.query_id, c.id, round(sum(0.1::DOUBLE / (1 + (c.pos - x.pos) - (c.e - b))), 6) AS score FROM c JOIN x ON x.query_id = c.query_id AND x.id = c.id AND x.e = b WHERE before IS NULL OR b > before GROUP BY ALL)
+SELECT query_id, CAST(id AS VARCHAR) AS id, score FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, CAST(id AS VARCHAR)) <= 500""")
+def cover_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RET2: documents that hold every term of a query, by how closely the terms stand together, the best 500."""
+    docs = parquet(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), "text")
+    asked = phrase_queries(spark, PHRASES)
+    return retrieval.cover_density(asked, retrieval.occurrences(docs, "text", retrieval.query_terms(asked))).select("query_id", "id", "score")
+
+
 @query(f"""
 WITH {INDEX_SQL},
 d AS (SELECT term, count(*) AS df FROM i GROUP BY term),
@@ -301,7 +320,7 @@ def zero_shot(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = e.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
     # One prototype a label.
     prototypes = parts.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda p: p["m"]).alias("p")).select(F.col("label").alias("code"), "p")
-    sims = e.select("vec_id", "embedding").crossJoin(F.broadcast(prototypes)).select("vec_id", "code", V.cosine(F.col("embedding"), F.col("p")).alias("sim"))
+    sims = e.select("vec_id", "embedding").crossJoin(small(prototypes)).select("vec_id", "code", V.cosine(F.col("embedding"), F.col("p")).alias("sim"))
     return V.zero_shot(sims, "vec_id", "code", "sim").withColumn("similarity", F.round("similarity", 6))
 
 
@@ -341,24 +360,25 @@ def category_relation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FT1: nations as categories under regions; the dimension table is paired with itself."""
     n = parquet(spark, sf_dir, "nation")
     a, b = (n.select(F.col("n_nationkey").alias(x), F.col("n_name").alias(f"{x}_name"), F.col("n_regionkey").cast("string").alias(f"{x}_up")) for x in "ab")
-    both = a.join(F.broadcast(b), F.col("a") <= F.col("b"))
+    both = a.join(small(b), F.col("a") <= F.col("b"))
     f = FT.category(F.col("a_name"), F.col("b_name"), lost_parent=F.col("a_up"), found_parent=F.col("b_up"))
     return both.select("a", "b", f["score"].alias("score"), f["conflict"].alias("conflict"))
 
 
 PAIRS_SQL = """
-p AS (SELECT p_partkey AS k, p_name, split_part(p_name, ' ', 1) AS tint, split_part(p_name, ' ', 2) AS noun, lower(p_brand) AS brand, lower(p_type) AS kind, p_size, p_retailprice AS price FROM part),
+p AS (SELECT p_partkey AS k, count(*) OVER (PARTITION BY p_name, p_size) AS block, p_name, split_part(p_name, ' ', 1) AS tint, split_part(p_name, ' ', 2) AS noun, lower(p_brand) AS brand, lower(p_type) AS kind, p_size, p_retailprice AS price FROM part),
 pairs AS (SELECT x.k AS a, y.k AS b, x.noun AS noun, x.brand AS b1, y.brand AS b2, x.kind AS t1, y.kind AS t2, x.p_size AS s1, y.p_size AS s2, x.tint AS c1, y.tint AS c2, least(x.price, y.price) / greatest(x.price, y.price) AS cos
-          FROM p x JOIN p y ON x.p_size = y.p_size AND x.noun = y.noun AND x.tint = y.tint AND x.k < y.k),
+          FROM p x JOIN p y ON x.p_size = y.p_size AND x.noun = y.noun AND x.tint = y.tint AND x.k < y.k AND x.block <= 120),
 sims AS (SELECT *, CASE WHEN b1 = b2 THEN 100.0 WHEN contains(b1, b2) OR contains(b2, b1) THEN 85.0 ELSE NULL END AS brand_exact FROM pairs)"""
 
 
 def part_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of parts with one name and size, as items that may be the same."""
+    """Pairs of parts with one name and size, as items that may be the same; blocks as large as DD3 takes them."""
     p = parquet(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size", F.lower("p_brand").alias("brand"), F.lower("p_type").alias("kind"), F.col("p_retailprice").alias("price"))
-    a, b = (p.select("p_name", "p_size", *[F.col(c).alias(f"{c}_{x}") for c in ("p_partkey", "brand", "kind", "price")]) for x in "ab")
-    both = a.join(b, ["p_name", "p_size"]).filter("p_partkey_a < p_partkey_b")
-    return both.withColumnsRenamed({"p_partkey_a": "a", "p_partkey_b": "b"}).withColumn("cos", F.least("price_a", "price_b") / F.greatest("price_a", "price_b"))
+    blocks = dedup.block_by_key(p.withColumn("block", F.concat_ws("|", "p_name", "p_size")), "p_partkey", "block")
+    a = p.select(F.col("p_partkey").alias("a"), "p_name", "p_size", *[F.col(c).alias(f"{c}_a") for c in ("brand", "kind", "price")])
+    b = p.select(F.col("p_partkey").alias("b"), *[F.col(c).alias(f"{c}_b") for c in ("brand", "kind", "price")])
+    return blocks.join(a, "a").join(b, "b").withColumn("cos", F.least("price_a", "price_b") / F.greatest("price_a", "price_b"))
 
 
 @query(f"""

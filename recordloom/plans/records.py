@@ -181,7 +181,7 @@ def structured_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""
 WITH q AS (SELECT p_partkey AS query_id, CASE WHEN p_partkey % 200 = 0 THEN p_name || ' t' || lower(p_type) ELSE 'qzx ' || p_name END AS t FROM part WHERE p_partkey % 100 = 0),
 r AS (SELECT p_partkey AS id, p_name || ' t' || lower(p_type) AS t FROM part),
-x AS (SELECT q.query_id, id, round(3 / (1 + ln(3)), 6) AS score FROM q JOIN r USING (t) WHERE id <> query_id),
+x AS (SELECT q.query_id, id, 0.1::DOUBLE AS score FROM q JOIN r USING (t) WHERE id <> query_id),
 g AS (SELECT query_id, {gram_sql('t')} AS g FROM q WHERE query_id NOT IN (SELECT query_id FROM x)), h AS (SELECT id, {gram_sql('t')} AS h FROM r),
 y AS (SELECT query_id, id, round(len(list_intersect(g, h)) / (len(g) + len(h) - len(list_intersect(g, h))), 6) AS score FROM g JOIN h ON id <> query_id),
 z AS (SELECT * FROM x UNION ALL SELECT * FROM y WHERE score > 0.05)
@@ -197,7 +197,7 @@ def keyword_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""
 WITH {NEAREST_SQL},
 c AS (SELECT a.vec_id AS query_id, b.vec_id AS id, row_number() OVER (PARTITION BY a.vec_id ORDER BY b.vec_id % 89 DESC, b.vec_id) AS rank FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
-w AS (SELECT a.vec_id AS query_id, b.vec_id AS id, round((1 + 1 + 1 + ln(1 + b.vec_id % 2)) / (1 + ln(3 + b.vec_id % 2)), 6) AS score FROM v a JOIN v b ON a.vec_id % 7 = b.vec_id % 7 AND a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+w AS (SELECT a.vec_id AS query_id, b.vec_id AS id, round(CASE WHEN b.vec_id % 2 = 1 THEN 0.1 ELSE 0.1 / 2 + 0.1 END, 6) AS score FROM v a JOIN v b ON a.vec_id % 7 = b.vec_id % 7 AND a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
 k AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM w),
 u AS (SELECT query_id, id, rank, 'text' AS s FROM r WHERE rank <= 500 UNION ALL SELECT query_id, id, rank, 'structured' FROM c WHERE rank <= 500 UNION ALL SELECT query_id, id, rank, 'keyword' FROM k WHERE rank <= 500),
 f AS (SELECT query_id, id, round(sum(1.0 / (60 + rank)), 9) AS rrf_score, string_agg(s, ',' ORDER BY s) AS sources FROM u GROUP BY ALL),
@@ -208,9 +208,10 @@ def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """RET5, RET6: structured, keyword and vector channels fused, with raw channel scores; the query set is every hundredth vector."""
     q, e = vector_queries(spark, sf_dir)
     word = lambda c: F.concat(F.lit("item k"), (c % 7).cast("string"))
-    records = e.select("id", F.col("label").cast("string").alias("category"), F.timestamp_seconds(F.col("id") % 89).alias("created_at"), F.concat(word(F.col("id")), F.lit(" item k"), (F.col("id") % 7).cast("string")).alias("_t"))
-    text = F.when(F.col("id") % 2 == 1, F.concat(word(F.col("id")), F.lit(" z z"))).otherwise(F.concat(word(F.col("id")), F.lit(" z")))
-    records = records.withColumn("normalized_text", text).drop("_t")
+    records = e.select("id", F.col("label").cast("string").alias("category"), F.timestamp_seconds(F.col("id") % 89).alias("created_at"))
+    # One cover without other words in it; or two, one of them with another word.
+    text = F.when(F.col("id") % 2 == 1, F.concat(word(F.col("id")), F.lit(" z z"))).otherwise(F.concat(word(F.col("id")), F.lit(" z o item")))
+    records = records.withColumn("normalized_text", text)
     queries = q.select("query_id", F.col("label").cast("string").alias("category"), F.concat(word(F.col("query_id")), F.lit(" Z")).alias("query_text"))
     out = retrieval.hybrid(queries, records, e.select("id", "embedding"), q.select("query_id", "embedding"), limit=60)
     return out.select("query_id", "id", "rrf_score", F.array_join("sources", ",").alias("sources"), "rank", "keyword_rank", F.round("semantic_cosine", 6).alias("semantic_cosine"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordloom.functions.dictionary import alias_table
-from recordloom.operators.steps import settled
+from recordloom.operators.steps import settled, small
 
 #: Bytes of an uploaded image at most (SRC20).
 IMAGE_BYTES = 8 << 20
@@ -62,7 +62,7 @@ def demo_records(spark: SparkSession, categories: list[str], products: list[tupl
     p = spark.createDataFrame([(i, *x) for i, x in enumerate(products)], "pi int, color string, kind string, feature string")
     names = F.array(*[F.lit(x) for x in locations])
     # Both tables are literals of the caller.
-    rows = c.crossJoin(F.broadcast(p)).withColumn("n", F.col("pi") * len(categories) + F.col("ci"))
+    rows = c.crossJoin(small(p)).withColumn("n", F.col("pi") * len(categories) + F.col("ci"))
     return rows.select(F.format_string("demo-%05d", "n").alias("id"), "category", F.concat_ws(" ", F.lit("a"), "color", "kind", F.lit("with"), "feature").alias("raw_description"), F.element_at(names, (F.pmod("n", F.lit(len(locations))) + 1).cast("int")).alias("location_name"))
 
 

@@ -100,3 +100,20 @@ def test_rematch_reads_the_model_in_use(spark, tmp_path):
     e._write("vectors", old.unionByName(other))
     e.rematch(spark.createDataFrame([("L1",)], "id string"))
     assert e.table("candidates").count() == 1
+
+
+def test_cover_density_against_all_stretches(spark):
+    rng = random.Random(3)
+    docs = [(k, " ".join(rng.choice("abcdefg") for _ in range(rng.randrange(1, 25)))) for k in range(60)]
+    asked = [(100, "a b"), (101, "c A d"), (102, "e"), (103, "a zz"), (104, "")]
+    got = {(r.query_id, r.id): r.score for r in retrieval.cover_density(spark.createDataFrame(asked, "query_id int, query_text string"), retrieval.occurrences(spark.createDataFrame(docs, "id int, t string"), "t")).collect()}
+    want = {}
+    for q, text in asked:
+        terms = set(text.lower().split())
+        for k, t in docs:
+            w = t.split()
+            whole = [(i, j) for i in range(len(w)) for j in range(i, len(w)) if terms and terms <= set(w[i : j + 1])]
+            covers = [(i, j) for i, j in whole if not any((x, y) != (i, j) and i <= x and y <= j for x, y in whole)]
+            if covers:
+                want[q, k] = round(sum(0.1 / (1 + sum(x not in terms for x in w[i : j + 1])) for i, j in covers), 6)
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-6) for k in want)
