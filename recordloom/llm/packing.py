@@ -37,12 +37,13 @@ class WordTokenizer:
     of its own. Texts that may hold special tokens keep their case.
     """
 
-    def __init__(self, definition: str):
+    def __init__(self, definition: str, remembered: int | None = None):
         from tokenizers import Tokenizer
 
         # One thread a worker: Spark already runs a worker on each core.
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_str(definition)
+        self.remembered = REMEMBERED if remembered is None else remembered
         self.known = pa.array([], pa.large_string())
         self.starts, self.counts, self.pool = np.zeros(0, "int32"), np.zeros(0, "int32"), np.zeros(0, "uint32")
 
@@ -112,18 +113,19 @@ class WordTokenizer:
         upto = np.concatenate([[0], np.cumsum(self.counts[places], dtype="int64")])
         offsets = lists.offsets.to_numpy()
         ends = upto[offsets[1:] - offsets[0]]
-        if before[0] > REMEMBERED:
+        if before[0] > self.remembered:
             self.known = self.known.slice(0, before[0])
             self.starts, self.counts, self.pool = self.starts[: before[0]].copy(), self.counts[: before[0]].copy(), self.pool[: before[1]].copy()
         return ids, ends
 
 
-def _tokenizer(definition: str) -> WordTokenizer:
+def _tokenizer(definition: str, remembered: int) -> WordTokenizer:
     """The worker process's tokenizer: it stays with its words from task to task."""
     cache = sys.__dict__.setdefault("_recordloom_tokenizers", {})
     key = zlib.crc32(definition.encode())
     if key not in cache:
         cache[key] = WordTokenizer(definition)
+    cache[key].remembered = remembered
     return cache[key]
 
 
@@ -139,7 +141,7 @@ def blocks(lengths: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         yield start, len(lengths)
 
 
-def tokenized_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int = 0) -> DataFrame:
+def tokenized_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int = 0, remembered: int = REMEMBERED) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): ids of the text, then ``end_id``, cut only where longer than ``capacity``."""
     definition = Path(tokenizer_path).read_text(encoding="utf-8")
     # Sent once to each executor, 2 MB whatever the input; executors need no file of their own.
@@ -147,7 +149,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = _tokenizer(shared.value)
+        tokenizer = _tokenizer(shared.value, remembered)
         for batch in batches:
             lengths = pc.binary_length(batch.column(1)).to_numpy()
             for low, high in blocks(lengths, BLOCK):
@@ -257,7 +259,7 @@ def plan_bins(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, in
     return slots, bins
 
 
-def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, remembered: int = REMEMBERED) -> DataFrame:
     """Packs all documents: (doc_id, piece, start, length, ids_crc32, sequence_id, offset), one row per piece.
 
     The texts are tokenised once and leave only lengths and checksums. What is
@@ -266,10 +268,13 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int
     its length. Ranks are counted in hash buckets, so one length with a third
     of all rows is spread over many tasks.
 
+    ``remembered`` is how many words' ids a worker keeps: memory against time,
+    never the result.
+
     Null or empty text: one piece, the end id alone. Repeated rows are packed
     once each. Null ids are kept. Empty table: no rows. Other columns are ignored.
     """
-    items = written(tokenized_pieces(docs, tokenizer_path, capacity, end_id), "pack-pieces")
+    items = written(tokenized_pieces(docs, tokenizer_path, capacity, end_id, remembered), "pack-pieces")
     counts = {r.length: r["count"] for r in items.groupBy("length").count().collect()}  # ``capacity`` rows at most
     slots, _ = plan_bins(counts, capacity)
     by_size: dict[int, np.ndarray] = {}
