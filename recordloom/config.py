@@ -116,6 +116,21 @@ def load_json(path: str) -> dict[str, Any]:
     return json.loads(Path(path).read_text(encoding="utf-8"))
 
 
+class Watched:
+    """A configuration file that is read again once it has changed (SRC4)."""
+
+    def __init__(self, path: str, read=load_json):
+        self.path, self.read = Path(path), read
+        self.stamp: tuple[int, int] | None = None
+        self.value: Any = None
+
+    def __call__(self) -> Any:
+        found = self.path.stat()
+        if (found.st_mtime_ns, found.st_size) != self.stamp:
+            self.value, self.stamp = self.read(str(self.path)), (found.st_mtime_ns, found.st_size)
+        return self.value
+
+
 def domain_from_json(path: str, base: DomainSpec = LOST_FOUND) -> DomainSpec:
     """A spec from a weights file (keys as in the built-in one); what the file leaves out stays as in ``base``."""
     raw = load_json(path)

@@ -9,7 +9,7 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from recordloom.config import ATTRIBUTE_ALIASES, COLOR_FAMILIES
+from recordloom.config import ATTRIBUTE_ALIASES, COLOR_FAMILIES, SYNONYMS
 from recordloom.functions.text import PUNCTUATION, let, norm_text
 
 IDEOGRAPH = "[一-鿿㐀-䶿]"
@@ -61,6 +61,21 @@ def canonical(c: Column, section: Mapping[str, Iterable[str]], strict: bool = Fa
     return let(F.nullif(norm_text(c), F.lit("")), value)
 
 
+def canonical_category(c: Column, synonyms: Mapping[str, Mapping[str, Iterable[str]]] = SYNONYMS) -> Column:
+    """The category that a name stands for; null for an unknown one (NRM4)."""
+    return canonical(c, synonyms["category"], strict=True)
+
+
+def canonical_brand(c: Column, synonyms: Mapping[str, Mapping[str, Iterable[str]]] = SYNONYMS) -> Column:
+    """The brand that a name stands for; null for an unknown one (NRM4)."""
+    return canonical(c, synonyms["brand"], strict=True)
+
+
+def canonical_color(c: Column, synonyms: Mapping[str, Mapping[str, Iterable[str]]] = SYNONYMS) -> Column:
+    """The color that a name stands for; an unknown one as it is, normalised (NRM4)."""
+    return canonical(c, synonyms["color"])
+
+
 def attribute_code(c: Column, aliases: Mapping[str, str] = ATTRIBUTE_ALIASES) -> Column:
     """One code for each attribute name: exact alias, alias without regard to case, lower case (NRM5)."""
     exact = F.create_map(*[F.lit(x) for pair in aliases.items() for x in pair])

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordloom.config import CATEGORY_WEIGHTS, DIMENSIONS, EXAM_WEIGHTS, LOST_FOUND, WEIGHTS
-from recordloom.operators import assign, conflicts, coverage, dedup, matching, scoring
+from recordloom.operators import assign, conflicts, coverage, dedup, matching, report, scoring
 from recordloom.operators import features as FT
 from recordloom.operators.steps import settled, small
 from recordloom.plans.queries import PAIRS_SQL, TFIDF_SQL, chars, norm, overlap, part_pairs, query, words
@@ -335,6 +335,18 @@ def cluster_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.size_histogram(dedup.clusters(*chains(spark, sf_dir)))
 
 
+@query(f"""
+WITH {CLUSTER_SQL},
+e AS (SELECT qid AS a, lead(qid) OVER (PARTITION BY o_custkey ORDER BY qid) AS b, o_custkey, cluster, representative, size FROM n),
+r AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY a % 7 DESC, a, b)::INT AS place FROM e WHERE b IS NOT NULL)
+SELECT cluster, representative, size, a, b, place FROM r WHERE place <= 5""")
+def reported_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK14: the duplicate report's pairs of each cluster, five as the report has."""
+    questions, edges = chains(spark, sf_dir)
+    tables = report.duplicates(questions, edges.withColumns({"final_score": 96.0 + F.col("a") % 7 / 10, "conflicts": F.array().cast("array<string>"), "level": F.lit("DUPLICATE"), "penalty": F.lit(0.0)}), settled(dedup.clusters(questions, edges)))
+    return tables["clusters"].select("cluster", "representative", "size", "a", "b", "place")
+
+
 JUDGED_SQL = "j AS (SELECT o_orderkey AS a, o_orderkey + 1 AS b, (o_orderkey % 101)::DOUBLE AS final_score, CASE o_orderkey % 3 WHEN 0 THEN 'SAME_TOPIC' WHEN 1 THEN 'RELATED' ELSE 'DISTINCT' END AS level, (o_orderkey % 4 * 10)::DOUBLE AS penalty FROM orders)"
 
 

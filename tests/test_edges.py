@@ -5,9 +5,12 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from recordloom import config
 from recordloom.api import Engine
-from recordloom.operators import assign, coverage, dedup, retrieval, steps, store
+from recordloom.functions import dictionary
+from recordloom.operators import assign, coverage, dedup, report, retrieval, steps, store
 from recordloom.sources import questions, tables
+from tests.conftest import values
 
 
 def test_vectors_of_different_lengths(spark, monkeypatch):
@@ -102,6 +105,33 @@ def test_rematch_reads_the_model_in_use(spark, tmp_path):
     assert e.table("candidates").count() == 1
 
 
+def test_reports(spark):
+    q = spark.createDataFrame([(k,) for k in range(5)], "qid int")
+    pairs = spark.createDataFrame([(0, 1, 99.0, "DUPLICATE", 0.0, []), (1, 2, 96.0, "DUPLICATE", 0.0, []), (3, 4, 80.0, "SAME_TOPIC", 35.0, ["x"])], "a int, b int, final_score double, level string, penalty double, conflicts array<string>")
+    found = spark.createDataFrame([(0, 0, 3, 1), (1, 0, 3, 1), (2, 0, 3, 1), (3, 3, 1, 3), (4, 4, 1, 4)], "qid int, cluster int, size int, representative int")
+    text = report.page("Duplicates", report.duplicates(q, pairs, found))
+    assert "| 5 | 3 |" in text and "| 0 | 1 | 3 | 0 | 1 | 99.0 | 1 |" in text and "## blocked" in text
+    ranks = spark.createDataFrame([("a", 1, "en"), ("b", None, "ja")], "query_id string, rank int, lang string")
+    assert {r.lang: r.recall_1 for r in report.evaluation(ranks, "lang")["by lang"].collect()} == {"en": 1.0, "ja": 0.0}
+    covered = spark.createDataFrame([("k", "d", 0, False), ("l", "d", 2, True)], "kb string, domain string, questions long, reachable boolean")
+    assert [r.kb for r in report.blind_spots(covered)["blind"].collect()] == ["k"]
+
+
+def test_configuration_is_read_again(tmp_path):
+    path = tmp_path / "c.json"
+    path.write_text('{"a": 1}')
+    watched = config.Watched(str(path))
+    first = watched()
+    assert first == {"a": 1} and watched() is first
+    path.write_text('{"a": 22}')
+    assert watched() == {"a": 22}
+
+
+def test_canonical_names(spark):
+    got = values(spark, a=dictionary.canonical_category(F.lit("My PARASOL")), b=dictionary.canonical_brand(F.lit("nobody")), c=dictionary.canonical_color(F.lit("Mauve!")), d=dictionary.canonical_color(F.lit("navy")))
+    assert got == {"a": "umbrella", "b": None, "c": "mauve", "d": "blue"}
+
+
 def test_cover_density_against_all_stretches(spark):
     rng = random.Random(3)
     docs = [(k, " ".join(rng.choice("abcdefg") for _ in range(rng.randrange(1, 25)))) for k in range(60)]
