@@ -16,7 +16,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordloom.config import SYNONYMS
+from recordloom.config import FUNNEL, LOST_FOUND, RULES, SYNONYMS
 from recordloom.functions import vectors as V
 from recordloom.operators import evaluate, extract, matching, retrieval, store
 from recordloom.operators.steps import settled
@@ -34,6 +34,7 @@ TABLES = {
     "evidence": "lost_id string, found_id string, evidence_type string, field_name string, similarity_score double, reliability double, weight double, contribution double, is_conflict boolean, severity string",
     "decisions": "lost_id string, found_id string, decision string, decided_at timestamp, note string",
     "returns": "lost_id string, found_id string, returned_at timestamp",
+    "images": "id string, url string, is_primary boolean",
     "runs": "run_id string, trigger string, config string, at timestamp",
 }
 
@@ -176,6 +177,23 @@ class Engine:
     def explanation(self, ids: DataFrame) -> DataFrame:
         return matching.stored_explanation(self.matches(ids, 0.0))
 
+    # ---- images
+
+    def add_images(self, rows: DataFrame, model: str) -> None:
+        """Images of records (id, url, is_primary, embedding) with their vectors by an image model; an image replaces itself."""
+        self._write("images", store.upsert(self.table("images"), rows.select("id", "url", "is_primary"), ["id", "url"]))
+        made = rows.select("id", F.lit("IMAGE").alias("kind"), F.lit("image").alias("provider"), F.lit(model).alias("model"), F.col("url").alias("version"), V.content_hash(F.col("url")).alias("content_hash"), F.col("embedding").cast("array<double>").alias("embedding"), F.lit("ACTIVE").alias("status"))
+        self._write("vectors", store.upsert(self.table("vectors"), made, ["id", "kind", "model", "version"]))
+
+    def search_images(self, queries: DataFrame, model: str, k: int = 20) -> DataFrame:
+        """Active records by the similarity of their images to query vectors (query_id, embedding) of an image or of a text."""
+        own = self.table("vectors").filter((F.col("kind") == "IMAGE") & (F.col("model") == model) & (F.col("status") == "ACTIVE"))
+        # Each record by its nearest image: the best ``k`` records have one among so many images.
+        most = own.groupBy("id").count().agg(F.max("count")).first()[0] or 1
+        found = retrieval.image_search(queries, own.select("id", "embedding"), self.table("records"), self.table("images"), k * most)
+        best = found.groupBy("query_id", "id").agg(F.max("similarity").alias("similarity"), F.first("image_url").alias("image_url"))
+        return retrieval.top(best, ["query_id"], [F.col("similarity").desc(), F.col("id")], k)
+
     # ---- decisions
 
     def decide(self, rows: DataFrame) -> DataFrame:
@@ -206,6 +224,10 @@ class Engine:
 
     # ---- administration
 
+    def config(self) -> dict:
+        """The weights, bands, rules and limits that matching works by."""
+        return {"weights": dict(LOST_FOUND.weights), "bands": [list(b) for b in LOST_FOUND.bands], "rules": [r.attribute for r in RULES], "limits": dict(FUNNEL), "model": self.model}
+
     def _decided(self) -> DataFrame:
         return self.table("decisions").join(self.table("candidates").select("lost_id", "found_id", "level", "final_score"), ["lost_id", "found_id"])
 

@@ -45,3 +45,16 @@ def test_engine(spark, tmp_path):
     before = {r.id: r.content_hash for r in e.table("vectors").collect()}
     e.refresh_vectors()
     assert {r.id: r.content_hash for r in e.table("vectors").collect()} == before
+
+
+def test_images(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "db"), 16)
+    e.register(spark.createDataFrame([("F1", "FOUND", "bag"), ("F2", "FOUND", "ring"), ("F3", "FOUND", "key")], "id string, record_type string, raw_description string"))
+    rows = [("F1", "a", False, [1.0, 0.0]), ("F1", "b", True, [0.9, 0.1]), ("F2", "c", True, [0.0, 1.0])]
+    images = spark.createDataFrame(rows, "id string, url string, is_primary boolean, embedding array<double>")
+    e.add_images(images, "clip")
+    e.add_images(images.filter("url = 'c'"), "clip")
+    asked = spark.createDataFrame([("q", [1.0, 0.05])], "query_id string, embedding array<double>")
+    assert [(r.id, r.image_url, r["rank"]) for r in e.search_images(asked, "clip", 2).orderBy("rank").collect()] == [("F1", "b", 1), ("F2", "c", 2)]
+    assert e.search_images(asked, "other").count() == 0 and e.table("images").count() == 3 and e.config()["weights"]["attribute"] == 0.25
+    e.rematch(spark.createDataFrame([("F1",)], "id string"))
