@@ -24,8 +24,8 @@ from recordloom.llm.common import packed, share, trim, unpacked
 
 #: Occurrences a cell should see.
 CELL = 3_000_000
-#: Bytes of text whose keys go to the cells together.
-HAUL = 16 << 20
+#: Bytes of text whose keys go to the cells together, and keys of a blob: a heap takes many small arrays better than a few large ones.
+HAUL, BLOB = 16 << 20, 1 << 16
 #: One document in SAMPLE is looked at for hot keys; a key is hot if at least HOT_SHARE of the sampled
 #: documents, and HOT_LEAST of them, have it. So there are at most (keys a document) / HOT_SHARE hot keys.
 SAMPLE, HOT_SHARE, HOT_LEAST = 32, 1 / 2000, 12
@@ -46,12 +46,12 @@ def text_blocks(batch: pa.RecordBatch, column: int, most: int = 2 << 20) -> Iter
         yield batch.slice(start)
 
 
-def hauls(batches: Iterator[pa.RecordBatch], column: int, most: int | None = None) -> Iterator[list[pa.RecordBatch]]:
+def hauls(batches: Iterator[pa.RecordBatch], column: int, most: int | None = None, block: int = 2 << 20) -> Iterator[list[pa.RecordBatch]]:
     """Blocks of all batches of a task, about ``HAUL`` bytes of text at a time."""
     held: list[pa.RecordBatch] = []
     size = 0
     for batch in batches:
-        for part in text_blocks(batch, column):
+        for part in text_blocks(batch, column, block):
             held.append(part)
             size += int(pc.sum(pc.binary_length(part.column(column))).as_py() or 0) + 64 * part.num_rows
             if size >= (most or HAUL):
@@ -112,7 +112,9 @@ def cell_blobs(key: np.ndarray, cells: int, owner: np.ndarray | None = None) ->
     start = 0
     for c in np.flatnonzero(np.diff(np.r_[0, ends])).tolist():
         end = int(ends[c])
-        yield c, _blob(low[start:end], None if who is None else who[start:end])
+        for at in range(start, end, BLOB):
+            stop = min(at + BLOB, end)
+            yield c, _blob(low[at:stop], None if who is None else who[at:stop])
         start = end
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -76,6 +77,20 @@ def trim() -> None:
         pass
 
 
+def in_batches(rows: Iterable[tuple], types: list[pa.DataType], names: list[str], most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Rows whose last column is a blob, as batches of about ``most`` bytes, so that neither side holds a large one."""
+    held: list[tuple] = []
+    size = 0
+    for row in rows:
+        held.append(row)
+        size += len(row[-1]) + 32
+        if size >= most:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), types)], names=names)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), types)], names=names)
+
+
 def packed(*parts: np.ndarray) -> bytes:
     """Columns as one compressed blob: their sizes in bytes, then their bytes."""
     data = b"".join(p.tobytes() for p in parts)

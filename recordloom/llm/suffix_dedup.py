@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recordloom.llm.census import CELL, cell_blobs, census_cell, hauls, hot_keys, id_filter, is_hot, may_hold, mix64, remainders, spot_of
-from recordloom.llm.common import packed, share, text_bytes, trim, unpacked, written
+from recordloom.llm.common import in_batches, packed, share, text_bytes, trim, unpacked, written
 
 #: Bytes of a match, bytes of an anchor inside it, and anchors among which a match chooses.
 MATCH, ANCHOR = 50, 24
@@ -23,7 +23,7 @@ AROUND = 2 * (CHOICE - 1) + ANCHOR
 #: Anchors an index cell should get, anchors that share one family, and suffixes of a batch of its index.
 INDEX_CELL, FAMILY, SUFFIX_BATCH = 250_000, 12_000, 1 << 16
 #: Bytes of text whose anchors are dealt together, bytes looked at at once, and anchors held before they are dealt.
-HAUL, PIECE, HELD = 32 << 20, 2 << 20, 250_000
+HAUL, PIECE, HELD = 16 << 20, 1 << 20, 120_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BYTE = mix64(np.arange(1, 257, dtype="uint64"))
 
@@ -233,11 +233,9 @@ def _per_haul(docs: DataFrame, emit, schema: str) -> DataFrame:
         from pyspark import TaskContext
 
         block = TaskContext.get().partitionId() << 32
-        for parts in hauls(batches, 1, HAUL):
-            rows = list(emit(block, ((p.column(0).to_pylist(), p.column(1).to_pylist()) for p in parts)))
+        for parts in hauls(batches, 1, HAUL, PIECE):
+            yield from in_batches(emit(block, ((p.column(0).to_pylist(), p.column(1).to_pylist()) for p in parts)), kinds, names)
             block += 1
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
             trim()
 
     return docs.mapInArrow(run, schema)
