@@ -3,26 +3,70 @@
 from __future__ import annotations
 
 import pickle
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recordloom.llm.census import CELL, cell_blobs, census_cell, hauls, hot_keys, id_filter, is_hot, may_hold, mix64, open_answer, spot_of, text_blocks
-from recordloom.llm.common import components, share, trim, written
+from recordloom.llm.common import components, in_batches, share, trim, written
 from recordloom.llm.lm_scoring import split_words
 
 #: Bytes of text whose shingles are dealt together.
 HAUL = 8 << 20
+#: Bytes of a text that is read at once.
+LONG = 4 << 20
+SPACE = re.compile(rb"[\x20\x09-\x0D]")
 #: Partners that meet one leader's text in a task.
 FAN = 256
 
 
+def long_parts(raw: bytes, n: int, size: int) -> Iterator[bytes]:
+    """A long text in parts of about ``size`` bytes that share ``n - 1`` words, so that each shingle lies in one."""
+    at, first = 0, True
+    while at < len(raw):
+        end = at + size
+        while True:
+            gap = SPACE.search(raw, min(end, len(raw)))
+            end = gap.start() if gap else len(raw)
+            part = raw[at:end]
+            if end == len(raw) or len(part.split(None, n)) > n:
+                break
+            end += size
+        if first or len(part.split(None, n)) >= n:
+            yield part
+        if end == len(raw):
+            return
+        at, first = at + len(part.rsplit(None, n - 1)[0]), False
+
+
 def shingles(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(owner, key) of the distinct n-word shingles of each text, sorted by owner and key; shorter texts are one shingle."""
+    """(owner, key) of the distinct n-word shingles of each text, sorted by owner and key; shorter texts are one shingle.
+
+    A text of more than ``LONG`` bytes is read in overlapping parts.
+    """
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    wide = np.flatnonzero(sizes > LONG)
+    if not len(wide):
+        return _shingles(texts, n)
+    owner, key = _shingles(pc.if_else(pa.array(sizes > LONG), pa.scalar("", texts.type), texts), n)
+    owners, keys = [owner], [key]
+    for i in wide.tolist():
+        raw = texts[i].as_buffer().to_pybytes()
+        mine = np.unique(np.concatenate([_shingles(pa.array([part], pa.binary()).cast(texts.type), n)[1] for part in long_parts(raw, n, LONG)]))
+        owners.append(np.full(len(mine), i, owner.dtype))
+        keys.append(mine)
+    owner, key = np.concatenate(owners), np.concatenate(keys)
+    order = np.argsort(owner, kind="stable")
+    return owner[order], key[order]
+
+
+def _shingles(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
     words, places, many = split_words(texts)
     owner = np.repeat(np.arange(len(many)), many)
     code = pd.util.hash_array(words.to_numpy(zero_copy_only=False).astype(object), categorize=False) if len(words) else np.zeros(0, "uint64")
@@ -34,7 +78,7 @@ def shingles(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
     for k in range(n):
         # Word k of the shingle that begins at each place, where the text (or a short text's one shingle) has it.
         there = np.zeros(len(code), "uint64")
-        there[: len(code) - k] = code[k:]
+        there[: max(0, len(code) - k)] = code[k:]
         there *= np.repeat(k < size, many)
         key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + there + np.uint64(k + 1))
     first = rank <= np.repeat(many - size, many)
@@ -89,12 +133,11 @@ def _scan(docs: DataFrame, n: int, cells: int, hot: np.ndarray) -> DataFrame:
             asks = np.zeros(at, bool)
             asks[first] = True
             ask = ~heat & asks[owner]
-            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int64()), pa.array([block], pa.int64()), pa.array([home], pa.binary())], names=["cell", "block", "blob"])
-            rows = [(c, block, blob) for c, blob in cell_blobs(key[ask], cells, owner[ask])]
+            kinds, names = [pa.int64(), pa.int64(), pa.binary()], ["cell", "block", "blob"]
+            yield from in_batches([(-1, block, home)], kinds, names)
+            yield from in_batches(((c, block, blob) for c, blob in cell_blobs(key[ask], cells, owner[ask])), kinds, names)
             block += 1
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary()))], names=["cell", "block", "blob"])
-            del rows, owner, key, heat, ask
+            del owner, key, heat, ask, home
             trim()
 
     return docs.mapInArrow(run, "cell long, block long, blob binary")
