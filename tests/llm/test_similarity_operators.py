@@ -72,6 +72,7 @@ def test_jaccard_join(spark, monkeypatch, seed, share):
         monkeypatch.setattr(census, "SAMPLE", 1)
         monkeypatch.setattr(census, "HOT_SHARE", share)
         monkeypatch.setattr(census, "HOT_LEAST", 2)
+        monkeypatch.setattr(census, "BLOB", 3)
         monkeypatch.setattr(ngram_join, "FAN", 2)
     rows = copies(seed)
     sets = {i: shingle_set(t) for i, t in rows}
@@ -111,6 +112,7 @@ def test_suffix_dedup(spark, monkeypatch, seed, share):
         monkeypatch.setattr(census, "SAMPLE", 1)
         monkeypatch.setattr(census, "HOT_SHARE", share)
         monkeypatch.setattr(census, "HOT_LEAST", 2)
+        monkeypatch.setattr(census, "BLOB", 3)
         monkeypatch.setattr(suffix_dedup, "SUFFIX_BATCH", 27)
     rows = copies(seed)
     rng = random.Random(seed)
@@ -126,6 +128,7 @@ def test_suffix_dedup_periodic(spark, monkeypatch, share):
         monkeypatch.setattr(census, "SAMPLE", 1)
         monkeypatch.setattr(census, "HOT_SHARE", share)
         monkeypatch.setattr(census, "HOT_LEAST", 2)
+        monkeypatch.setattr(census, "BLOB", 3)
     monkeypatch.setattr(suffix_dedup, "PIECE", 300)
     monkeypatch.setattr(suffix_dedup, "HELD", 40)
     monkeypatch.setattr(suffix_dedup, "FAMILY", 3)
@@ -383,6 +386,16 @@ def test_census_counts_texts(spark):
     assert set(ngram_join.shingles(sliced, 5)[1]) == set(key[:2])
 
 
+def test_long_texts_are_read_in_parts(monkeypatch):
+    rng = random.Random(8)
+    texts = [text(rng, n, 6) + end for n in (1, 3, 4, 5, 6, 30, 200) for end in ("", " ", "  \n")] + ["  " + text(rng, 50, 4), "é" * 200, "a b " + "x" * 90 + " c d e f", "", " \t "]
+    whole = ngram_join.shingles(pa.array(texts), 5)
+    for size in (1, 7, 40):
+        monkeypatch.setattr(ngram_join, "LONG", size)
+        parts = ngram_join.shingles(pa.array(texts), 5)
+        assert (parts[0] == whole[0]).all() and (parts[1] == whole[1]).all()
+
+
 def test_id_filter(spark):
     df = spark.range(0, 500, 3)
     bits = census.id_filter(df, "id")
@@ -391,6 +404,112 @@ def test_id_filter(spark):
     assert {r.id for r in census.without(spark.range(500), df, "id").collect()} == set(range(500)) - set(range(0, 500, 3))
 
 
+def staged(spark, stage, rows, data):
+    columns = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame([(i, t, "en", s, None if t is None else len(t)) for i, t, s in rows], columns).withColumn("label", F.lit(7))
+    return [(r.doc_id, r.text, r.source, r.n_chars) for r in stage(spark, docs, data).collect()]
+
+
+def test_pipeline_stages_against_plain_ones(spark, data):
+    import corpus_pipeline as P
+
+    rows = [(i, t, "ab"[(i or 0) % 2] if i != 3 else None) for i, t in copies(11)]
+    rng = random.Random(11)
+    passage = text(rng, 30)
+    rows += [(700 + k, text(rng, 60) + " é" + passage + "ü " + text(rng, 40), "a") for k in range(4)] + [(800, None, "b"), (801, "", "b"), (None, passage * 2, "a"), (700, rows[0][1], "a")]
+    size = lambda t: None if t is None else len(t)
+
+    # Quality: the vote, text by text.
+    labels = spark.read.parquet(f"{data}/labels.parquet")
+    docs = spark.createDataFrame([(r.doc_id, r.text) for r in spark.read.parquet(f"{data}/documents.parquet").collect()], "doc_id long, text string")
+    model = quality_classifier.fit(docs, labels)
+    some = [(r.doc_id, r.text, "a") for r in docs.collect()][:60] + [(1, None, "a"), (None, "", "b")]
+    want = [(i, t, s, size(t)) for i, t, s in some if one_by_one(model, (t or "").encode()) >= 0.5]
+    real = quality_classifier.fit
+    try:
+        quality_classifier.fit = lambda *_: model
+        got = staged(spark, P.quality, some, data)
+    finally:
+        quality_classifier.fit = real
+    assert collections.Counter(got) == collections.Counter(want) and 0 < len(want) < len(some)
+
+    # Near duplicates: components of all pairs.
+    distinct = [r for k, r in enumerate(rows) if r[0] is not None and r[0] not in {x[0] for x in rows[:k]}]
+    sets = {i: shingle_set(t) for i, t, _ in distinct}
+    links = [(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    plain = plain_components(list(sets), links)
+    want = [(i, t, s, size(t)) for i, t, s in distinct if plain[i] == i] + [(None, passage * 2, "a", 2 * len(passage))]
+    assert collections.Counter(staged(spark, P.near_duplicates, [*distinct, rows[-2]], data)) == collections.Counter(want) and len(want) < len(distinct)
+
+    # Repeated passages: bytes covered by strings of earlier documents, cut characters go.
+    want, seen = [], set()
+    for i, t, s in sorted(distinct, key=lambda r: r[0]):
+        raw = (t or "").encode()
+        grams = [raw[k : k + 50] for k in range(len(raw) - 49)]
+        hit = np.zeros(len(raw), bool)
+        for k, g in enumerate(grams):
+            hit[k : k + 50] |= g in seen
+        seen.update(grams)
+        left = bytes(b for b, h in zip(raw, hit) if not h).decode("utf-8", "ignore") if hit.any() else t
+        want.append((i, left, s, size(left)))
+    got = staged(spark, P.repeated_passages, distinct, data)
+    assert sorted(got) == sorted(want) if all(t is not None for _, t, _, _ in want) else collections.Counter(got) == collections.Counter(want)
+    assert sum(a != b[1] for a, b in zip((w[1] for w in want), sorted(distinct, key=lambda r: r[0]))) >= 3
+
+    # Mixing and packing: what their operators say, document by document.
+    from recordloom.llm import mixing
+
+    frame_ = spark.createDataFrame([(i, t, "en", s, size(t)) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    times = collections.Counter()
+    for r in mixing.mix(frame_).collect():
+        times[r.doc_id, r["size"]] += r.copies
+    mixed = staged(spark, P.mixture, rows, data)
+    got = collections.Counter((i, len((t or "").encode().split())) for i, t, _, _ in mixed)
+    assert got == +times
+    P_ = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(P_.path("word_bpe_49k.json"))
+    out = P.packed(spark, spark.createDataFrame([(i, t) for i, t, _, _ in mixed], "doc_id long, text string"), data).collect()
+    pieces = collections.Counter()
+    for i, t, _, _ in mixed:
+        n = len(tok.encode(t or "", add_special_tokens=False).ids) + 1
+        pieces.update((i, k // 2048, min(2048, n - k)) for k in range(0, n, 2048))
+    assert collections.Counter((r.doc_id, r.piece, r.length) for r in out) == pieces
+
+
+def one_by_one(model, raw):
+    """The vote of a single text: all cosines, sorted, the first neighbours by id among equals."""
+    x = quality_classifier.terms(raw)[None]
+    z = model.project(x)[0]
+    if not z.any():
+        return model.prior
+    cosine = model.known @ z
+    near = np.argsort(-cosine, kind="stable")[: model.neighbours]
+    vote = np.exp(model.sharpness * (cosine[near].astype("float64") - cosine[near].max()))
+    return float((vote * model.labels[near]).sum() / vote.sum())
+
+
+def test_vote_breaks_ties_by_place():
+    cosine = np.array([[0.5, 0.9, 0.5, 0.5, 0.1], [0.2, 0.2, 0.2, 0.2, 0.2]])
+    assert [sorted(r) for r in quality_classifier.nearest(cosine, 3).tolist()] == [[0, 1, 2], [0, 1, 2]]
+
+
+def test_queries_carry_their_contract_columns(spark, data):
+    from recordloom.llm import queries as Q
+
+    run = Q.queries()
+    ids = {r.doc_id: r.text for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    for name, folds, fold in (("op7_neighbour_vote", 3, 1), ("op8_recurrent_toxicity", 4, 2), ("op1_log_bilinear", 5, 1)):
+        rows = run[name](spark, data).collect()
+        assert sorted(r.doc_id for r in rows) == sorted(ids) and all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % folds == fold) for r in rows)
+    rows = run["op9_sampled_splitters"](spark, data).collect()
+    assert {(r.law, r.grown_shard) for r in rows} == {("bytes", None)} and {r.shard for r in rows} <= set(range(40))
+    for r in run["op3_suffix_family"](spark, data).collect():
+        raw = (ids[r.doc_id] or "").encode()
+        assert r.n_bytes == len(raw) and (r.n_removed or r.kept_sha256 == hashlib.sha256(raw).hexdigest())
+
+
 def test_pipeline(spark, data):
     import corpus_pipeline as P
 
