@@ -373,12 +373,16 @@ sims AS (SELECT *, CASE WHEN b1 = b2 THEN 100.0 WHEN contains(b1, b2) OR contain
 
 
 def part_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of parts with one name and size, as items that may be the same; blocks as large as DD3 takes them."""
-    p = parquet(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size", F.lower("p_brand").alias("brand"), F.lower("p_type").alias("kind"), F.col("p_retailprice").alias("price"))
-    blocks = dedup.block_by_key(p.withColumn("block", F.concat_ws("|", "p_name", "p_size")), "p_partkey", "block")
-    a = p.select(F.col("p_partkey").alias("a"), "p_name", "p_size", *[F.col(c).alias(f"{c}_a") for c in ("brand", "kind", "price")])
-    b = p.select(F.col("p_partkey").alias("b"), *[F.col(c).alias(f"{c}_b") for c in ("brand", "kind", "price")])
-    return blocks.join(a, "a").join(b, "b").withColumn("cos", F.least("price_a", "price_b") / F.greatest("price_a", "price_b"))
+    """Pairs of parts with one name and size, as items that may be the same; blocks as large as DD3 takes them.
+
+    Blocks are counted and paired under one partitioning.
+    """
+    block = ["p_name", "p_size"]
+    p = parquet(spark, sf_dir, "part").select("p_partkey", *block, F.lower("p_brand").alias("brand"), F.lower("p_type").alias("kind"), F.col("p_retailprice").alias("price"))
+    p = p.withColumn("_n", F.count("*").over(Window.partitionBy(*block))).filter("_n <= 120")
+    a, b = (p.select(*block, *[F.col(c).alias(f"{c}_{x}") for c in ("p_partkey", "brand", "kind", "price")]) for x in "ab")
+    both = a.join(b, block).filter("p_partkey_a < p_partkey_b")
+    return both.withColumnsRenamed({"p_partkey_a": "a", "p_partkey_b": "b"}).withColumn("cos", F.least("price_a", "price_b") / F.greatest("price_a", "price_b"))
 
 
 @query(f"""
