@@ -120,3 +120,32 @@ def test_decision_metrics(spark):
     pairs = [(r.lost_id, r.label, r.hard_negative) for r in E.training_pairs(d).collect()]
     assert pairs == [("3", 0, True), ("2", 1, False), ("1", 1, False)] and E.training_pairs(d, limit=1).count() == 1
     assert E.unclassified(spark.createDataFrame([("a",), (None,)], "category string")).first().unclassified == 1
+
+
+def test_searches_meet_texts_once(spark, monkeypatch):
+    """Rows that share a text are searched as one; results are those of all pairs of rows, ties and the query's own row included."""
+    texts = ["red wallet", "red  Wallet", "old red wallet", "umbrella", "red umbrella"]
+    rows = [(i, texts[i % 5]) for i in range(40)] + [(90, None), (91, "")]
+    records = spark.createDataFrame(rows, "id int, normalized_text string")
+    asked = [(i, texts[i % 5]) for i in range(0, 40, 3)] + [(200 + i, "wallets") for i in range(3)] + [(300, ""), (301, None), (302, "qzx red")]
+    queries = spark.createDataFrame(asked, "query_id int, query_text string")
+    grams = lambda t: {f"  {w} "[i : i + 3] for w in t.lower().split() for i in range(len(w) + 1)}
+
+    def alike(limit):
+        out = {}
+        for q, t in asked:
+            g = grams(t or "")
+            scored = [(len(g & grams(u)) / len(g | grams(u)), i) for i, u in rows if u and g and i != q]
+            out[q] = sorted((-round(s, 6), i) for s, i in scored if round(s, 6) > 0.05)[:limit]
+        return {q: v for q, v in out.items() if v}
+
+    def collected(df):
+        out = {}
+        for r in df.collect():
+            out.setdefault(r.query_id, []).append((r.rank, -r.score, r.id))
+        return {q: [x[1:] for x in sorted(v)] for q, v in out.items()}
+
+    for block in (R.GRAMS, 20):
+        monkeypatch.setattr(R, "GRAMS", block)
+        for limit in (1, 7, 500):
+            assert collected(R.trigram(queries, records, limit=limit)) == alike(limit)
