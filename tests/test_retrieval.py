@@ -149,3 +149,10 @@ def test_searches_meet_texts_once(spark, monkeypatch):
         monkeypatch.setattr(R, "GRAMS", block)
         for limit in (1, 7, 500):
             assert collected(R.trigram(queries, records, limit=limit)) == alike(limit)
+    both = collected(R.keyword(queries, records, 7))
+    covers = collected(R.cover_density(queries, R.occurrences(records), 7))
+    assert covers and both == {**alike(7), **covers}
+    seen = []
+    monkeypatch.setattr(R, "_gram_pairs", lambda asked, known, *_, own=R._gram_pairs: (seen.append((asked.kinds.count(), known.kinds.count())), own(asked, known, *_))[1])
+    R.keyword(queries, records, 7).collect()
+    assert seen == [(3, 6)]
