@@ -121,3 +121,19 @@ def test_manual_attributes(spark):
 def test_secret_attributes_are_hidden(spark, value_, secret):
     rows = F.array(EX.attribute(F.lit("x"), F.lit(value_), F.lit("USER"), F.lit(1.0), 0, secret))
     assert len(value(spark, EX.visible(rows))) == (0 if secret else 1)
+
+
+def test_matched_pairs_what_is_scored(spark, tmp_path, monkeypatch):
+    """Of many parts of a noun a query meets those that are scored, not all; results are those of the SQL."""
+    import duckdb
+
+    from recordloom.config import FUNNEL
+    from recordloom.plans import pairs
+
+    duckdb.sql(f"COPY (SELECT i AS p_partkey, 'red ' || CASE WHEN i % 10 < 9 THEN 'ring' ELSE 'bolt' END AS p_name, 'Brand#' || i // 7 % 2 AS p_brand, 'LARGE' AS p_type, (i // 3 % 7)::INT AS p_size, (900 + i % 300)::DOUBLE AS p_retailprice FROM range(1000) t(i)) TO '{tmp_path}/part.parquet'")
+    seen, own = [], pairs.matching.run_matching
+    monkeypatch.setattr(pairs.matching, "run_matching", lambda candidates, records: (seen.append(candidates.count()), own(candidates, records))[1])
+    got = pairs.ranked_matches(spark, str(tmp_path)).collect()
+    assert seen == [10 * FUNNEL["scored"]]
+    want = duckdb.sql(pairs.query.__globals__["ORACLES"]["ranked_matches"].replace(" FROM part)", f" FROM '{tmp_path}/part.parquet')")).fetchall()
+    assert got and sorted(map(tuple, got)) == sorted(want)
