@@ -156,3 +156,25 @@ def test_searches_meet_texts_once(spark, monkeypatch):
     monkeypatch.setattr(R, "_gram_pairs", lambda asked, known, *_, own=R._gram_pairs: (seen.append((asked.kinds.count(), known.kinds.count())), own(asked, known, *_))[1])
     R.keyword(queries, records, 7).collect()
     assert seen == [(3, 6)]
+
+
+def test_nearest_places_are_those_of_all_pairs(spark, monkeypatch):
+    """Few pairs are compared, and the least distance is that of all: poles, the date line, ties, places that lack a part."""
+    from recordloom.functions.geo import haversine
+
+    rng = np.random.default_rng(2)
+    spots = lambda n: [(int(k % 3), float(a), float(o)) for k, (a, o) in enumerate(zip(np.round(rng.uniform(-90, 90, n), 1), np.round(rng.uniform(-180, 180, n), 1)))]
+    mine = spots(90) + [(0, 90.0, 12.0), (1, -90.0, 0.0), (2, 10.0, 179.99), (0, None, 1.0), (1, float("nan"), 1.0), (None, 1.0, 1.0), (7, 1.0, 1.0)]
+    base = spots(200) + [(2, 10.0, -179.99), (0, 5.0, 5.0), (0, 5.0, 5.0), (0, 1.0, None), (2, float("inf"), 0.0)]
+    q, b = (spark.createDataFrame(x, "g int, lat double, lon double") for x in (mine, base))
+    b2 = b.withColumnsRenamed({"lat": "near_lat", "lon": "near_lon"})
+    far = F.round(haversine(F.col("lat"), F.col("lon"), F.col("near_lat"), F.col("near_lon")), 3).alias("m")
+    whole = q.filter("NOT isnan(lat)").join(b2.filter("near_lat < double('infinity')"), "g").select("g", "lat", "lon", far).filter("m IS NOT NULL")
+    want = {(r.g, r.lat, r.lon): r.m for r in whole.groupBy("g", "lat", "lon").agg(F.min("m").alias("m")).collect()}
+    assert len(want) == 93
+    for abreast, beside, places in ((R.ABREAST, R.BESIDE, R.PLACES), ((4, 16), 2, 20)):
+        for name, v in (("ABREAST", abreast), ("BESIDE", beside), ("PLACES", places)):
+            monkeypatch.setattr(R, name, v)
+        got = R.nearest_places(q, b, "g")
+        assert {(r.g, r.lat, r.lon): r.m for r in got.select("g", "lat", "lon", far).collect()} == want
+    assert got.count() < whole.count() / 20
