@@ -5,7 +5,7 @@ from __future__ import annotations
 import pickle
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +34,7 @@ LOOKED_UP = 20_000
 HIDE, DECAY = 0.3, 2e-4
 #: Input steps whose projections a worker keeps, and windows that go through the network at once.
 REMEMBERED, TOGETHER = 200_000, 1024
-#: A labelled text with more steps lends its windows in turn of a hash, up to so many; that bounds what comes to the driver.
+#: Windows of an excerpt. Training takes all windows of a text.
 MAX_WINDOWS = 400
 STRIP = b".,!?;:\"'()"
 
@@ -214,10 +214,15 @@ def word_steps(text: bytes) -> list[bytes]:
     return [s for w in map(word_key, text.split()) for s in steps(w)]
 
 
-def excerpt(text: bytes, most: int | None = None) -> list[list[bytes]]:
-    """The steps of all windows of a text; of a long text those of ``most`` windows, chosen by a hash of what they hold."""
+def all_windows(text: bytes) -> list[list[bytes]]:
+    """The steps of all windows of a text."""
     words = word_steps(text)
-    windows = [words[s : s + WINDOW] for s in window_starts(len(words))] if words else []
+    return [words[s : s + WINDOW] for s in window_starts(len(words))] if words else []
+
+
+def excerpt(text: bytes, most: int | None = None) -> list[list[bytes]]:
+    """A bounded look at a text: its windows, or ``most`` of them, chosen by a hash of what they hold. Nothing is learnt from excerpts."""
+    windows = all_windows(text)
     most = most or MAX_WINDOWS
     if len(windows) > most:
         order = sorted(range(len(windows)), key=lambda k: (zlib.crc32(b" ".join(windows[k])), k))
@@ -226,20 +231,20 @@ def excerpt(text: bytes, most: int | None = None) -> list[list[bytes]]:
 
 
 class Windows:
-    """Windows of some texts (each a list of windows) over a list of distinct input steps."""
+    """Windows of some texts (each a list of windows) over a list of distinct input steps; texts are taken up one by one."""
 
-    def __init__(self, texts: list[list[list[bytes]]]):
+    def __init__(self, texts: Iterable[list[list[bytes]]]):
         place: dict[bytes, int] = {}
-        ids, lengths, owner = [], [], []
+        ids, lengths, owner = [np.zeros((0, WINDOW), "int32")], [np.zeros(0, "int64")], [np.zeros(0, "int64")]
         for k, windows in enumerate(texts):
-            for window in windows:
-                part = [place.setdefault(s, len(place)) for s in window]
-                ids.append(part + [0] * (WINDOW - len(part)))
-                lengths.append(len(part))
-                owner.append(k)
+            mine = np.zeros((len(windows), WINDOW), "int32")
+            for row, window in zip(mine, windows):
+                row[: len(window)] = [place.setdefault(s, len(place)) for s in window]
+            ids.append(mine)
+            lengths.append(np.fromiter(map(len, windows), "int64", len(windows)))
+            owner.append(np.full(len(windows), k))
         self.words = list(place)
-        self.ids = np.array(ids, dtype="int32").reshape(-1, WINDOW)
-        self.lengths, self.owner = np.array(lengths, dtype="int64"), np.array(owner, dtype="int64")
+        self.ids, self.lengths, self.owner = (np.concatenate(x) for x in (ids, lengths, owner))
         self.rows, self.filled = table(self.words)
 
 
@@ -293,7 +298,7 @@ def train(texts: list[bytes] | list[list[list[bytes]]], labels: list[int], negat
     negative; a fresh share of them is drawn each epoch, with the hardest kept.
     """
     net, rng = Network(seed), np.random.default_rng(seed)
-    data = Windows([excerpt(t) if isinstance(t, bytes) else t for t in texts])
+    data = Windows(all_windows(t) if isinstance(t, bytes) else t for t in texts)
     goal = np.array(labels, dtype="float32")
     if not len(data.ids) or goal.min(initial=1) == goal.max(initial=0):
         net.p["out"][:] = 0
@@ -443,10 +448,11 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 4, fold: int = 2, max_l
     """Learns from at most ``max_labelled`` documents of each label outside the held-out fold.
 
     Null ids and ids with contradicting labels are left out. Of rows that
-    repeat a labelled id one is learnt from, the same in each run. Windows are
-    made on the executors, ``MAX_WINDOWS`` at most of a document, so what comes
-    to the driver is bounded. Other columns, of any names, are ignored. With one
-    label alone the network answers that label; without labels, 0.
+    repeat a labelled id one is learnt from, the same in each run. A document is
+    learnt from as a whole: the texts of those that are chosen, and no others,
+    come to the driver, a partition at a time. Other columns, of any names, are
+    ignored. With one label alone the network answers that label; without
+    labels, 0.
     """
     marks = labels.filter("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.min("toxic").alias("low"), F.max("toxic").alias("high"))
     marks = marks.filter((F.col("low") == F.col("high")) & ~held_out(F.col("_id"), folds, fold))
@@ -454,18 +460,11 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 4, fold: int = 2, max_l
     parts = [marks.filter(F.col("low") == v).orderBy(F.xxhash64("_id", F.lit(13)), "_id").limit(max_labelled) for v in (0, 1)]
     chosen = parts[0].union(parts[1]).select("_id", F.col("low").cast("int").alias("_label"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                found = pickle.dumps(excerpt(batch.column(2)[i].as_py()), protocol=4)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), batch.column(1).slice(i, 1), pa.array([found], pa.binary())], names=["id", "label", "windows"])
-
     # At most 2 * ``max_labelled`` small rows.
     texts = docs.select(F.col("doc_id").cast("long").alias("_id"), text_bytes(F.col("text")).alias("_data"))
-    rows = texts.join(F.broadcast(chosen), "_id").select("_id", "_label", "_data").mapInArrow(run, "id long, label int, windows binary")
-    rows = rows.groupBy("id", "label").agg(F.min_by("windows", F.struct(F.xxhash64("windows"), F.octet_length("windows"))).alias("windows"))
-    found = sorted(rows.collect(), key=lambda r: r.id)
-    return train([pickle.loads(r.windows) for r in found], [r.label for r in found], max(1.0, many.get(0, 0) / max_labelled))
+    rows = texts.join(F.broadcast(chosen), "_id").groupBy("_id", "_label").agg(F.min_by("_data", F.struct(F.xxhash64("_data"), F.octet_length("_data"))).alias("_data"))
+    found = sorted(rows.toLocalIterator(), key=lambda r: r._id)
+    return train([bytes(r._data) for r in found], [r._label for r in found], max(1.0, many.get(0, 0) / max_labelled))
 
 
 def classify(docs: DataFrame, net: Network, threshold: float = 0.3) -> DataFrame:

@@ -354,6 +354,29 @@ def test_steps_hold_every_run():
         assert all(any(word[k : k + 8] in p for p in parts) for k in range(max(1, n - 7))) and all(len(p) <= toxicity.REACH for p in parts)
 
 
+def test_toxicity_learns_from_whole_texts(spark, monkeypatch):
+    """All windows of a long labelled text are learnt from; what an excerpt would hold makes no difference."""
+    long = " ".join(f"w{i % 997}" for i in range(12_000))
+    rows = [(4 * i, f"short text {i}", i % 2) for i in range(8)] + [(400, long, 1), (404, long + " end", 0)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    seen = []
+
+    class Spy(toxicity.Windows):
+        def __init__(self, texts):
+            super().__init__(texts)
+            seen.append(np.bincount(self.owner).tolist())
+
+    monkeypatch.setattr(toxicity, "Windows", Spy)
+    toxicity.fit(docs, labels, folds=1, fold=5)
+    assert seen == [[1] * 8 + [len(toxicity.window_starts(n)) for n in (12_000, 12_001)]] and seen[0][-1] > toxicity.MAX_WINDOWS
+    texts = [b" ".join([b"plain%d" % (i * k % 31) for k in range(200)] + [b"vileword"] * (i % 2)) for i in range(40)]
+    score = lambda: toxicity.Scorer(toxicity.train(texts, [i % 2 for i in range(40)], epochs=2)).score(texts).tolist()
+    whole = score()
+    monkeypatch.setattr(toxicity, "MAX_WINDOWS", 1)
+    assert score() == whole
+
+
 def test_toxicity_gradients():
     rng = np.random.default_rng(0)
     net = toxicity.Network()
