@@ -178,3 +178,11 @@ def test_nearest_places_are_those_of_all_pairs(spark, monkeypatch):
         got = R.nearest_places(q, b, "g")
         assert {(r.g, r.lat, r.lon): r.m for r in got.select("g", "lat", "lon", far).collect()} == want
     assert got.count() < whole.count() / 20
+
+
+def test_trigrams_of_records_are_not_joined_row_by_row(spark, tmp_path):
+    """No row for each trigram of a record, which the planner may take for small and broadcast."""
+    spark.createDataFrame([("1", "red wallet"), ("2", "umbrella")], "id string, normalized_text string").write.parquet(str(tmp_path / "r"))
+    found = R.trigram(spark.createDataFrame([("a", "umbrela")], "query_id string, query_text string"), spark.read.parquet(str(tmp_path / "r")))
+    assert "explode(g#" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r.query_id, r.id, r.rank) for r in found.collect()] == [("a", "2", 1)]
